@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontam import contamination
 from .mixture import mix
+from .pii import personal_data
 from .quality import quality_rules
+from .simhash import simhash_components
 from .token_counts import token_counts
 from .warc import warc_round_trip
 
@@ -21,6 +24,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, table(spark, sf_dir, "documents"))
 
@@ -29,12 +40,19 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
         "op4_quality_rules": op4_quality_rules,
+        "op5_decontamination": op5_decontamination,
+        "op6_simhash": op6_simhash,
         "op7_mixture": op7_mixture,
         "op8_warc": op8_warc,
+        "op10_personal_data": op10_personal_data,
     }
 
 
