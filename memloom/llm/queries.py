@@ -8,14 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontam import contamination
+from .html_text import main_text
 from .mixture import mix
 from .pii import personal_data
 from .quality import quality_rules
+from .repeats import repeated_text
 from .simhash import simhash_components
 from .token_counts import token_counts
+from .toxicity import toxicity
 from .warc import warc_round_trip
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -40,18 +51,25 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_text(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_html_text": op2_html_text,
         "op3_token_counts": op3_token_counts,
         "op4_quality_rules": op4_quality_rules,
         "op5_decontamination": op5_decontamination,
         "op6_simhash": op6_simhash,
         "op7_mixture": op7_mixture,
         "op8_warc": op8_warc,
+        "op9_repeats": op9_repeats,
         "op10_personal_data": op10_personal_data,
     }
 
