@@ -1,0 +1,63 @@
+import math
+import random
+
+import pytest
+
+from memloom.operators import evaluation, ledger
+
+
+def test_metrics(spark):
+    ranked = spark.createDataFrame([("q", "a", 1), ("q", "x", 2), ("q", "b", 3)], "query_id string, doc_id string, rank long")
+    qrels = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 1), ("q", "zero", 0)], "query_id string, doc_id string, gain int")
+    m = evaluation.rank_metrics(ranked, qrels, 3).first()
+    ideal = 2 + 1 / math.log2(3) + 1 / 2
+    assert m["recall"] == pytest.approx(2 / 3) and m["ndcg"] == pytest.approx((1 + 2 / 2) / ideal) and m["mrr"] == 1 and m["any_evidence"] == 1 and m["all_evidence"] == 0
+    e = evaluation.rank_metrics(ranked, qrels, 3, exponential=True).first()
+    assert e["ndcg"] == pytest.approx((1 + 3 / 2) / (3 + 1 / math.log2(3) + 1 / 2))
+
+
+def test_unique_sources_keep_their_first_place(spark):
+    hits = spark.createDataFrame([("q", "a", 1), ("q", "a", 2), ("q", "self", 3), ("q", "b", 4)], "query_id string, doc_id string, rank long")
+    from pyspark.sql import functions as F
+
+    got = evaluation.unique_ranked(hits.withColumn("own", F.lit("self")), "own").orderBy("rank").collect()
+    assert [(r["doc_id"], r["rank"]) for r in got] == [("a", 1), ("b", 2)]
+
+
+def test_percentiles(spark):
+    values = [random.Random(1).random() for _ in range(101)]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    s = sorted(values)
+    got = evaluation.nearest_rank(df, "v", (0.5, 0.95, 0.99), "g").first()
+    assert [got[f"p{p}"] for p in (50, 95, 99)] == [s[math.ceil(len(s) * p / 100) - 1] for p in (50, 95, 99)]
+    assert evaluation.rank_pick(df, "v", 0.95, "g").first()["value"] == s[math.ceil((len(s) - 1) * 0.95)]
+
+
+def test_bootstrap(spark):
+    df = spark.createDataFrame([(f"c{i % 3}", float(i % 2)) for i in range(30)], "c string, s double")
+    low, high = evaluation.bootstrap_interval(df, "c", "s")
+    assert 0 <= low <= 0.5 <= high <= 1
+    assert evaluation.bootstrap_interval(df.where("c = 'c0'"), "c", "s") is None
+
+
+def test_coverage_and_means(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
+    b = spark.createDataFrame([(1, "x"), (2, "z"), (3, "w")], "id int, v string")
+    assert {r["id"] for r in evaluation.uncovered(a, b, ["id"], ["v"]).collect()} == {2, 3}
+
+
+def test_ledgers(spark):
+    events = spark.createDataFrame([("a", i, float(t), 10) for i, t in enumerate((0, 1, 2, 62, 63, 64))], "account string, seq long, at double, units long")
+    got = [r["admitted"] for r in ledger.admit(events, 61, 2, 1000).orderBy("seq").collect()]
+    assert got == [True, True, False, True, True, False]
+    ops = [("a", 0, "x", "reserve", 5.0), ("a", 1, "y", "reserve", 6.0), ("a", 2, "x", "settle", 1.0), ("a", 3, "y", "reserve", 6.0), ("a", 4, "y", "unbilled", 0.0), ("a", 5, "y", "settle", 1.0)]
+    df = spark.createDataFrame(ops, "account string, seq long, id string, op string, amount double")
+    out = ledger.budget_ledger(df, 10.0).orderBy("seq").collect()
+    assert [r["admitted"] for r in out] == [True, False, True, True, True, False] and out[-1]["accounted"] == 1.0
+
+
+def test_snapshots(spark):
+    s = spark.createDataFrame([(1, "a", 5), (1, "b", 5), (3, "a", 4), (3, "c", 1)], "snapshot_id long, asset string, count long")
+    got = {(r["snapshot_id"], r["asset"]): (r["change"], r["decreased"]) for r in ledger.snapshot_deltas(s).collect()}
+    assert got == {(1, "a"): (None, False), (1, "b"): (None, False), (3, "a"): (-1, True), (3, "c"): (None, False)}
+    assert [r["asset"] for r in ledger.removed_assets(s, 1, 3).collect()] == ["b"]
