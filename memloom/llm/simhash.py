@@ -234,10 +234,14 @@ def links(spark: SparkSession, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.put(named.repartition("g").mapInArrow(run, "a long, b long"), "links")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large star: larger neighbours of a node move to its smallest. Small star: smaller ones and itself do."""
+def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
+    """Large star: larger neighbours of a node move to its smallest. Small star: smaller ones and itself do.
+
+    The least neighbours are a written table, so that both sides of the join are dealt anew and a
+    node with very many neighbours can be split.
+    """
     both = edges.union(edges.select("b", "a")) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = scratch.put(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     joined = both.join(least, "a")
     if large:
         moved = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -250,7 +254,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (a, b) with b < a to rows (a, b): each node that is not the smallest of its component, and that."""
     mark = None
     while True:
-        after = scratch.put(_star(_star(edges, True), False), "stars")
+        after = scratch.put(_star(_star(edges, True, scratch), False, scratch), "stars")
         scratch.drop(edges)
         edges = after
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
