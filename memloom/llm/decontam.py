@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, blocks, set_column, texts_of
 
 WINDOW = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20
 OTHER_SYMBOLS = 4096
 SAMPLE = 16
@@ -316,28 +316,33 @@ def merge_spans(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def benchmark_blocks(bench: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark's (item_id, text) in blocks of about `limit` bytes of text."""
+def benchmark_blocks(bench: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[str, str | None]], bool]]:
+    """The benchmark's (item_id, text) in blocks of about `limit` bytes of text, and which is the last."""
     rows = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // limit)
-    for k in range(max(1, n)):
-        part = rows if n <= 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.collect()]
+    n = max(1, -(-total // limit))
+    for k in range(n):
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield [tuple(r) for r in part.collect()], k == n - 1
 
 
-def mark_hits(spark: SparkSession, docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with columns SPANS (flat hit word ranges), ITEMS and WORDS added."""
+def mark_hits(spark: SparkSession, docs: DataFrame, bench: DataFrame, text_col: str = "text", finish=None) -> DataFrame:
+    """`docs` with columns SPANS (flat hit word ranges), ITEMS and WORDS added.
+
+    `finish` turns a batch, its spans and its word counts into a batch of the columns of `docs`; it
+    runs in the last pass, beside the search.
+    """
     from pyspark.sql import types as T
 
     state = [T.StructField(SPANS, T.ArrayType(T.LongType())), T.StructField(ITEMS, T.ArrayType(T.StringType())), T.StructField(WORDS, T.LongType())]
     schema = T.StructType([*docs.schema.fields, *state])
     columns = len(docs.columns)
-    scratch = marked = None
-    for block in benchmark_blocks(bench):
+    scratch = Scratch(spark, "decontam")
+    marked = None
+    for block, last in benchmark_blocks(bench):
         phrases = spark.sparkContext.broadcast(Phrases(block))
 
-        def run(batches, phrases=phrases, more=marked is not None):
+        def run(batches, phrases=phrases, more=marked is not None, end=finish if last else None):
             marker = Marker(phrases.value)
             for held in shards(batches, text_col):
                 words, spans, items = marker.shard([t for b in held for t in texts_of(b, text_col)])
@@ -348,13 +353,16 @@ def mark_hits(spark: SparkSession, docs: DataFrame, bench: DataFrame, text_col:
                     if more:
                         s = [merge_spans(x, y) for x, y in zip(s, b.column(columns).to_pylist(), strict=True)]
                         i = [sorted({*x, *y}) for x, y in zip(i, b.column(columns + 1).to_pylist(), strict=True)]
+                    own = pa.RecordBatch.from_arrays(b.columns[:columns], names=b.schema.names[:columns])
+                    if end:
+                        yield end(own, s, words[cut])
+                        continue
                     arrays = [pa.array(s, pa.list_(pa.int64())), pa.array(i, pa.list_(pa.string())), pa.array(words[cut], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*b.columns[:columns], *arrays], names=[*b.schema.names[:columns], SPANS, ITEMS, WORDS])
+                    yield pa.RecordBatch.from_arrays([*own.columns, *arrays], names=[*own.schema.names, SPANS, ITEMS, WORDS])
 
         if marked is not None:
-            scratch = scratch or Scratch(spark, "decontam")
             marked = scratch.put(marked, "marked")
-        marked = (docs if marked is None else marked).mapInArrow(run, schema)
+        marked = (docs if marked is None else marked).mapInArrow(run, docs.schema if finish and last else schema)
     return marked
 
 
@@ -391,21 +399,19 @@ def cut_words(text: str, spans: list[int]) -> str:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, bench: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """Pipeline form: contaminated documents go; the spans hit in others are cut out, all else stays."""
-    kept = mark_hits(spark, docs, bench, text_col).withColumn(SPANS + "_n", _hit_words())
-    kept = kept.where((F.col(SPANS + "_n") == 0) | (SHARE * F.col(SPANS + "_n") < F.col(WORDS)))
-    columns = len(docs.columns)
 
-    def run(batches):
-        for batch in batches:
-            spans = batch.column(columns).to_pylist()
-            batch = pa.RecordBatch.from_arrays(batch.columns[:columns], names=batch.schema.names[:columns])
-            if any(spans):
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                after = [cut_words(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
-                batch = set_column(batch, text_col, pa.array(after, pa.string()))
-                if length_col in batch.schema.names:
-                    old = batch.column(batch.schema.get_field_index(length_col)).to_pylist()
-                    batch = set_column(batch, length_col, pa.array([len(t) if s else o for t, s, o in zip(after, spans, old, strict=True)], pa.int64()))
-            yield batch
-
-    return kept.mapInArrow(run, docs.schema)
+    def finish(batch, spans, words):
+        hits = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+        keep = [not h or SHARE * h < n for h, n in zip(hits, words, strict=True)]
+        spans = [s for s, k in zip(spans, keep, strict=True) if k]
+        batch = batch.filter(pa.array(keep, pa.bool_()))
+        if any(spans):
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            after = [cut_words(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+            batch = set_column(batch, text_col, pa.array(after, pa.string()))
+            if length_col in batch.schema.names:
+                old = batch.column(batch.schema.get_field_index(length_col)).to_pylist()
+                batch = set_column(batch, length_col, pa.array([len(t) if s else o for t, s, o in zip(after, spans, old, strict=True)], pa.int64()))
+        return batch
+
+    return mark_hits(spark, docs, bench, text_col, finish)
