@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 #: UTF-8 bytes that one block of rows holds at most (a single longer text is a block of its own).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 
 
@@ -61,9 +62,15 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes `df` and reads it back; the shuffle files of the write go with its end."""
         path = self.path(f"{name}-{uuid.uuid4().hex[:8]}")
         schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(schema).parquet(path)
         out._memloom_path = path
         return out
