@@ -1,9 +1,9 @@
 """Main text of web pages by consensus of a host's pages.
 
 Every page's containers are scored by the text they hold outside of links and page furniture; the
-page votes for the generalised tag-class paths of its best ones. The votes are summed per host in
-Spark, and each page is read again with its host's winning path. A page that has no such container
-is read with its own best one.
+page votes for the generalised tag-class path of the smallest that has nearly all of it. The votes
+are summed per host in Spark, and each page is read again with its host's winning path. A page that
+has no such container is read with its own.
 
 Blocks are the texts between block-level tags; a line break tag counts as white space. Furniture
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) goes by tag, role or words
@@ -30,7 +30,10 @@ from .common import Scratch, blocks
 #: Hosts whose winning paths may be broadcast (about 100 bytes each); beyond, a salted join is used.
 BROADCAST_HOSTS = 20_000
 SALTS = 32
-VOTES = 3
+#: Share of a container's text from which a container below it stands for it.
+SHARE = 0.8
+#: Depth from which containers share their parent's path.
+MAX_DEPTH = 64
 
 #: Tag names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -113,7 +116,6 @@ def parse(source: str) -> list[Node]:
     root = Node("html", "", None, False, 0)
     nodes, stack = [root], [root]
     articles = 0
-    inline: list[str] = []  # open inline elements do not matter but for links
     link = 0
     at, n = 0, len(source)
 
@@ -124,7 +126,6 @@ def parse(source: str) -> list[Node]:
             articles -= gone.tag in ("article", "main")
             stack[-1].holds.append(None)
             link = 0
-            inline.clear()
 
     while at < n:
         i = source.find("<", at)
@@ -195,7 +196,8 @@ def parse(source: str) -> list[Node]:
             continue
         attrs = attributes(m[3]) if m[3] and not m[3].isspace() else {}
         step = tag + ("." + g if (g := generalised(attrs.get("class", ""))) else "")
-        node = Node(tag, f"{up.path}/{step}", up, is_furniture(tag, attrs, articles > 0), len(nodes))
+        path = f"{up.path}/{step}" if up.depth < MAX_DEPTH else up.path
+        node = Node(tag, path, up, is_furniture(tag, attrs, articles > 0), len(nodes))
         up.holds.append(None)
         up.holds.append(node)
         nodes.append(node)
@@ -254,12 +256,32 @@ def candidates(nodes: list[Node]) -> list[Node]:
     return sorted(found, key=lambda x: (-score(x), -x.depth, x.order))
 
 
+def has_heading(node: Node) -> bool:
+    """A main heading that stands in the container itself, not in a container below."""
+    return any(isinstance(h, Node) and not h.furniture and (h.tag in ("h1", "h2") or (h.tag not in CONTAINER and has_heading(h))) for h in node.holds)
+
+
+def main_container(found: list[Node]) -> Node | None:
+    """From the container with the most text down to one that still has nearly all of it; articles
+    and containers with a heading of their own are not left."""
+    node = found[0] if found else None
+    while node is not None and node.tag not in ("article", "main") and not has_heading(node):
+        below = next((x for x in found if x.depth > node.depth and score(x) >= SHARE * score(node) and _within(x, {node.order})), None)
+        if below is None:
+            break
+        node = below
+    return node
+
+
 def votes(source: str) -> list[tuple[str, float]]:
-    """The page's best paths, with their scores as shares of the best one."""
+    """The path of the page's main container, and with half the weight that of the one around it."""
     nodes = parse(source)
     measure(nodes)
-    best = candidates(nodes)[:VOTES]
-    return [(x.path, score(x) / score(best[0])) for x in best if x.path]
+    best = main_container(candidates(nodes))
+    if best is None or not best.path:
+        return []
+    up = best.parent
+    return [(best.path, 1.0), *([(up.path, 0.5)] if up is not None and up.path else [])]
 
 
 def block_texts(node: Node) -> Iterator[str]:
@@ -296,7 +318,7 @@ def extract(source: str | None, path: str | None = None) -> str:
         inside = {x.order for x in chosen}
         chosen = sorted((x for x in chosen if not _within(x, inside)), key=lambda x: x.order)
     else:
-        chosen = found[:1] or nodes[:1]
+        chosen = [main_container(found) or nodes[0]]
     lines = []
     for node in chosen:
         for text in block_texts(node):
