@@ -8,13 +8,16 @@ are taken in an order that the window itself fixes, so equal windows have equal
    Neighbouring windows share their anchor; such a run is a unit, and one record stands for it.
 2. the whole unit: the bytes its windows cover. Records that agree here are equal in all windows,
    so all but those of the smallest document are decided without looking at a single window.
-3. the window: only where an anchor has different units are their windows told apart one by one.
+3. the window: only where an anchor has different units that agree on the bytes of one side are
+   their windows told apart one by one. (Of the 30 bytes that a window has around its anchor, 15
+   or more lie on one side, so units that agree on neither side share no window.) Such units meet
+   by anchor with their bytes; those of an anchor that is very common meet window by window.
 
 Each pass meets in shuffled buckets of the digit. Before a pass every shard of documents reduces
 its records to one a digit and decides the rest at once: an anchor, unit or window shared by a
 third of all documents reaches its bucket once a shard.
 
-Digits are 104 bits of polynomial hashes (40 of the anchor, 64 of the unit or window).
+Digits are polynomial hashes: 40 bits of the anchor with 48 of the unit or 64 of the window.
 
 Defined results: a null text is empty; texts under 50 bytes lose nothing; rows that repeat an id
 are judged each on its own and never against one another; a null id counts as larger than all ids;
@@ -37,13 +40,15 @@ from .common import Scratch, blocks
 
 THRESHOLD = 50
 ANCHOR = 20
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Bytes that are hashed at once; longer texts are cut into segments that overlap by a window.
 SEGMENT_BYTES = 1 << 20
 _P = np.uint64(0xD1342543DE82EF95)
 _MIX = np.uint64(0x9FB21C651E98DF25)
 _NO_ID = np.iinfo(np.int64).max
-_LOW24 = np.uint64((1 << 24) - 1)
+_LOW24, _LOW48 = np.uint64((1 << 24) - 1), np.uint64((1 << 48) - 1)
+#: Units of one anchor that a shard sends on; an anchor with more is settled by windows everywhere.
+_UNITS_SENT = 16
 
 
 class Powers:
@@ -118,7 +123,15 @@ class Segment:
         span = (self.last - self.first).astype(np.uint64)
         length = span + np.uint64(window)
         body = (self.sums[self.last + window] - self.sums[self.first]) * self.down[self.first]
-        self.unit = mix(body + _MIX * (length * np.uint64(64) + (at - self.first).astype(np.uint64)))
+        self.unit = mix(body + _MIX * (length * np.uint64(64) + (at - self.first).astype(np.uint64))) & _LOW48
+        # of the bytes around the anchor, every window has half or more on one side
+        side = (window - anchor + 1) // 2
+        left, right = at - side, at + anchor
+        self.sides = np.zeros(len(at), np.uint32)
+        for has, begin_, shift in ((left >= self.first, left, 0), (right + side <= self.last + window, right, 12)):
+            b = begin_[has]
+            near = mix((self.sums[b + side] - self.sums[b]) * self.down[b]) % np.uint64(4095) + np.uint64(1)
+            self.sides[has] |= near.astype(np.uint32) << np.uint32(shift)
         part = np.searchsorted(begin, self.first, side="right") - 1
         self.part, self.owner = part, self.text[part]
         self.offset = self.first - begin[part] + self.shift[part]  # in its text
@@ -190,13 +203,13 @@ def by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, by
         yield int(bucket[rows[0]]), pack(*(x[rows] for x in arrays))
 
 
-_UNIT = ("u8", "u8", "i8", "u4", "i4")  # anchor, unit, document, tag, offset
-_WINDOW = _UNIT  # anchor, window, document, tag, offset
+_UNIT = ("u8", "u8", "u4", "i8", "u4", "i4")  # anchor, unit, sides, document, tag, offset
+_WINDOW = ("u8", "u8", "i8", "u4", "i4")  # anchor, window, document, tag, offset
 _VERDICT = ("i8", "u4", "i4", "i4")  # document, tag, offset, kind
 #: Kinds of verdict; another value is the last offset of a run of repeated windows.
-_REPEATED, _OPEN = -1, -2
+_REPEATED, _OPEN, _HOT = -1, -2, -3
 _ROWS = "bucket int, kind int, payload binary"
-_UNITS, _VERDICTS, _TEXTS, _WINDOWS, _DONE = range(5)
+_UNITS, _VERDICTS, _TEXTS, _WINDOWS, _DONE, _BODIES = range(6)
 
 
 def home(doc: np.ndarray, tag: np.ndarray, buckets: int) -> np.ndarray:
@@ -273,8 +286,8 @@ def first_pass(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[tupl
         parts = [Segment(p, shard.raw, powers) for p in segments(list(map(len, shard.raw)))]
         if not parts:
             continue
-        anchor, unit, owner, offset, size = (
-            np.concatenate(x) for x in zip(*((s.anchor, s.unit, s.owner, s.offset, s.last - s.first) for s in parts), strict=True)
+        anchor, unit, sides, owner, offset, size = (
+            np.concatenate(x) for x in zip(*((s.anchor, s.unit, s.sides, s.owner, s.offset, s.last - s.first) for s in parts), strict=True)
         )
         del parts
         doc, tag = shard.doc[owner], shard.tag[owner]
@@ -289,44 +302,57 @@ def first_pass(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[tupl
             d, t = shard.doc[o[head]], shard.tag[o[head]]
             for b, blob in by_bucket(home(d, t, buckets), d, t, s[head].astype(np.int32), e[last].astype(np.int32)):
                 yield b, _VERDICTS, blob
-        # an anchor with several units here is open for all of them; one notice tells its bucket
+        # an anchor with many units here is open for all of them; one notice tells its bucket
         stand = np.sort(stand)
-        a, u = anchor[stand], unit[stand]
-        order = np.lexsort((u, a))
-        same = np.zeros(len(a), np.bool_)
-        twin = (a[order][1:] == a[order][:-1]) & (u[order][1:] != u[order][:-1])
+        a = anchor[stand]
+        order = np.argsort(a, kind="stable")
         head = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]])
-        several = np.add.reduceat(np.r_[False, twin].astype(np.int64), head) > 0
-        same[order] = per_group(several, head, len(a))
+        many = np.diff(np.r_[head, len(a)]) > _UNITS_SENT
+        hot = np.zeros(len(a), np.bool_)
+        hot[order] = per_group(many, head, len(a))
         d, t, s = doc[stand], tag[stand], offset[stand].astype(np.int32)
-        yield from ((b, _VERDICTS, blob) for b, blob in by_bucket(home(d[same], t[same], buckets), d[same], t[same], s[same], np.full(same.sum(), _OPEN, np.int32)))
-        notice = a[order][head[several]]
-        send = [a[~same], u[~same], d[~same], t[~same], s[~same]]
-        extra = [notice, np.zeros(len(notice), np.uint64), np.full(len(notice), _NO_ID), np.zeros(len(notice), np.uint32), np.full(len(notice), -1, np.int32)]
-        send = [np.concatenate(x).astype(k) for x, k in zip(zip(send, extra, strict=True), _UNIT, strict=True)]
+        yield from ((b, _VERDICTS, blob) for b, blob in by_bucket(home(d[hot], t[hot], buckets), d[hot], t[hot], s[hot], np.full(hot.sum(), _HOT, np.int32)))
+        notice = a[order][head[many]]
+        none = np.zeros(len(notice), np.int64)
+        send = [a[~hot], unit[stand][~hot], sides[stand][~hot], d[~hot], t[~hot], s[~hot]]
+        extra = [notice, none, none, none + _NO_ID, none, none - 1]
+        send = [np.concatenate([x, y.astype(k)]).astype(k) for x, y, k in zip(send, extra, _UNIT, strict=True)]
         yield from ((b, _UNITS, blob) for b, blob in by_bucket((send[0] % np.uint64(buckets)).astype(np.int64), *send))
 
 
+def shared(anchor: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Which of some different units share their anchor and that side with another; 0 is no side."""
+    out = np.zeros(len(anchor), np.bool_)
+    has = np.flatnonzero(near)
+    key = anchor[has] * np.uint64(4096) + near[has].astype(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    twin = np.r_[False, key[1:] == key[:-1]] if len(key) else np.zeros(0, np.bool_)
+    twin[:-1] |= twin[1:]
+    out[has[order[twin]]] = True
+    return out
+
+
 def unit_verdicts(blobs: list[bytes], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """Of one anchor bucket: units repeated from a smaller document, and those open because their
-    anchor has other units too."""
-    anchor, unit, doc, tag, offset = unpack_all(blobs, *_UNIT)
+    """Of one anchor bucket: units repeated from a smaller document, and those open because another
+    unit of their anchor agrees on a side, so that they may share windows."""
+    anchor, unit, sides, doc, tag, offset = unpack_all(blobs, *_UNIT)
     if not len(anchor):
         return
     order, heads = grouped(anchor, unit)
     n = len(order)
     repeated = np.zeros(n, np.bool_)
     repeated[order] = doc[order] > per_group(np.minimum.reduceat(doc[order], heads), heads, n)
-    by_anchor = np.argsort(anchor[order[heads]])
-    a = anchor[order[heads]][by_anchor]
-    start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-    several = np.zeros(len(heads), np.bool_)
-    several[by_anchor] = per_group(np.diff(np.r_[start, len(a)]) > 1, start, len(a))
-    opened = np.zeros(n, np.bool_)
-    opened[order] = per_group(several, heads, n)
-    chosen = (repeated | opened) & (offset >= 0)
-    d, t, s = doc[chosen], tag[chosen], offset[chosen]
-    kind = np.where(repeated[chosen], _REPEATED, _OPEN).astype(np.int32)
+    kinds = order[heads]  # one record of each unit
+    real = offset[kinds] >= 0
+    near = np.where(real, sides[kinds], 0).astype(np.uint32)
+    several = shared(anchor[kinds], near & np.uint32(4095)) | shared(anchor[kinds], near >> np.uint32(12))
+    hot = np.isin(anchor[kinds], anchor[kinds[~real]])
+    how = np.zeros(n, np.int32)
+    how[order] = per_group(np.where(hot, _HOT, np.where(several, _OPEN, 0)), heads, n)
+    how[repeated] = _REPEATED
+    chosen = (how != 0) & (offset >= 0)
+    d, t, s, kind = doc[chosen], tag[chosen], offset[chosen], how[chosen]
     by = np.lexsort((s, t, d))
     yield from ((b, _VERDICTS, blob) for b, blob in by_bucket(home(d[by], t[by], buckets), d[by], t[by], s[by], kind[by]))
 
@@ -415,6 +441,7 @@ def second_pass(payloads: Iterable[tuple[int, bytes]], buckets: int) -> Iterator
     powers, verdict_blobs, verdicts = Powers(), [], None
     waiting: list[tuple[int, int, bytes, np.ndarray]] = []  # document, tag, compressed text, marks
     windows: list[list[np.ndarray]] = []
+    bodies: list[list[np.ndarray]] = []
     for kind, payload in payloads:
         if kind == _VERDICTS:
             verdict_blobs.append(payload)
@@ -437,7 +464,7 @@ def second_pass(payloads: Iterable[tuple[int, bytes]], buckets: int) -> Iterator
         wanted = owner << 40 | offset
         parts = [[(int(named[i]), x, y) for i, x, y in p] for p in segments([len(raws[i]) for i in named.tolist()])]
         # a verdict on a unit's first record holds for the same unit elsewhere in the text
-        found: dict[int, list[np.ndarray]] = {_REPEATED: [], _OPEN: []}
+        found: dict[int, list[np.ndarray]] = {_REPEATED: [], _OPEN: [], _HOT: []}
         for part in parts:
             s = Segment(part, raws, powers)
             places = s.owner << 40 | s.offset
@@ -447,9 +474,15 @@ def second_pass(payloads: Iterable[tuple[int, bytes]], buckets: int) -> Iterator
                 names.append(s.names()[at[here & (how == k)]])
         for part in parts:
             s = s if len(parts) == 1 else Segment(part, raws, powers)
-            repeated, other = (np.flatnonzero(np.isin(s.names(), np.concatenate(found[k]))) for k in (_REPEATED, _OPEN))
+            repeated, near, other = (np.flatnonzero(np.isin(s.names(), np.concatenate(found[k]))) for k in (_REPEATED, _OPEN, _HOT))
             start = base[s.owner] + s.offset
             cover(marks, start[repeated], (start + s.last - s.first)[repeated])
+            if len(near):
+                o, b = s.owner[near], s.offset[near]
+                e = b + (s.last - s.first)[near] + THRESHOLD
+                ids = np.array([docs[i][:2] for i in o.tolist()], np.int64)
+                bodies.append([s.anchor[near], ids[:, 0], ids[:, 1], b, np.array([raws[i][x:y] for i, x, y in zip(o.tolist(), b.tolist(), e.tolist(), strict=True)], object)])
+                opened[o] = True
             if len(other):
                 hashes, unit = s.window_hashes(other)
                 size = (s.last - s.first + 1)[other]
@@ -467,9 +500,13 @@ def second_pass(payloads: Iterable[tuple[int, bytes]], buckets: int) -> Iterator
                 done.append(result(d, raw, own))
         if done:
             yield 0, _DONE, b"".join(done)
+    if bodies:
+        yield from packed_bodies(*(np.concatenate(x) for x in zip(*bodies, strict=True)), buckets)
+        bodies.clear()
     if not waiting:
         return
-    anchor, window, owner, at = (np.concatenate(x) for x in zip(*windows, strict=True))
+    none = np.zeros(0, np.int64)
+    anchor, window, owner, at = (np.concatenate(x) for x in zip(*windows, strict=True)) if windows else (none.astype(np.uint64), none.astype(np.uint64), none, none)
     doc = np.array([w[0] for w in waiting], np.int64)[owner]
     tag = np.array([w[1] for w in waiting], np.uint32)[owner]
     stand, repeated, _ = settle(anchor, window, doc, tag, at)
@@ -489,6 +526,54 @@ def second_pass(payloads: Iterable[tuple[int, bytes]], buckets: int) -> Iterator
     yield from by_home(held, buckets)
 
 
+_BODY = ("u8", "i8", "u4", "i4", "u2")  # anchor, document, tag, offset, bytes
+
+
+def packed_bodies(anchor: np.ndarray, doc: np.ndarray, tag: np.ndarray, offset: np.ndarray, body: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Open units with their bytes by anchor bucket; like anchors lie together, so they pack well."""
+    order = np.lexsort((doc, anchor))
+    bucket = (anchor % np.uint64(buckets)).astype(np.int64)[order]
+    order = order[np.argsort(bucket, kind="stable")]
+    bucket = bucket[np.argsort(bucket, kind="stable")]
+    size = np.array([len(b) for b in body[order].tolist()], np.int64)
+    heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
+        rows_ = order[a:b]
+        head = pack(*(x[rows_].astype(k) for x, k in zip((anchor, doc, tag, offset), _BODY, strict=False)), size[a:b].astype("u2"))
+        yield int(bucket[a]), _BODIES, len(head).to_bytes(8, "little") + head + zstandard.compress(b"".join(body[rows_].tolist()), 3)
+
+
+def body_verdicts(blobs: list[bytes], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Of one anchor bucket: runs of windows of open units that a smaller document has too."""
+    heads, bodies = [], []
+    for blob in blobs:
+        n = int.from_bytes(blob[:8], "little")
+        heads.append(unpack(blob[8 : 8 + n], *_BODY))
+        bodies.append(zstandard.decompress(blob[8 + n :]))
+    if not heads:
+        return
+    anchor, doc, tag, offset, size = (np.concatenate(x) for x in zip(*heads, strict=True))
+    size = size.astype(np.int64)
+    count = size - THRESHOLD + 1
+    hashes = window_hashes_of(joined := b"".join(bodies), 0, len(joined), Powers())
+    begin = np.cumsum(size) - size
+    unit = np.repeat(np.arange(len(size)), count)
+    inner = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count)
+    window = hashes[begin[unit] + inner]
+    order, first = grouped(anchor[unit], window)
+    d = doc[unit][order]
+    repeated = np.zeros(len(unit), np.bool_)
+    repeated[order] = d > per_group(np.minimum.reduceat(d, first), first, len(order))
+    at = np.flatnonzero(repeated)
+    new = np.r_[True, (at[1:] != at[:-1] + 1) | (unit[at[1:]] != unit[at[:-1]])] if len(at) else np.zeros(0, np.bool_)
+    a = np.flatnonzero(new)
+    z = np.r_[a[1:], len(at)][: len(a)] - 1
+    u = unit[at[a]]
+    d, t, s, e = doc[u], tag[u], offset[u] + inner[at[a]], offset[u] + inner[at[z]]
+    by = np.lexsort((s, t, d))
+    yield from ((b, _VERDICTS, blob) for b, blob in by_bucket(home(d[by], t[by], buckets), d[by], t[by], s[by].astype(np.int32), e[by].astype(np.int32)))
+
+
 def by_home(docs: list[tuple[int, int, bytes, bytes]], buckets: int) -> Iterator[tuple[int, int, bytes]]:
     if docs:  # all of one bucket
         bucket = home(np.array([docs[0][0]], np.int64), np.array([docs[0][1]], np.uint32), buckets)
@@ -521,7 +606,10 @@ def third_pass(payloads: Iterable[tuple[int, bytes]]) -> Iterator[bytes]:
         for doc, tag, raw, marks in unpack_texts(payload):
             n = max(0, len(raw) - THRESHOLD + 1)
             marks = np.unpackbits(np.frombuffer(marks, np.uint8))[:n].astype(np.bool_)
-            offset, _ = verdicts.of(doc, tag)
+            offset, how = verdicts.of(doc, tag)
+            run = how >= 0
+            cover(marks, offset[run].astype(np.int64), how[run].astype(np.int64))
+            offset = offset[~run]
             marks[offset] = True
             if len(offset):  # the same windows elsewhere in the text
                 spans = [(part[0][1], part[0][2]) for part in segments([len(raw)])]
@@ -561,7 +649,11 @@ def repeated_text(spark: SparkSession, docs: DataFrame, scratch: Scratch | None
         yield from rows(unit_verdicts(blobs, buckets))
 
     def reduce_windows(batches):
-        yield from rows(window_verdicts([p for _, p in _payloads(batches)], buckets))
+        blobs: dict[int, list[bytes]] = {_WINDOWS: [], _BODIES: []}
+        for kind, payload in _payloads(batches):
+            blobs[kind].append(payload)
+        yield from rows(window_verdicts(blobs[_WINDOWS], buckets))
+        yield from rows(body_verdicts(blobs[_BODIES], buckets))
 
     def results(batches):
         for batch in batches:
@@ -585,7 +677,7 @@ def repeated_text(spark: SparkSession, docs: DataFrame, scratch: Scratch | None
     parted = scratch.put(homes.mapInArrow(lambda b: rows(second_pass(_payloads(b), buckets)), _ROWS), "parted")
 
     done = parted.where(F.col("kind") == _DONE).mapInArrow(results, _RESULT)
-    windows = parted.where(F.col("kind") == _WINDOWS).repartitionById(buckets, F.col("bucket")).mapInArrow(reduce_windows, _ROWS)
+    windows = parted.where(F.col("kind").isin(_WINDOWS, _BODIES)).repartitionById(buckets, F.col("bucket")).mapInArrow(reduce_windows, _ROWS)
     waiting = parted.where(F.col("kind") == _TEXTS)
     last = windows.unionByName(waiting).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind").mapInArrow(finish, _RESULT)
     return done.unionByName(last)
