@@ -119,3 +119,20 @@ def trailing_days(daily: DataFrame, by: str, day: str, count: str) -> DataFrame:
     return daily.withColumns(
         {"last_7": F.sum(count).over(window.rowsBetween(-6, 0)), "previous_7": F.coalesce(F.sum(count).over(window.rowsBetween(-13, -7)), F.lit(0))}
     )
+
+
+def resource_summary(samples: DataFrame, run: str, memory: str, size: str, amount: str, seconds: str) -> DataFrame:
+    """Per run: largest memory and size seen, and the overall rate."""
+    rate = (F.sum(amount) / F.sum(seconds)).alias("rate")
+    return samples.groupBy(run).agg(F.max(memory).alias("peak_memory"), F.max(size).alias("peak_size"), rate)
+
+
+def request_counters(requests: DataFrame, *by: str) -> DataFrame:
+    """Requests and failures (status 400 and above)."""
+    return requests.groupBy(*by).agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 400).alias("failures"))
+
+
+def release_assets(names: DataFrame, column: str = "name") -> DataFrame:
+    """Version and platform of release archives; other names are left out."""
+    pattern = r"^[a-z][a-z0-9-]*-v?(\d+\.\d+\.\d+)-([a-z0-9_-]+)\.(?:tar\.gz|zip)$"
+    return names.where(F.col(column).rlike(pattern)).withColumns({"version": F.regexp_extract(column, pattern, 1), "platform": F.regexp_extract(column, pattern, 2)})

@@ -35,6 +35,11 @@ def latest(log: DataFrame) -> DataFrame:
     return log.groupBy("namespace", "key").agg(newest.alias("r")).select("namespace", "key", "r.*")
 
 
+def visible_at(log: DataFrame, at_ms: int) -> DataFrame:
+    """What a reader saw at a time: the newest version written by then, unless it had expired."""
+    return latest(log.where(F.col("written_at_ms") <= at_ms)).where(live(F.col("expires_at_ms"), at_ms))
+
+
 def usage(records: DataFrame) -> DataFrame:
     """Entries and bytes of each namespace; the revision is that of the log, not of what survives."""
     size = F.octet_length("key") + F.octet_length("value")

@@ -16,7 +16,9 @@ from .functions import scalar
 from .functions.text import STOP_WORDS, fixed_chunks, labels, trim_space, words
 from .operators import admission, checkpoints, evaluation, index, ledger, lifecycle, oplog, records
 from .plans.search import Filters, SearchQuery, batch_search, plan_terms, recall, scored, search, search_counters, with_terms
+from .sources import sinks
 from .sources.config import Namespace
+from .streaming import folds
 
 BASE_MS = 1_760_000_000_000
 NOW_MS = 1_705_708_800_000  # 2024-01-20, within the events
@@ -261,9 +263,9 @@ def c03_prunable(spark, sf):
     return checkpoints.prunable(receipts.select("namespace", "id"), checkpoints.latest_checkpoints(receipts))
 
 
-def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def proposals(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events as observations of a user's attribute: the value is rough, so repeats and conflicts occur."""
-    e = read(spark, sf_dir, "events")
+    e = read(spark, sf_dir, "events") if events is None else events
     at = millis("ts") - F.when(F.col("event_id") % 11 == 0, 3 * DAY_MS).otherwise(F.lit(0))
     none = F.lit(None).cast("long")
     return e.select(
@@ -467,6 +469,84 @@ def g08_call_cost(spark, sf):
     return e.select("event_id", F.round(cost, 12).alias("cost"))
 
 
+def g09_resources(spark, sf):
+    e = read(spark, sf, "events").select("event_type", "value", F.octet_length("props").cast("long").alias("size"), F.col("event_id").alias("n"), (F.col("user_id") + 1).alias("s"))
+    return ledger.resource_summary(e, "event_type", "value", "size", "n", "s").withColumn("rate", F.round("rate", 9))
+
+
+def g10_request_counters(spark, sf):
+    e = read(spark, sf, "events").select("user_id", F.when(F.col("event_type") == "error", 503).otherwise(200).alias("status"))
+    return ledger.request_counters(e, "user_id")
+
+
+def k11_visible_at(spark, sf):
+    return records.visible_at(event_log(spark, sf), NOW_MS - 5 * DAY_MS).select("namespace", "key", "revision")
+
+
+def k12_record_errors(spark, sf):
+    """Admission of raw records, with broken ones among them."""
+    e = event_log(spark, sf)
+    n = F.col("revision")
+    key = F.when(n % 31 == 0, F.concat(F.lit("__"), "key")).when(n % 37 == 0, F.lit("")).otherwise(F.col("key"))
+    value = F.when(n % 41 == 0, F.lit("{broken").cast("binary")).otherwise(F.col("value"))
+    return e.select(admission.record_error(key, value, "json", 64, 4096).alias("error_code")).groupBy("error_code").agg(F.count("*").alias("n"))
+
+
+def x01_scalars(spark, sf):
+    e = read(spark, sf, "events")
+    n = F.col("event_id")
+    text = F.concat(F.lit("<think>no</think> well "), F.when(n % 3 == 0, "Yes!").when(n % 3 == 1, "yes or No").otherwise("maybe"))
+    name = F.concat("event_type", F.lit(" /"), n.cast("string"))
+    return e.select(
+        "event_id",
+        scalar.yes_no(text).alias("verdict"),
+        scalar.percent_encoded(name).alias("path"),
+        scalar.valid_id(F.when(n % 2 == 0, F.col("event_type")).otherwise(name)).alias("valid_id"),
+        scalar.deadline(n, F.when(n % 5 == 0, F.lit((1 << 63) - 1)).otherwise(n)).alias("deadline_ms"),
+        scalar.session_millis(F.concat(F.lit("1:56 pm on "), (n % 28 + 1).cast("string"), F.lit(" May, 2023"))).alias("session_ms"),
+        scalar.natural_key(F.concat(F.lit("turn-"), n.cast("string")))["col2"].alias("natural"),
+        scalar.content_type(F.when(n % 2 == 0, "json").otherwise("bytes")).alias("content_type"),
+        F.sha2(F.col("props"), 256).alias("digest"),
+    )
+
+
+def x02_releases(spark, sf):
+    e = read(spark, sf, "events")
+    name = F.concat(F.lit("tool-v1."), (F.col("event_id") % 9).cast("string"), F.lit(".0-"), "event_type", F.when(F.col("event_id") % 2 == 0, ".tar.gz").otherwise(".txt"))
+    return ledger.release_assets(e.select(name.alias("name"))).groupBy("version", "platform").agg(F.count("*").alias("n"))
+
+
+def _stream(spark, sf, name):
+    """A table as a stream; the pattern names a file and a folder alike."""
+    schema = read(spark, sf, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/{name}.parque[t]")
+
+
+def _drained(spark, stream, mode, name):
+    """All that a stream gives, written batch by batch and read back."""
+    out, marks = sinks.shared_path(spark, name), sinks.shared_path(spark, f"{name}-marks")
+
+    def put(batch, batch_id):
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch_id={batch_id}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(*stream.columns)
+
+
+def st01_stream_windows(spark, sf):
+    """Counts by day and type over the events as a stream (beyond what the batch folds need)."""
+    events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = folds.expiring_counts(events, "ts", "1 day", "1 hour", "event_type")
+    flat = counted.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
+    return _drained(spark, flat, "complete", "windows")
+
+
+def st02_stream_lifecycle(spark, sf):
+    """The slots' receipts over proposals as a stream: the same as the batch fold's."""
+    own = proposals(spark, sf, _stream(spark, sf, "events"))
+    return _drained(spark, folds.lifecycle_stream(own), "append", "receipts").select("entity", "attribute", "seq", "status")
+
+
 _SQL_FIVE = """SELECT i.query_id, coalesce(found, 0) / positives AS recall, coalesce(dcg / idcg, 0e0) AS ndcg, coalesce(1e0 / first, 0e0) AS mrr,
  CASE WHEN coalesce(found, 0) > 0 THEN 1e0 ELSE 0e0 END AS any_evidence, CASE WHEN coalesce(found, 0) = positives THEN 1e0 ELSE 0e0 END AS all_evidence
  FROM i LEFT JOIN got USING (query_id)"""
@@ -639,6 +719,29 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
     "g05_status_totals": (g05_status_totals, "SELECT event_type AS status, count(*) AS n, sum(floor(value)::BIGINT)::BIGINT AS charged, sum(ceil(value)::BIGINT)::BIGINT AS reserved FROM events GROUP BY 1"),
     "g06_admission": (g06_admission, None),
     "g07_budget": (g07_budget, None),
+    "g09_resources": (
+        g09_resources,
+        "SELECT event_type, max(value) AS peak_memory, max(strlen(props)) AS peak_size, round(sum(event_id) / sum(user_id + 1)::DOUBLE, 9) AS rate FROM events GROUP BY 1",
+    ),
+    "g10_request_counters": (g10_request_counters, "SELECT user_id, count(*) AS requests, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1"),
+    "k11_visible_at": (
+        k11_visible_at,
+        f"""WITH {_LOG} SELECT namespace, key, revision FROM (SELECT * FROM l WHERE written_at_ms <= {NOW_MS - 5 * DAY_MS} QUALIFY row_number() OVER (PARTITION BY namespace, key ORDER BY revision DESC) = 1)
+ WHERE coalesce(expires_at_ms > {NOW_MS - 5 * DAY_MS}, true)""",
+    ),
+    "k12_record_errors": (
+        k12_record_errors,
+        """SELECT CASE WHEN (event_id + 1) % 31 = 0 OR (event_id + 1) % 37 = 0 THEN 'invalid_key' WHEN (event_id + 1) % 41 = 0 THEN 'invalid_value' END AS error_code, count(*) AS n FROM events GROUP BY 1""",
+    ),
+    "x01_scalars": (
+        x01_scalars,
+        """SELECT event_id, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS verdict, event_type || '%20%2F' || event_id AS path, event_id % 2 = 0 AS valid_id,
+ CASE WHEN event_id % 5 <> 0 THEN event_id + event_id * 1000 END AS deadline_ms, epoch_ms(make_timestamp(2023, 5, event_id % 28 + 1, 13, 56, 0)) AS session_ms, event_id AS natural,
+ CASE WHEN event_id % 2 = 0 THEN 'application/json' ELSE 'application/octet-stream' END AS content_type, sha256(props) AS digest FROM events""",
+    ),
+    "x02_releases": (x02_releases, "SELECT '1.' || event_id % 9 || '.0' AS version, event_type AS platform, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL"),
+    "st01_stream_windows": (st01_stream_windows, "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL"),
+    "st02_stream_lifecycle": (st02_stream_lifecycle, None),
     "g08_call_cost": (
         g08_call_cost,
         """SELECT event_id, round(((event_id * 100 - event_id % 50) * CASE WHEN event_id * 100 > 272000 THEN 25e-2 ELSE 125e-3 END + (event_id % 50) * CASE WHEN event_id * 100 > 272000 THEN 25e-3 ELSE 125e-4 END

@@ -14,6 +14,12 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share; a local one only where none is set."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_report(spark: SparkSession, report: dict, path: str) -> None:
     """One JSON file, complete or absent: written beside its place, then renamed."""
     part = f"{path}.{uuid.uuid4().hex}"

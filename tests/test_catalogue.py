@@ -58,3 +58,11 @@ def test_nothing_else_imports_the_training_data_folder():
             if name.endswith(".py"):
                 text = open(os.path.join(folder, name)).read()
                 assert "memloom.llm" not in text and "from .llm" not in text and "from ..llm" not in text
+
+
+def test_stream_gives_what_the_batch_fold_gives(spark, sf_dir):
+    from memloom.operators import lifecycle
+
+    batch = lifecycle.fold_receipts(base.proposals(spark, sf_dir)).select("entity", "attribute", "seq", "status")
+    stream = base.st02_stream_lifecycle(spark, sf_dir)
+    assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
