@@ -27,7 +27,7 @@ LEVEL = 3
 CHUNK_BYTES = 2048
 #: Share of whole chunks outside the chunk band from which a document is rejected.
 CHUNK_SHARE = 0.5
-CHUNK_BAND = (1.4, 2.35)
+CHUNK_BAND = (1.4, 2.22)
 #: Least and most ratio of raw to compressed bytes, by bit length of the raw size.
 #: Prose compresses the better the longer it is, so each length class has limits of its own; the
 #: upper ones lie about 0.1 above the highest ratio of prose, the lower ones below random base64.

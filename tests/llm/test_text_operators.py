@@ -1,5 +1,6 @@
 """Token counts, quality rules, personal data: against brute force and on odd rows."""
 
+import functools
 import hashlib
 import re
 
@@ -22,10 +23,16 @@ def odd(spark, rows=ODD):
 # ---------------------------------------------------------------- token counts
 
 
+@functools.cache
+def load():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(token_counts.vocabulary_path(token_counts.VOCABULARY))
+
+
 @pytest.fixture(scope="module")
 def library():
-    tokenizers = pytest.importorskip("tokenizers")
-    return tokenizers.Tokenizer.from_file(token_counts.vocabulary_path(token_counts.VOCABULARY))
+    return load()
 
 
 def test_token_counts_are_the_librarys(spark, sf_dir, library):
@@ -39,8 +46,7 @@ def test_token_counts_are_the_librarys(spark, sf_dir, library):
 @given(st.lists(st.sampled_from(["ab", " ", "  ", "\n", "<|endoftext|>", "é", "'s", "1", ".", " x", " ", "<|end"]), max_size=120))
 @settings(max_examples=150, deadline=None)
 def test_split_parts_count_like_the_whole(pieces):
-    tokenizers = pytest.importorskip("tokenizers")
-    library = tokenizers.Tokenizer.from_file(token_counts.vocabulary_path(token_counts.VOCABULARY))
+    library = load()
     text = "".join(pieces)
     parts = list(token_counts.parts(text, 5))
     assert "".join(parts) == text
