@@ -133,3 +133,11 @@ def stem(word: str) -> str:
     elif w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
     return w.replace("Y", "y")
+
+
+def may_share_stem(stems: list[str]) -> tuple[set[str], set[str]]:
+    """First letters that a word with one of these stems must have, and the words it may be besides.
+
+    Stemming leaves a word's first two letters alone, but for the words with a stem of their own.
+    """
+    return {s[:2] for s in stems}, {w for w, s in _SPECIAL.items() if s in set(stems)}

@@ -34,9 +34,8 @@ def trim_space(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased alphanumeric words without stop words and overlong ones, in order."""
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
     parts = F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+")
-    return F.filter(parts, lambda w: (w != "") & (F.char_length(w) <= MAX_WORD_CHARS) & ~F.array_contains(stop, w))
+    return F.filter(parts, lambda w: (w != "") & (F.char_length(w) <= MAX_WORD_CHARS) & ~w.isin(*STOP_WORDS))
 
 
 def plain_words(text: str) -> list[str]:

@@ -1,20 +1,22 @@
 """BM25 search and literal recall as declarative plans.
 
-A search scans the memories twice: once for the corpus figures of the few planned terms (partial
+A search scans the memories twice: once for the corpus figures of the query's terms (partial
 aggregates, one row a term), once to score. Terms are looked up in each row's word array, so no
-token is ever shuffled, and the plan (72 terms at most) reaches the scan as a scalar subquery.
+token is ever shuffled; the plan (72 terms at most) is literal in the second scan, behind the
+filters, which reach the files.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import B, K1, idf, live, saturation
-from ..functions.stem import stem
+from ..functions.stem import may_share_stem, stem
 from ..functions.text import contains_all, literal_terms, plain_words, stem_counts, words
 
 MAX_TERMS, MAX_EXPANSIONS, EXPANSION_WEIGHT = 64, 8, 0.25
@@ -61,7 +63,6 @@ class SearchQuery:
     expand: bool = False
     after: tuple[float, str] | None = None  # score and key of the last hit seen
     stemmed: bool = True
-    weights: dict[str, float] = field(default_factory=dict, compare=False)
 
     def validate(self) -> None:
         if not self.text.strip() or len(self.text.encode()) > MAX_QUERY_BYTES:
@@ -96,74 +97,93 @@ def with_terms(memories: DataFrame, stemmed: bool = True, text: str = "content")
     return base.withColumn("counts", F.transform("words_", lambda w: F.struct(w.alias("term"), F.lit(1).cast("long").alias("tf")))).drop("words_")
 
 
+def _with_hits(memories: DataFrame, terms: list[str], stemmed: bool) -> DataFrame:
+    """Adds `doc_len` and `hits`: the entries (term, tf) of the given terms only. Only words that can
+    have one of their stems are stemmed at all."""
+    base = memories.withColumn("words_", words(F.col("content"))).withColumn("doc_len", F.size("words_").cast("long"))
+    if not terms:
+        return base.withColumn("hits", F.array().cast("array<struct<term:string,tf:long>>")).drop("words_")
+    if not stemmed:
+        found = F.filter("words_", lambda w: w.isin(*terms))
+        return base.withColumn("hits", F.transform(found, lambda w: F.struct(w.alias("term"), F.lit(1).cast("long").alias("tf")))).drop("words_")
+    starts, others = may_share_stem(terms)
+    near = F.filter("words_", lambda w: F.substring(w, 1, 2).isin(*starts) | F.substring(w, 1, 1).isin(*starts) | w.isin(*others, ""))
+    return base.withColumn("hits", F.filter(stem_counts(near), lambda c: c["term"].isin(*terms))).drop("words_")
+
+
 def corpus_stats(indexed: DataFrame) -> DataFrame:
     return indexed.agg(F.count("*").alias("docs"), F.sum("doc_len").cast("long").alias("tokens"))
 
 
-def document_frequencies(indexed: DataFrame, among: list[str]) -> DataFrame:
-    """Rows (term, df) of the given terms."""
-    own = F.array_intersect(F.transform("counts", lambda c: c["term"]), F.array(*map(F.lit, among)))
-    return indexed.select(F.explode(own).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+@dataclass(frozen=True)
+class Plan:
+    """A query's terms against a corpus: at most 64 own terms and 8 expansions, with their weights."""
+
+    docs: int
+    tokens: int
+    weights: dict[str, float]
+    df: dict[str, int]
+    query_terms: int
+
+    @property
+    def mean_len(self) -> float:
+        return self.tokens / self.docs
 
 
-def plan_terms(indexed: DataFrame, query: SearchQuery) -> DataFrame:
-    """Rows (term, weight): the query's indexed terms by salience, then its expansions."""
+def plan_query(memories: DataFrame, query: SearchQuery) -> Plan:
+    """One scan gives the corpus figures and the terms' document frequencies, a row for each; the
+    query's 16 KiB bound them. The weights follow on the driver."""
     query.validate()
     counts, extra = query.terms(), query.expansions()
-    spark = indexed.sparkSession
-    rows = [(t, n, False) for t, n in counts.items()] + [(t, 1, True) for t in extra]
-    asked = spark.createDataFrame(rows or [("", 0, False)], "term string, n int, extra boolean")
-    df = document_frequencies(indexed, [r[0] for r in rows] or [""])
-    stats = corpus_stats(indexed)
-    docs = stats.select("docs").scalar()
-    weighed = df.join(F.broadcast(asked), "term").withColumn("idf", idf(docs, F.col("df")))
-    salient = F.sqrt(F.col("n").cast("double")) if len(counts) > MAX_TERMS else F.lit(1.0)
-    own = weighed.where(~F.col("extra")).select("term", (F.col("idf") * salient).alias("weight"), "df")
-    own = own.orderBy(F.desc("weight"), "term").limit(MAX_TERMS)
-    more = weighed.where("extra").orderBy("term").limit(MAX_EXPANSIONS).select("term", (F.col("idf") * F.lit(EXPANSION_WEIGHT)).alias("weight"), "df")
-    return own.unionByName(more)
-
-
-def scored(indexed: DataFrame, plan: DataFrame) -> DataFrame:
-    """`indexed` with `score`; rows without a planned term are left out."""
-    weights = plan.agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("w")).scalar()
-    stats = corpus_stats(indexed)
-    mean = stats.select(F.col("tokens").cast("double") / F.col("docs").cast("double")).scalar()
-    held = indexed.withColumns({"w_": weights, "mean_": mean})
-    held = held.withColumn("hits_", F.filter("counts", lambda c: F.map_contains_key(F.col("w_"), c["term"])))
-    held = held.where(F.size("hits_") > 0)
-    terms = F.array_distinct(F.transform("hits_", lambda c: c["term"]))
+    held = _with_hits(memories, [*counts, *extra], query.stemmed)
+    rows = F.concat(F.array(F.lit("")), F.array_distinct(F.transform("hits", lambda c: c["term"])))  # "" stands for the row
+    found = held.select(F.explode(rows).alias("term"), "doc_len").groupBy("term").agg(F.count("*").alias("df"), F.sum("doc_len").alias("tokens")).collect()
+    df = {r["term"]: r["df"] for r in found}
+    docs, tokens = df.pop("", 0), next((r["tokens"] for r in found if r["term"] == ""), 0) or 0
+    idf = {t: math.log(1 + (docs - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    salient = len(counts) > MAX_TERMS
+    own = {t: idf[t] * (math.sqrt(n) if salient else 1.0) for t, n in counts.items() if t in df}
+    kept = sorted(own, key=lambda t: (-own[t], t.encode()))[:MAX_TERMS]
+    weights = {t: own[t] for t in kept} | {t: idf[t] * EXPANSION_WEIGHT for t in [t for t in extra if t in df][:MAX_EXPANSIONS]}
+    return Plan(docs, tokens, weights, {t: df[t] for t in weights}, len(counts))
+
+
+def scored(memories: DataFrame, plan: Plan, stemmed: bool = True) -> DataFrame:
+    """`memories` with `score`; rows without a planned term are left out. The plan's weights are literals."""
+    held = _with_hits(memories, list(plan.weights), stemmed).where(F.size("hits") > 0)
+    weights = F.create_map(*(x for t, w in plan.weights.items() for x in (F.lit(t), F.lit(w)))) if plan.weights else F.create_map(F.lit(""), F.lit(0.0))
+    mean = F.lit(plan.mean_len if plan.docs else 1.0)
 
     def part(term: Column) -> Column:
-        tf = F.aggregate(F.filter("hits_", lambda c: c["term"] == term), F.lit(0).cast("long"), lambda s, c: s + c["tf"]).cast("double")
-        return F.element_at("w_", term) * saturation(tf, F.col("doc_len").cast("double"), F.col("mean_"))
+        tf = F.aggregate(F.filter("hits", lambda c: c["term"] == term), F.lit(0).cast("long"), lambda s, c: s + c["tf"]).cast("double")
+        return F.element_at(weights, term) * saturation(tf, F.col("doc_len").cast("double"), mean)
 
-    return held.withColumn("score", F.aggregate(terms, F.lit(0.0), lambda s, t: s + part(t))).drop("w_", "mean_", "hits_")
+    terms = F.array_distinct(F.transform("hits", lambda c: c["term"]))
+    return held.withColumn("score", F.aggregate(terms, F.lit(0.0), lambda s, t: s + part(t))).drop("hits", "doc_len")
 
 
 def search(memories: DataFrame, query: SearchQuery, now_ms: int) -> DataFrame:
     """Hits by score, then key. Corpus figures cover all rows; filters only choose among the scored."""
-    indexed = with_terms(memories, query.stemmed)
-    hits = scored(indexed, plan_terms(indexed, query)).withColumn("score", F.round("score", 9))
+    rows = memories.where(live(F.col("expires_at_ms"), now_ms) & query.filters.column())
+    hits = scored(rows, plan_query(memories, query), query.stemmed).withColumn("score", F.round("score", 9))
     if query.after is not None:
         score, key = query.after
         hits = hits.where((F.col("score") < score) | ((F.col("score") == score) & (F.col("key") > key)))
-    hits = hits.where(live(F.col("expires_at_ms"), now_ms) & query.filters.column())
-    return hits.drop("counts", "doc_len").orderBy(F.desc("score"), "key").limit(query.limit)
+    return hits.orderBy(F.desc("score"), "key").limit(query.limit)
 
 
 def search_counters(memories: DataFrame, query: SearchQuery) -> DataFrame:
-    """One row: query_terms, selected_terms, postings_scanned, index_reads, scored_candidates, truncated."""
-    indexed = with_terms(memories, query.stemmed)
-    plan = plan_terms(indexed, query)
-    candidates = scored(indexed, plan).agg(F.count("*").alias("scored_candidates"))
-    return plan.agg(
-        F.lit(len(query.terms())).cast("long").alias("query_terms"),
-        F.count("*").alias("selected_terms"),
-        F.coalesce(F.sum("df"), F.lit(0)).cast("long").alias("postings_scanned"),
-        (F.coalesce(F.sum("df"), F.lit(0)) + F.count("*")).cast("long").alias("index_reads"),
+    """One row: query_terms, selected_terms, postings_scanned, index_reads, truncated, scored_candidates."""
+    plan = plan_query(memories, query)
+    postings = sum(plan.df.values())
+    return scored(memories, plan, query.stemmed).agg(
+        F.lit(plan.query_terms).cast("long").alias("query_terms"),
+        F.lit(len(plan.weights)).cast("long").alias("selected_terms"),
+        F.lit(postings).cast("long").alias("postings_scanned"),
+        F.lit(postings + len(plan.weights)).cast("long").alias("index_reads"),
         F.lit(False).alias("truncated"),
-    ).withColumn("scored_candidates", candidates.scalar())
+        F.count("*").alias("scored_candidates"),
+    )
 
 
 def batch_search(memories: DataFrame, queries: DataFrame, limit: int, stemmed: bool = False) -> DataFrame:
@@ -179,9 +199,9 @@ def batch_search(memories: DataFrame, queries: DataFrame, limit: int, stemmed: b
     tokens = indexed.select("key", "doc_len", F.explode("counts").alias("c")).select("key", "doc_len", "c.term", "c.tf")
     postings = tokens.join(vocabulary, "term", "left_semi").groupBy("term", "key", "doc_len").agg(F.sum("tf").alias("tf"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(indexed)
-    docs = stats.select("docs").scalar()
-    mean = stats.select(F.col("tokens").cast("double") / F.col("docs").cast("double")).scalar()
+    # documents and mean length: one small aggregate, read as a single subquery
+    figures = memories.select(F.size(words(F.col("content"))).alias("doc_len")).agg(F.struct(F.count("*").alias("docs"), F.avg(F.col("doc_len").cast("double")).alias("mean")).alias("f")).scalar()
+    docs, mean = figures["docs"], figures["mean"]
     distinct = asked.groupBy("query_id").agg(F.count("*").alias("n_words"))
     weighed = asked.join(terms, "term").join(distinct, "query_id")
     salient = F.when(F.col("n_words") > MAX_TERMS, F.sqrt(F.col("n").cast("double"))).otherwise(F.lit(1.0))
