@@ -31,11 +31,20 @@ class Engine:
 
     MEMORY = "memloom_memory"
 
-    def __init__(self, spark: SparkSession, policy: Policy, log: DataFrame, now_ms: int, principal: str | None = None):
-        self.spark, self.policy, self.log, self.now_ms, self.principal = spark, policy.validate(), log, now_ms, principal
+    LOG = "namespace string, seq long, key string, op string, value binary, ttl_seconds long, condition string, now_ms long"
+    SAVES = "namespace string, seq long, id string, agent_id string, session_id string, capsule string, refs string, expected_revision long"
+
+    def __init__(self, spark: SparkSession, policy: Policy, log: DataFrame | None = None, now_ms: int = 0, principal: str | None = None, saves: DataFrame | None = None):
+        self.spark, self.policy, self.now_ms, self.principal = spark, policy.validate(), now_ms, principal
+        self.log = spark.createDataFrame([], self.LOG) if log is None else log
+        self.saves = spark.createDataFrame([], self.SAVES) if saves is None else saves
+
+    def _with(self, **changed) -> Engine:
+        held = {"log": self.log, "now_ms": self.now_ms, "principal": self.principal, "saves": self.saves}
+        return Engine(self.spark, self.policy, **(held | changed))
 
     def at(self, now_ms: int) -> Engine:
-        return Engine(self.spark, self.policy, self.log, now_ms, self.principal)
+        return self._with(now_ms=now_ms)
 
     def _namespace(self, name: str, operation: str):
         ns = self.policy.namespace(name)
@@ -47,11 +56,50 @@ class Engine:
 
     def append(self, rows: list[tuple]) -> Engine:
         """A handle behind more operations (namespace, seq, key, op, value, ttl_seconds, condition, now_ms)."""
-        more = self.spark.createDataFrame(rows, self.log.schema)
-        return Engine(self.spark, self.policy, self.log.unionByName(more), self.now_ms, self.principal)
-
-    def outcomes(self, namespace: str) -> DataFrame:
-        ns = self._namespace(namespace, "stats")
+        return self._with(log=self.log.unionByName(self.spark.createDataFrame(rows, self.log.schema)))
+
+    def _apply(self, namespace: str, grant: str, key: str, op: str, value: bytes | None = None, ttl: int | None = None, condition: str = "any") -> tuple[Engine, dict]:
+        """The engine behind one more operation, and its outcome; an error leaves this one as it is."""
+        self._namespace(namespace, grant)
+        last = self.log.where(F.col("namespace") == namespace).agg(F.max("seq")).first()[0]
+        seq = 0 if last is None else last + 1
+        after = self.append([(namespace, seq, key, op, value, ttl, condition, self.now_ms)])
+        row = after.outcomes(namespace, grant).where(F.col("seq") == seq).first()
+        if row["error_code"]:
+            raise EngineError(row["error_code"], key)
+        return after, row.asDict()
+
+    def put(self, namespace: str, key: str, value: bytes, ttl_seconds: int | None = None, condition: str = "any") -> tuple[Engine, dict]:
+        """Condition: any, absent, or the live record's revision."""
+        return self._apply(namespace, "put", key, "put", value, ttl_seconds, condition)
+
+    def delete(self, namespace: str, key: str, condition: str = "any") -> tuple[Engine, dict]:
+        return self._apply(namespace, "delete", key, "delete", condition=condition)
+
+    def remember(self, namespace: str, key: str, content: str, topic: str, tags: list[str] | None = None, metadata: dict | None = None, occurred_at_ms: int | None = None, ttl_seconds: int | None = None, condition: str = "absent") -> tuple[Engine, dict]:
+        """Keeps a memory; new by default. Durable JSON namespaces only."""
+        ns = self._namespace(namespace, "put")
+        value = self.envelope(content, topic, tags, metadata, occurred_at_ms)
+        labels = [topic, *(tags or [])]
+        fits = 0 < len(content.encode()) <= 16_384 and len(tags or []) <= 8 and len(key.encode()) <= 256 and len(json.dumps(metadata or {}).encode()) <= 8_192
+        if not fits or any(not 0 < len(t.strip().lower().encode()) <= 64 for t in labels) or ns.mode != "durable" or ns.value_kind != "json":
+            raise EngineError("invalid", key)
+        return self.put(namespace, key, value, ttl_seconds, condition)
+
+    def forget(self, namespace: str, key: str, condition: str = "any") -> tuple[Engine, dict]:
+        """Deletes a memory; a raw record of that key is not found."""
+        self._namespace(namespace, "delete")
+        own = self._with(principal=None)
+        own.memory_get(namespace, key)
+        return self.delete(namespace, key, condition)
+
+    def cleanup(self, namespace: str) -> tuple[Engine, int]:
+        """Removes expired records, a batch of the policy's size at most; their number."""
+        after, row = self._apply(namespace, "delete", "", "cleanup", ttl=self.policy.limits.cleanup_batch)
+        return after, row["revision"]
+
+    def outcomes(self, namespace: str, operation: str = "stats") -> DataFrame:
+        ns = self._namespace(namespace, operation)
         return oplog.fold_outcomes(self.log.where(F.col("namespace") == namespace), ns)
 
     def records(self, namespace: str, operation: str = "get") -> DataFrame:
@@ -114,23 +162,50 @@ class Engine:
         last = rows[-1] if len(rows) == query.limit else None
         return rows, cursors.encode([cursors.score_bits(last["score"]), last["key"]], bound) if last else None
 
-    def restore(self, receipts: DataFrame, bundles: DataFrame, namespace: str, agent: str, session: str, budget: int = 32_768) -> dict:
-        """The latest checkpoint of a session with its references resolved, or an error, never a part."""
-        self._namespace(namespace, "get")
-        own = receipts.where((F.col("namespace") == namespace) & (F.col("agent_id") == agent) & (F.col("session_id") == session))
+    def receipts(self, namespace: str, operation: str = "get") -> DataFrame:
+        self._namespace(namespace, operation)
+        return checkpoints.fold_checkpoints(self.saves.where(F.col("namespace") == namespace))
+
+    def checkpoint(self, namespace: str, id: str, agent: str, session: str, capsule: dict, references: list[dict] = (), expected_revision: int | None = None) -> tuple[Engine, dict]:
+        """Saves a bundle and moves the session's pointer, both or neither."""
+        if self._namespace(namespace, "put").purpose != "checkpoints":
+            raise EngineError("invalid", namespace)
+        for ref in references:
+            self._namespace(ref["namespace"], "get")
+        last = self.saves.where(F.col("namespace") == namespace).agg(F.max("seq")).first()[0]
+        seq = 0 if last is None else last + 1
+        row = (namespace, seq, id, agent, session, json.dumps(capsule, ensure_ascii=False), json.dumps(list(references)), expected_revision)
+        after = self._with(saves=self.saves.unionByName(self.spark.createDataFrame([row], self.SAVES)))
+        receipt = after.receipts(namespace, "put").where(F.col("seq") == seq).first()
+        if receipt["error_code"]:
+            raise EngineError(receipt["error_code"], id)
+        return after, receipt.asDict()
+
+    def restore_latest(self, namespace: str, agent: str, session: str, budget: int = 32_768) -> dict:
+        own = self.receipts(namespace).where((F.col("agent_id") == agent) & (F.col("session_id") == session))
         head = checkpoints.latest_checkpoints(own).first()
         if head is None:
             raise EngineError("not_found", f"{agent}/{session}")
-        bundle = bundles.where((F.col("namespace") == namespace) & (F.col("id") == head["id"])).first()
-        refs = json.loads(bundle["refs"] or "[]")
-        out = {"checkpoint_id": head["id"], "revision": head["revision"], "latest_revision": head["latest_revision"], "capsule": json.loads(bundle["capsule"]), "references": []}
-        for ref in refs:
-            allowed = self.principal is None or (self.principal, ref["namespace"], "get") in self.policy.grants
-            try:
-                status = "forbidden" if not allowed else "available" if self.get(ref["namespace"], ref["key"])["revision"] == ref["revision"] else "stale"
-            except EngineError as error:
-                status = "missing" if error.code in ("not_found", "namespace_not_found") else "forbidden"
-            out["references"].append({**ref, "status": status})
+        return self.restore(namespace, head["id"], budget)
+
+    def restore(self, namespace: str, id: str, budget: int = 32_768) -> dict:
+        """A checkpoint with its references resolved, or an error, never a part."""
+        if not checkpoints.RESTORE_BUDGET[0] <= budget <= checkpoints.RESTORE_BUDGET[1]:
+            raise EngineError("invalid", "restore budget must be 512..1048576 bytes")
+        saved = self.receipts(namespace).where((F.col("id") == id) & F.col("error_code").isNull()).orderBy("seq").first()
+        if saved is None:
+            raise EngineError("not_found", id)
+        bundle = self.saves.where((F.col("namespace") == namespace) & (F.col("seq") == saved["seq"])).first()
+        pointer = checkpoints.latest_checkpoints(self.receipts(namespace)).where((F.col("agent_id") == saved["agent_id"]) & (F.col("session_id") == saved["session_id"])).first()
+        out = {"checkpoint_id": id, "revision": saved["revision"], "latest_revision": pointer["latest_revision"], "capsule": json.loads(bundle["capsule"]), "references": []}
+        for ref in json.loads(bundle["refs"] or "[]"):
+            out["references"].append({**ref, "status": self._status(ref)})
         if len(json.dumps(out, ensure_ascii=False).encode()) > budget:
             raise EngineError("invalid", "restore exceeds its byte budget")
         return out
+
+    def _status(self, ref: dict) -> str:
+        try:
+            return "available" if self.get(ref["namespace"], ref["key"])["revision"] == ref["revision"] else "stale"
+        except EngineError as error:
+            return "forbidden" if error.code == "forbidden" else "missing"

@@ -121,3 +121,34 @@ operations = ["get", "put"]
             bad.validate()
     with pytest.raises(PolicyError):
         parse_policy('[[namespaces]]\nname = "n"\nunknown = 1')
+
+
+def test_operations_one_by_one(spark):
+    policy = Policy((Namespace("knowledge"), Namespace("saves", purpose="checkpoints")))
+    engine = Engine(spark, policy, now_ms=10_000)
+    engine, row = engine.remember("knowledge", "m", "a fact", "topic", ["x"], occurred_at_ms=5)
+    assert row["revision"] == 1
+    engine, _ = engine.put("knowledge", "raw", b"{}", 1)
+    for code, act in (
+        ("conflict", lambda: engine.remember("knowledge", "m", "again", "topic")),
+        ("invalid", lambda: engine.remember("knowledge", "n", "", "topic")),
+        ("not_found", lambda: engine.forget("knowledge", "raw")),
+        ("not_found", lambda: engine.at(11_000).delete("knowledge", "raw")),
+        ("invalid", lambda: engine.checkpoint("knowledge", "c", "a", "s", {})),
+        ("invalid", lambda: engine.checkpoint("saves", "c", "a", "s", {"goal": ""})),
+    ):
+        with pytest.raises(EngineError) as error:
+            act()
+        assert error.value.code == code
+    later, removed = engine.at(11_000).cleanup("knowledge")
+    assert removed == 1 and later.usage("knowledge")["entries"] == 1
+    capsule = {"goal": "g", "summary": "s", "next_action": "n"}
+    refs = [{"namespace": "knowledge", "key": "m", "revision": 1}, {"namespace": "knowledge", "key": "none", "revision": 1}]
+    engine, receipt = engine.checkpoint("saves", "c1", "a", "s", capsule, refs)
+    assert receipt["is_latest"] and receipt["latest_revision"] == 2
+    engine, _ = engine.checkpoint("saves", "c2", "a", "s", capsule, [], 2)
+    assert engine.restore_latest("saves", "a", "s")["checkpoint_id"] == "c2"
+    old = engine.restore("saves", "c1")
+    assert [r["status"] for r in old["references"]] == ["available", "missing"] and old["latest_revision"] == 4
+    engine, _ = engine.forget("knowledge", "m")
+    assert [r["status"] for r in engine.restore("saves", "c1")["references"]] == ["missing", "missing"]
