@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -86,8 +88,9 @@ def _remove(spark: SparkSession, path: str) -> None:
         jvm = spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # at interpreter exit the JVM may be gone; the folder is scratch
-        pass
+    except Exception:  # at interpreter exit the JVM may be gone
+        if path.startswith("file:"):
+            shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

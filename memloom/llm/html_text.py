@@ -45,6 +45,7 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article blockquote body center dd div html li main section table tbody td tr".split())
 FURNITURE = frozenset("aside button dialog footer form head header menu nav search select option".split())
+WRAPPED_FURNITURE = FURNITURE - {"form"}
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: A start tag ends these open elements (up to the nearest of the second set).
 ENDS = {
@@ -106,7 +107,8 @@ def is_furniture(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
         if _HIDDEN.search(attrs.get("style", "")):
             return True
         named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        if tag not in ("html", "body", "article", "main") and any(w.lower() in FURNITURE_WORDS for w in _WORDS.findall(named)):
+        words = {w.lower() for w in _WORDS.findall(named)} - ({"header"} if inside_article else set())
+        if tag not in ("html", "body", "article", "main") and words & FURNITURE_WORDS:
             return True
     return False
 
@@ -202,7 +204,11 @@ def parse(source: str) -> list[Node]:
         up.holds.append(node)
         nodes.append(node)
         stack.append(node)
-        articles += tag in ("article", "main")
+        if tag in ("article", "main"):
+            articles += 1
+            for around in stack[1:-1]:  # a layout's name or form does not make its story furniture
+                if around.tag not in WRAPPED_FURNITURE:
+                    around.furniture = False
         link = 0
     return nodes
 

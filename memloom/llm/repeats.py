@@ -637,8 +637,9 @@ def _payloads(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
 def repeated_text(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
     scratch = scratch or Scratch(spark, "repeats")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # as many buckets as shuffles have partitions, but few for a table of few splits
+    buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * source.rdd.getNumPartitions()))
 
     def reduce_units(batches):
         blobs = []

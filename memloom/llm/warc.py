@@ -9,8 +9,8 @@ Packages are written by tasks to the shared folder under a name of their own att
 names that successful tasks return are read, so lost executors and repeated attempts do no harm.
 
 Defined results: a null html is an empty payload; a null id is written and read back as null; rows
-that repeat an id are separate records; an empty table gives an empty result; other columns of the
-table are never read.
+that repeat an id are separate records, and all rows with the id that answers for a payload are
+responses; an empty table gives an empty result; other columns of the table are never read.
 """
 
 from __future__ import annotations

@@ -43,6 +43,8 @@ def test_extraction_of_one_page():
         ("<p title='a>b'>q</p>", "q"),
         ("</p></div>x", "x"),
         ("<" * 50, "<" * 50),
+        ("<div class='with-sidebar'><form><article><header class=entry-header><h1>T</h1></header><p>x</p></article></form><div class=sidebar>y</div></div>", "T\nx"),
+        ("<main><p>x</p></main><aside><article>teaser</article></aside>", "x"),
     ],
 )
 def test_broken_pages(source, text):
