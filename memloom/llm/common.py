@@ -49,6 +49,10 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         root = "file:///tmp/checkpoints"
+    if "://" not in root:  # a plain path is the default file system's, for Python's writers too
+        target = spark._jvm.org.apache.hadoop.fs.Path(root)
+        whole = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+        root = re.sub("^file:/*", "file:///", whole)
     return root.rstrip("/")
 
 

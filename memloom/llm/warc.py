@@ -20,6 +20,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -44,7 +45,7 @@ _BIG = 0xFFFFFFFF
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 class StoredZip:

@@ -222,3 +222,14 @@ def test_held_out_accuracy_on_driver_tables(spark, sf_dir):
     toxic = [r for r in got if r["toxic"]]
     assert sum(r["predicted"] for r in clean) <= 0.05 * len(clean)
     assert sum(r["predicted"] for r in toxic) >= 0.5 * len(toxic)
+
+
+def test_scratch_folders_are_whole_addresses(spark, monkeypatch):
+    from memloom.llm import common
+
+    class Conf:
+        def get(self, *_):
+            return "/tmp/plain/"
+
+    monkeypatch.setattr(type(spark.sparkContext), "getConf", lambda self: Conf())
+    assert common.scratch_root(spark) == "file:///tmp/plain"
