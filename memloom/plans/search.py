@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import B, K1, idf, live, saturation
+from ..functions.scalar import idf, live, saturation
 from ..functions.stem import may_share_stem, stem
 from ..functions.text import contains_all, literal_terms, plain_words, stem_counts, words
 
@@ -229,6 +229,3 @@ def byte_page(hits: DataFrame, order: list[Column], size: Column, max_bytes: int
     """The leading hits whose sizes fit together; `hits` is a page already, of 100 rows at most."""
     running = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return hits.withColumn("used", running).where(F.col("used") <= max_bytes)
-
-
-__all__ = ["B", "K1", "Filters", "SearchQuery", "batch_search", "byte_page", "recall", "search"]
