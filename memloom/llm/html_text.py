@@ -36,7 +36,6 @@ SHARE = 0.8
 MAX_DEPTH = 64
 
 #: Tag names by their role.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math textarea title object canvas noembed noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
