@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,8 +77,9 @@ class Engine:
     def delete(self, namespace: str, key: str, condition: str = "any") -> tuple[Engine, dict]:
         return self._apply(namespace, "delete", key, "delete", condition=condition)
 
-    def remember(self, namespace: str, key: str, content: str, topic: str, tags: list[str] | None = None, metadata: dict | None = None, occurred_at_ms: int | None = None, ttl_seconds: int | None = None, condition: str = "absent") -> tuple[Engine, dict]:
-        """Keeps a memory; new by default. Durable JSON namespaces only."""
+    def remember(self, namespace: str, key: str | None, content: str, topic: str, tags: list[str] | None = None, metadata: dict | None = None, occurred_at_ms: int | None = None, ttl_seconds: int | None = None, condition: str = "absent") -> tuple[Engine, dict]:
+        """Keeps a memory; new by default, under a random key if none is given. Durable JSON namespaces only."""
+        key = key or str(uuid.uuid4())
         ns = self._namespace(namespace, "put")
         value = self.envelope(content, topic, tags, metadata, occurred_at_ms)
         labels = [topic, *(tags or [])]

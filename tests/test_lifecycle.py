@@ -60,6 +60,12 @@ def test_folds(spark):
     assert lifecycle.profile(lifecycle.fold_slots(df), 0).count() == 0
 
 
+def test_batches_are_validated_first(spark):
+    bad = [("me", "ann", "city", 9, "assert", "x", "fact", "s9", "t", "assistant", 40, None, None), ("me", " ", "city", 10, "assert", "x", "fact", "s10", "t", "user", 40, None, None)]
+    got = [r["status"] for r in lifecycle.apply_batch(spark.createDataFrame(rows() + bad, SCHEMA)).orderBy("seq").collect()]
+    assert got == ["created", "stale", "duplicate", "conflict", "invalid_role", "missing_field"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     for i, part in enumerate((rows()[:2], rows()[2:])):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
