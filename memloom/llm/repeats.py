@@ -40,9 +40,9 @@ from .common import Scratch, blocks
 
 THRESHOLD = 50
 ANCHOR = 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes that are hashed at once; longer texts are cut into segments that overlap by a window.
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 256 << 10
 _P = np.uint64(0xD1342543DE82EF95)
 _MIX = np.uint64(0x9FB21C651E98DF25)
 _NO_ID = np.iinfo(np.int64).max
@@ -136,6 +136,10 @@ class Segment:
         self.part, self.owner = part, self.text[part]
         self.offset = self.first - begin[part] + self.shift[part]  # in its text
 
+    def records(self) -> tuple[np.ndarray, ...]:
+        """What a shard keeps of its units; the hashes of the segment can go."""
+        return self.anchor, self.unit, self.sides, self.owner.astype(np.int32), self.offset.astype(np.int32), (self.last - self.first).astype(np.int8)
+
     def names(self) -> np.ndarray:
         """Digit and text of each unit in one number."""
         return mix(self.unit ^ self.anchor * _P) + self.owner.astype(np.uint64) * _MIX
@@ -186,9 +190,17 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def unpack_all(blobs: Iterable[bytes], *kinds: str) -> list[np.ndarray]:
-    parts = [unpack(b, *kinds) for b in blobs]
-    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)]
+def unpack_all(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
+    """The arrays of all blobs in a row; the blobs are taken from the list, so that they can go."""
+    parts: list[list[np.ndarray]] = [[] for _ in kinds]
+    while blobs:
+        for part, array in zip(parts, unpack(blobs.pop(), *kinds), strict=True):
+            part.append(array)
+    out = []
+    for part, kind in zip(parts, kinds, strict=True):
+        out.append(np.concatenate(part) if part else np.zeros(0, kind))
+        part.clear()
+    return out
 
 
 def by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -245,8 +257,8 @@ class Shard:
 
 def shards(batches: Iterable[pa.RecordBatch], limit: int = SHARD_BYTES) -> Iterator[Shard]:
     ids, raw, size = [], [], 0
-    for batch in blocks(batches, "text", limit // 4):
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+    for batch in blocks(batches, "text", 1 << 20):
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):  # a few MB
             t = t or b""
             if raw and size + len(t) > limit:
                 yield Shard(ids, raw)
@@ -283,12 +295,10 @@ def first_pass(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[tupl
     """Units of the documents: records by anchor bucket, and verdicts that a shard can give itself."""
     powers = Powers()
     for shard in shards(batches):
-        parts = [Segment(p, shard.raw, powers) for p in segments(list(map(len, shard.raw)))]
+        parts = [Segment(p, shard.raw, powers).records() for p in segments(list(map(len, shard.raw)))]
         if not parts:
             continue
-        anchor, unit, sides, owner, offset, size = (
-            np.concatenate(x) for x in zip(*((s.anchor, s.unit, s.sides, s.owner, s.offset, s.last - s.first) for s in parts), strict=True)
-        )
+        anchor, unit, sides, owner, offset, size = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         doc, tag = shard.doc[owner], shard.tag[owner]
         stand, repeated, _ = settle(anchor, unit, doc, tag, offset)
