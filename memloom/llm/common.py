@@ -22,12 +22,15 @@ WORD_REGEX = r"[^\x20\x09-\x0D]+"
 #: UTF-8 bytes that one block of rows holds at most (a single longer text is a block of its own).
 BLOCK_BYTES = 2 << 20
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, so that a cluster needs no installation of it."""
+    """Give executors this package, so that a cluster needs no installation of it, and bound the
+    bytes of the batches that go to Python."""
+    spark.conf.set(_BATCH, str(BLOCK_BYTES))  # else 10,000 rows, however long their texts
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
