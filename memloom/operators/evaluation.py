@@ -118,7 +118,7 @@ def context_blocks(hits: DataFrame, budget: int, top_sources: int) -> DataFrame:
     ranked = hits.withColumn("first", F.min("rank").over(first))
     ranked = ranked.withColumn("source_at", F.dense_rank().over(Window.partitionBy("query_id").orderBy("first"))).where(F.col("source_at") <= top_sources)
     text = F.concat(F.lit("\n[Source "), "source_id", F.lit(", part "), F.col("part").cast("string"), F.lit("]\n"), F.col("content"))
-    sized = ranked.withColumn("text", text).withColumn("words", F.size(F.split(F.trim("text"), r"\s+")).cast("long"))
+    sized = ranked.withColumn("text", text).withColumn("words", F.regexp_count("text", F.lit(r"\S+")).cast("long"))
     used = sized.withColumn("used", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return used.where(F.col("used") < budget).withColumn("words_kept", F.least(F.col("words"), F.lit(budget) - F.col("used")))
 

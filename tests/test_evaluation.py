@@ -1,8 +1,10 @@
 import math
 import random
+import re
 
 import pytest
 
+from memloom import queries as base
 from memloom.operators import evaluation, ledger
 
 
@@ -61,3 +63,22 @@ def test_snapshots(spark):
     got = {(r["snapshot_id"], r["asset"]): (r["change"], r["decreased"]) for r in ledger.snapshot_deltas(s).collect()}
     assert got == {(1, "a"): (None, False), (1, "b"): (None, False), (3, "a"): (-1, True), (3, "c"): (None, False)}
     assert [r["asset"] for r in ledger.removed_assets(s, 1, 3).collect()] == ["b"]
+
+
+def test_context_of_every_query(spark, sf_dir):
+    """The registered query against plain loops over the same hits."""
+    hits = base.s11_batch_search(spark, sf_dir).collect()
+    docs = {f"doc/{r['doc_id']}": r for r in base.read(spark, sf_dir, "documents").collect()}
+    want = set()
+    for query in {h["query_id"] for h in hits}:
+        own = sorted((h["rank"], h["key"]) for h in hits if h["query_id"] == query)
+        sources = list(dict.fromkeys(docs[key]["source"] for _, key in own))[:3]
+        used = 0
+        for rank, key in own:
+            source = docs[key]["source"]
+            if source in sources and used < 500:
+                n = len(re.findall(r"\S+", f"[Source {source}, part 0] {docs[key]['text']}", re.ASCII))
+                want.add((query, rank, source, n, used, min(n, 500 - used)))
+                used += n
+    got = base.e09_context(spark, sf_dir).select("query_id", "rank", "source_id", "words", "used", "words_kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and max(r["query_id"] for r in got) >= 20
