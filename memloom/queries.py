@@ -255,12 +255,20 @@ def c01_latest_checkpoint(spark, sf):
     return checkpoints.latest_checkpoints(checkpoints.fold_checkpoints(_checkpoint_log(spark, sf))).select("session_id", "id", "revision", "latest_revision")
 
 
-def c02_reference_status(spark, sf):
-    current = records.latest(event_log(spark, sf))
-    refs = event_log(spark, sf).where("revision % 10 = 0").select("namespace", "key", "revision")
+def _reference_status(spark, sf, refs: DataFrame) -> DataFrame:
     gone = refs.withColumn("key", F.when(F.col("revision") % 50 == 0, F.concat("key", F.lit("-gone"))).otherwise(F.col("key")))
     allowed = spark.createDataFrame([("n0",), ("n1",), ("n2",)], "namespace string")
-    return checkpoints.reference_status(gone, current, NOW_MS, allowed)
+    return checkpoints.reference_status(gone, records.latest(event_log(spark, sf)), NOW_MS, allowed)
+
+
+def c02_reference_status(spark, sf):
+    """Every tenth log row as a reference, as its SQL has it; `c04` checks all of them."""
+    return _reference_status(spark, sf, event_log(spark, sf).where("revision % 10 = 0").select("namespace", "key", "revision"))
+
+
+def c04_all_reference_status(spark, sf):
+    """Every log row as a reference."""
+    return _reference_status(spark, sf, event_log(spark, sf).select("namespace", "key", "revision"))
 
 
 def c03_prunable(spark, sf):
@@ -658,6 +666,7 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
         c03_prunable,
         """SELECT 'c' || conv_id AS namespace, 'c' || conv_id || '-' || turn AS id FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS z FROM conversations WHERE role = 'assistant' AND trim(text) <> '') WHERE z > 1""",
     ),
+    "c04_all_reference_status": (c04_all_reference_status, None),
     "l01_receipts": (l01_receipts, None),
     "l02_profile": (l02_profile, None),
     "l03_slots": (l03_slots, None),

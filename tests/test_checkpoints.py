@@ -1,5 +1,6 @@
 import json
 
+from memloom import queries as base
 from memloom.operators import checkpoints
 from memloom.operators.checkpoints import CheckpointState
 
@@ -42,3 +43,21 @@ def test_fold_latest_and_prunable(spark):
     assert {r["id"] for r in checkpoints.prunable(receipts.select("namespace", "id"), checkpoints.latest_checkpoints(receipts)).collect()} == {"c0", "c1"}
     small = checkpoints.within_budget(receipts.select("id"), 512)
     assert small.where("error_code is not null").count() == 0
+
+
+def test_status_of_every_reference(spark, sf_dir):
+    """The registered query against plain loops over the whole log."""
+    log = base.event_log(spark, sf_dir).select("namespace", "key", "revision", "expires_at_ms").collect()
+    current = {}
+    for r in sorted(log, key=lambda r: r["revision"]):
+        current[r["namespace"], r["key"]] = r
+    want = []
+    for namespace, key, revision, _ in log:
+        key += "-gone" if revision % 50 == 0 else ""
+        held = current.get((namespace, key))
+        if held is not None and held["expires_at_ms"] is not None and held["expires_at_ms"] <= base.NOW_MS:
+            held = None
+        status = "forbidden" if namespace == "n3" else "missing" if held is None else "available" if held["revision"] == revision else "stale"
+        want.append((namespace, key, revision, status))
+    got = base.queries()["c04_all_reference_status"](spark, sf_dir).select("namespace", "key", "revision", "status").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {w[3] for w in want} == {"forbidden", "missing", "available", "stale"}
