@@ -3,11 +3,15 @@
 Every page's containers are scored by the text they hold outside of links and page furniture; the
 page votes for the generalised tag-class path of the smallest that has nearly all of it. The votes
 are summed per host in Spark, and each page is read again with its host's winning path. A page that
-has no such container is read with its own.
+has no such container is read with its own, and so is one of another template: its winning containers
+hold less than SHARE of what its own main container does, and the path of that is the main one on
+most of the host's pages that have it. (A path that more pages have beside their story is a sidebar,
+however long it is on one page.)
 
 Blocks are the texts between block-level tags; a line break tag counts as white space. Furniture
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) goes by tag, role or words
-in class and id, and lists that are links only go as menus.
+in class and id, and lists that are links only go as menus; paragraphs, divisions and tables of links
+only do so outside of articles and of the chosen container.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own;
 repeated rows and null ids are answered row by row; equal votes go to the greater path; an empty
@@ -19,7 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,11 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, blocks
 
-#: Hosts whose winning paths may be broadcast (about 100 bytes each); beyond, a salted join is used.
+#: Hosts' paths that may be broadcast (about 100 bytes each, one a host and its side paths); beyond, a salted join is used.
 BROADCAST_HOSTS = 20_000
 SALTS = 32
 #: Share of a container's text from which a container below it stands for it.
 SHARE = 0.8
+#: Tags that go as menus if they hold links only, anywhere or outside of articles.
+LINK_LISTS = frozenset("ul ol dl".split())
+LINK_BLOCKS = frozenset("div p table".split())
 #: Depth from which containers share their parent's path.
 MAX_DEPTH = 64
 
@@ -75,10 +82,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "furniture", "holds", "order", "text", "links", "junk", "n_links", "depth")
+    __slots__ = ("tag", "path", "parent", "furniture", "holds", "order", "text", "links", "junk", "n_links", "depth", "in_article", "menu")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, furniture: bool, order: int):
+    def __init__(self, tag: str, path: str, parent: Node | None, furniture: bool, order: int, in_article: bool = False):
         self.tag, self.path, self.parent, self.furniture, self.order = tag, path, parent, furniture, order
+        self.in_article, self.menu = in_article, False
         self.holds: list = []  # texts, nodes and None for a block's edge
         self.text = self.links = self.junk = self.n_links = 0
         self.depth = parent.depth + 1 if parent else 0
@@ -198,7 +206,7 @@ def parse(source: str) -> list[Node]:
         attrs = attributes(m[3]) if m[3] and not m[3].isspace() else {}
         step = tag + ("." + g if (g := generalised(attrs.get("class", ""))) else "")
         path = f"{up.path}/{step}" if up.depth < MAX_DEPTH else up.path
-        node = Node(tag, path, up, is_furniture(tag, attrs, articles > 0), len(nodes))
+        node = Node(tag, path, up, is_furniture(tag, attrs, articles > 0), len(nodes), articles > 0)
         up.holds.append(None)
         up.holds.append(node)
         nodes.append(node)
@@ -225,7 +233,7 @@ def _end_of(source: str, tag: str, at: int) -> int:
 
 
 def measure(nodes: list[Node]) -> None:
-    """Text, link text and furniture under each element, in characters; link lists become furniture."""
+    """Text, link text and furniture under each element, in characters; menus become furniture."""
     for node in reversed(nodes):
         for held in node.holds:
             if isinstance(held, tuple):
@@ -241,8 +249,9 @@ def measure(nodes: list[Node]) -> None:
                     node.text += held.text
                     node.links += held.links
                     node.junk += held.junk
-        if not node.furniture and node.tag in ("ul", "ol", "div", "dl", "p", "table") and node.n_links >= 3 and node.links >= 0.9 * node.text:
-            node.furniture = True
+        if not node.furniture and node.n_links >= 3 and node.links >= 0.9 * node.text:
+            node.menu = node.tag in LINK_BLOCKS and not node.in_article
+            node.furniture = node.menu or node.tag in LINK_LISTS
 
 
 def score(node: Node) -> float:
@@ -278,19 +287,25 @@ def main_container(found: list[Node]) -> Node | None:
     return node
 
 
-def votes(source: str) -> list[tuple[str, float]]:
-    """The path of the page's main container, and with half the weight that of the one around it."""
+def votes(source: str) -> list[tuple[str, float, int, int]]:
+    """Rows path, vote, main, seen: the path of the page's main container, with half the vote that of
+    the one around it, and the paths of all its containers."""
     nodes = parse(source)
     measure(nodes)
-    best = main_container(candidates(nodes))
+    found = candidates(nodes)
+    best = main_container(found)
     if best is None or not best.path:
         return []
-    up = best.parent
-    return [(best.path, 1.0), *([(up.path, 0.5)] if up is not None and up.path else [])]
+    around = best.parent.path if best.parent is not None else ""
+    paths = {x.path for x in found if x.path} | {best.path, *([around] if around else [])}
+    rows = ((p, 1.0 if p == best.path else 0.5 if p == around else 0.0, int(p == best.path), 1) for p in paths)
+    return sorted(rows, key=lambda x: -x[1])
 
 
 def block_texts(node: Node) -> Iterator[str]:
-    """Texts of the blocks under a container, furniture left out."""
+    """Texts of the blocks under a container, furniture left out; below the page's body, blocks of
+    links stay."""
+    whole = node.tag not in ("html", "body")
     parts: list[str] = []
     todo = [iter(node.holds)]
     while todo:
@@ -301,7 +316,7 @@ def block_texts(node: Node) -> Iterator[str]:
                 if parts:
                     yield "".join(parts)
                     parts = []
-            elif not held.furniture:
+            elif not held.furniture or (whole and held.menu):
                 todo.append(iter(held.holds))
                 break
         else:
@@ -311,19 +326,26 @@ def block_texts(node: Node) -> Iterator[str]:
                 parts = []
 
 
-def extract(source: str | None, path: str | None = None) -> str:
-    """Main text of a page, from the containers of that path or else the page's own best one."""
+def extract(source: str | None, path: str | None = None, sides: Iterable[str] = ()) -> str:
+    """Main text of a page, from the containers of that path or else the page's own best one.
+
+    `sides` are the paths that are not the main one on most pages that have them.
+    """
     if not source:
         return ""
     nodes = parse(source)
     measure(nodes)
     found = candidates(nodes)
+    own = main_container(found) or nodes[0]
     chosen = [x for x in found if x.path == path] if path else []
     if chosen:
         inside = {x.order for x in chosen}
         chosen = sorted((x for x in chosen if not _within(x, inside)), key=lambda x: x.order)
+        covered = own.order in inside or _within(own, inside)
+        if not covered and own.path not in sides and sum(map(score, chosen)) < SHARE * score(own):
+            chosen = [own]
     else:
-        chosen = [main_container(found) or nodes[0]]
+        chosen = [own]
     lines = []
     for node in chosen:
         for text in block_texts(node):
@@ -346,29 +368,35 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """Rows (host, path): the path with the most votes of each host."""
+    """Rows (host, path, sides): the path with the most votes of each host, and the paths that are
+    the main one on some of the pages that have them, but not on most."""
 
     def run(batches):
-        held: dict[tuple[str, str], float] = defaultdict(float)
+        held: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0, 0])
 
         def flush():
             hosts, paths = zip(*held, strict=True)
-            batch = pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "path": pa.array(paths, pa.string()), "votes": pa.array(held.values(), pa.float64())})
+            weight, main, seen = zip(*held.values(), strict=True)
+            columns = {"host": pa.array(hosts, pa.string()), "path": pa.array(paths, pa.string()), "votes": pa.array(weight, pa.float64()), "main": pa.array(main, pa.int64()), "seen": pa.array(seen, pa.int64())}
             held.clear()
-            return batch
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in blocks(batches, "html"):
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for path, weight in votes(source) if source else ():
-                    held[host, path] += round(weight * 1000)  # whole numbers: sums do not depend on order
+                for path, weight, main, seen in votes(source) if source else ():
+                    sums = held[host, path]
+                    sums[0] += round(weight * 1000)  # whole numbers: sums do not depend on order
+                    sums[1] += main
+                    sums[2] += seen
             if len(held) > 50_000:
                 yield flush()
         if held:
             yield flush()
 
-    cast = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(run, "host string, path string, votes double")
-    summed = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return summed.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("best")).select("host", F.col("best.path").alias("path"))
+    cast = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(run, "host string, path string, votes double, main long, seen long")
+    summed = cast.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("votes", "main", "seen"))).where("votes > 0")
+    side = F.when((F.col("main") > 0) & (2 * F.col("main") <= F.col("seen")), F.col("path"))
+    return summed.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("best"), F.collect_list(side).alias("sides")).select("host", F.col("best.path").alias("path"), "sides")
 
 
 def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -376,7 +404,7 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "hosts")
     paths = scratch.put(host_paths(pages), "paths")
     source = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    if paths.count() <= BROADCAST_HOSTS:
+    if (paths.agg(F.sum(F.size("sides") + 1)).first()[0] or 0) <= BROADCAST_HOSTS:
         joined = source.join(F.broadcast(paths), "host", "left")
     else:  # a hot host's pages spread over SALTS keys
         salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -385,11 +413,11 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in blocks(batches, "html"):
-            texts = [extract(s, p) for s, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [extract(*row) for row in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
     kind = source.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "path").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "path", F.coalesce("sides", F.array().cast("array<string>")).alias("sides")).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -68,6 +68,35 @@ def test_consensus_of_a_host(spark):
     assert html_text.main_text(spark, df.limit(0)).count() == 0
 
 
+def test_second_template_of_a_host(spark, monkeypatch):
+    """Pages whose winning container holds a teaser only are read by their own template's."""
+    story = "a long enough story of this page " * 5
+    rows = [(i, "https://h.example/p", f"<body><div><p>{story}{i}</p></div>") for i in range(20)]
+    rows += [(100 + i, "https://h.example/p", f"<body><div><p>teaser</p></div><main><p>{story}{i}</p></main>") for i in range(3)]
+    rows += [(200, "https://h.example/p", f"<body><div><p>teaser</p></div><section class=second><p>{story}</p></section>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {**{i: f"{story}{i}" for i in range(20)}, **{100 + i: f"{story}{i}" for i in range(3)}, 200: story.strip()}
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(spark, df).collect()} == want
+    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 0)
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(spark, df).collect()} == want
+
+
+LINKS = "<a href=a>one</a> <a href=b>two</a> <a href=c>three</a>"
+
+
+@pytest.mark.parametrize(
+    "source,path,text",
+    [
+        (f"<article><h1>T</h1><p>x</p><p>{LINKS}</p><div>{LINKS}</div><table><tr><td>{LINKS}</table></article>", None, "T\nx\none two three\none two three\none two three"),
+        (f"<article><h1>T</h1><p>x</p><ul><li>{LINKS}</ul></article>", None, "T\nx"),
+        (f"<body><div class=s><p>a story of some length</p><p>{LINKS}</p></div><div>{LINKS}</div>", "/body/div.s", "a story of some length\none two three"),
+        (f"<body><p>a story</p><div>{LINKS}</div>", None, "a story"),
+    ],
+)
+def test_blocks_of_links_stay_in_the_article(source, path, text):
+    assert html_text.extract(source, path) == text
+
+
 def test_salted_join_gives_the_same(spark, sf_dir, monkeypatch):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     a = sorted(map(tuple, html_text.main_text(spark, pages).collect()))
