@@ -1,7 +1,7 @@
 """Quality rules with compression bands.
 
 The base rules count words, symbols, repeated lines and words in repeated five-word windows. The
-bands compress each whole document, and its fixed chunks, with zstandard: a ratio above the limit
+bands compress each whole document, its fixed chunks and its last 2 KiB, with zstandard: a ratio above the limit
 for the document's length says repetitive, one below it says incompressible.
 
 Defined results: a null text has no words (all counts 0, base_failed, not kept); texts under 64
@@ -31,6 +31,7 @@ CHUNK_BAND = (1.4, 2.22)
 #: Least and most ratio of raw to compressed bytes, by bit length of the raw size.
 #: Prose compresses the better the longer it is, so each length class has limits of its own; the
 #: upper ones lie about 0.1 above the highest ratio of prose, the lower ones below random base64.
+#: From 2 MiB up, where the compressor's window is full, ratios hardly rise.
 BANDS = {
     7: (0.70, 1.60),
     8: (0.85, 1.75),
@@ -43,6 +44,11 @@ BANDS = {
     15: (1.45, 2.60),
     16: (1.45, 2.66),
     17: (1.45, 2.75),
+    18: (1.45, 2.75),
+    19: (1.45, 2.76),
+    20: (1.45, 2.78),
+    21: (1.45, 2.79),
+    22: (1.45, 2.80),
 }
 
 
@@ -62,19 +68,26 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 
 
 def band_fails(raw: bytes, compressor: zstandard.ZstdCompressor) -> bool:
-    """Whether the whole document or too many of its fixed chunks leave their band."""
+    """Whether the whole document or too many of its fixed chunks leave their band, its last chunk
+    (which overlaps the one before it, where the length is no multiple) counted or not."""
     if len(raw) < 64:
         return False
-    least, most = BANDS[min(len(raw).bit_length(), 17)]
+    least, most = BANDS[min(len(raw).bit_length(), max(BANDS))]
     if not least <= len(raw) / len(compressor.compress(raw)) <= most:
         return True
-    chunks = outside = 0
+    if len(raw) < CHUNK_BYTES:
+        return False
     view = memoryview(raw)
-    for at in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES):
+
+    def leaves(at: int) -> bool:
         ratio = CHUNK_BYTES / len(compressor.compress(view[at : at + CHUNK_BYTES]))
-        chunks += 1
-        outside += not CHUNK_BAND[0] <= ratio <= CHUNK_BAND[1]
-    return chunks > 0 and outside >= CHUNK_SHARE * chunks
+        return not CHUNK_BAND[0] <= ratio <= CHUNK_BAND[1]
+
+    chunks = len(raw) // CHUNK_BYTES
+    outside = sum(leaves(at * CHUNK_BYTES) for at in range(chunks))
+    if outside >= CHUNK_SHARE * chunks:
+        return True
+    return len(raw) % CHUNK_BYTES > 0 and outside + leaves(len(raw) - CHUNK_BYTES) >= CHUNK_SHARE * (chunks + 1)
 
 
 def profile(text: str, compressor: zstandard.ZstdCompressor) -> tuple[int, int, int, int, int, bool, bool]:

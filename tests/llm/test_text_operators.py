@@ -101,6 +101,22 @@ def test_bands():
     assert quality.band_fails(half.encode(), c)
 
 
+def test_last_chunk_is_judged():
+    c = zstandard.ZstdCompressor(level=3)
+    rng = __import__("random").Random(3)
+    prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(900))[:2048]
+    noise = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1952))
+    assert quality.band_fails((prose + noise).encode(), c)
+    assert quality.band_fails((noise + noise[:96] + prose[:1952]).encode(), c)
+    assert not quality.band_fails((prose + prose[::-1][:100]).encode(), c)
+
+
+def test_long_texts_have_limits_of_their_own():
+    """Highest ratios of shuffled labelled prose of sf0.1, by length class."""
+    for length, ratio in {17: 2.549, 18: 2.534, 19: 2.655, 20: 2.672, 21: 2.685, 22: 2.690}.items():
+        assert quality.BANDS[length][1] >= ratio + 0.1
+
+
 def test_quality_of_odd_rows(spark):
     rows = quality.quality_rules(odd(spark)).collect()
     assert len(rows) == len(ODD) and not any(r["kept"] for r in rows if r["base_failed"])
