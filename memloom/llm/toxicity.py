@@ -6,8 +6,9 @@ group are copied with the group's term swapped for another, and the squared chan
 penalised, so that a mention alone moves no score.
 
 The fit uses at most SAMPLE_ROWS labelled documents, those with the least seeded hash of their id;
-counts of features come from Spark, and only chosen features reach the driver. Every document is
-scored over its whole text.
+counts of features and their G test stay in Spark, and only chosen features reach the driver, at most
+MAX_FEATURES. Of the sentences to swap, the MAX_SWAPS with the least seeded hash over the whole sample
+are used. Every document is scored over its whole text.
 
 Defined results: a null or empty text has the score of no features; a null id is never trained on
 and not held out; repeated labels of an id count as their maximum; without labels of both classes
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,9 @@ from .common import Scratch, blocks, texts_of
 #: Bound of the sample that the classifier is fitted on.
 SAMPLE_ROWS = 20_000
 SEED = 7
-MAX_CANDIDATES = 50_000
 MAX_FEATURES = 4096
-#: Sentences with a group's term that one partition of the sample gives at most.
-MAX_SWAPS = 2000
+#: Sentences with a group's term that the whole sample gives at most.
+MAX_SWAPS = 100_000
 MIN_DOCS = 3
 MIN_G = 13.0
 THRESHOLD = 0.3
@@ -135,15 +136,14 @@ def swapped(sentence: str) -> str | None:
     return " ".join(SWAP.get(w, w) for w in words)
 
 
-def _feature_counts(sample: DataFrame, toxic: int, among: set[str] | None = None) -> DataFrame:
+def _feature_counts(sample: DataFrame, toxic: int) -> DataFrame:
     """Documents of a class by feature, summed up in each partition first."""
 
     def run(batches):
         counts: Counter[str] = Counter()
         for batch in blocks(batches, "text"):
             for text in texts_of(batch, "text"):
-                found = text_features(text)
-                counts.update(found if among is None else found & among)
+                counts.update(text_features(text))
             if len(counts) > 1_000_000:
                 yield pa.RecordBatch.from_pydict({"feature": list(counts), "n": pa.array(counts.values(), pa.int64())})
                 counts.clear()
@@ -164,6 +164,44 @@ def g_statistic(n1: np.ndarray, n0: np.ndarray, total1: int, total0: int) -> np.
     return 2 * (a + b)
 
 
+def _marks(sample: DataFrame, one: int, none: int) -> DataFrame:
+    """Rows (feature, g): all features that mark toxic documents beyond chance."""
+    toxic = _feature_counts(sample, 1).where(F.col("n") >= MIN_DOCS)
+    clean = _feature_counts(sample, 0).withColumnRenamed("n", "n0")
+    both = toxic.join(clean, "feature", "left").select("feature", F.col("n").cast("double"), F.coalesce("n0", F.lit(0)).cast("double").alias("n0"))
+
+    def run(batches):
+        for batch in batches:
+            n1, n0 = (batch.column(k).to_numpy() for k in (1, 2))
+            g = g_statistic(n1, n0, one, none)
+            marks = pa.array((g >= MIN_G) & (n1 * none > n0 * one))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(g)], names=["feature", "g"]).filter(marks)
+
+    return both.mapInArrow(run, "feature string, g double")
+
+
+def _swaps(sample: DataFrame, model: Model, limit: int) -> DataFrame:
+    """Features that a sentence loses and gains by its swap, of the `limit` sentences with the least hash."""
+    salt = SEED.to_bytes(8, "big")
+
+    def run(batches):
+        for batch in blocks(batches, "text"):
+            at, plus, minus = [], [], []
+            for text in texts_of(batch, "text"):
+                own = None
+                for i, sentence in enumerate(_SENTENCE.split(text)):
+                    if (other := swapped(sentence)) is not None:
+                        own = own or blake2b(text.encode(), digest_size=16, salt=salt).digest()
+                        at.append(int.from_bytes(blake2b(own + i.to_bytes(8, "big"), digest_size=8).digest(), "big", signed=True))
+                        x, y = model.active(sentence), model.active(other)
+                        plus.append(sorted(x - y))
+                        minus.append(sorted(y - x))
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(plus, ints), pa.array(minus, ints)], names=["at", "plus", "minus"])
+
+    return sample.select("text").mapInArrow(run, "at long, plus array<int>, minus array<int>").orderBy("at", "plus", "minus").limit(limit).select("plus", "minus")
+
+
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(SAMPLE_ROWS)
@@ -175,41 +213,19 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scra
     if not one or not none:
         share = one / (one + none) if one + none else 0.0
         return Model({}, np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    toxic = _feature_counts(sample, 1).where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).collect()
-    among = {r["feature"]: r["n"] for r in toxic}
-    clean = {r["feature"]: r["n"] for r in _feature_counts(sample, 0, set(among)).collect()}  # at most MAX_CANDIDATES
-    names = list(among)
-    n1 = np.array([among[f] for f in names], float)
-    n0 = np.array([clean.get(f, 0) for f in names], float)
-    g = g_statistic(n1, n0, one, none)
-    marks = (g >= MIN_G) & (n1 * none > n0 * one)
-    best = sorted(np.flatnonzero(marks).tolist(), key=lambda i: (-g[i], names[i]))[:MAX_FEATURES]
-    kept = sorted({names[i] for i in best} | {f for t in SWAP for f in word_features(t)})
+    chosen_features = _marks(sample, one, none).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).collect()
+    kept = sorted({r["feature"] for r in chosen_features} | {f for t in SWAP for f in word_features(t)})
     model = Model({f: i for i, f in enumerate(kept)}, np.zeros(len(kept)), 0.0)
 
     def vectors(batches):
-        swaps = 0
         for batch in blocks(batches, "text"):
-            rows, plus, minus = [], [], []
-            for text in texts_of(batch, "text"):
-                rows.append(sorted(model.active(text)))
-                a, b = [], []
-                if swaps < MAX_SWAPS:
-                    for sentence in _SENTENCE.split(text):
-                        if swaps < MAX_SWAPS and (other := swapped(sentence)) is not None:
-                            x, y = model.active(sentence), model.active(other)
-                            a.append(sorted(x - y))
-                            b.append(sorted(y - x))
-                            swaps += 1
-                plus.append(a)
-                minus.append(b)
-            ints, nested = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, ints), pa.array(plus, nested), pa.array(minus, nested)], names=["toxic", "row", "plus", "minus"])
+            rows = [sorted(model.active(text)) for text in texts_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "row"])
 
     # bounded: SAMPLE_ROWS documents, of each only the chosen features
-    found = sample.mapInArrow(vectors, "toxic int, row array<int>, plus array<array<int>>, minus array<array<int>>").collect()
+    found = sample.mapInArrow(vectors, "toxic int, row array<int>").collect()
     found.sort(key=lambda r: (r["toxic"], r["row"]))
-    swaps = [(list(a), list(b)) for r in found for a, b in zip(r["plus"], r["minus"], strict=True)]
+    swaps = [(list(r["plus"]), list(r["minus"])) for r in _swaps(sample, model, MAX_SWAPS).collect()]
     labels_ = np.array([r["toxic"] for r in found], float)
     model.weights, model.bias = fit([np.array(r["row"], np.int64) for r in found], labels_, sorted(swaps), len(kept))
     model.cache = {}

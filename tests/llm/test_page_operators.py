@@ -4,7 +4,10 @@ import gzip
 import hashlib
 import io
 import zipfile
+import zlib
+from string import ascii_lowercase as LETTERS
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,3 +265,22 @@ def test_scratch_folders_are_whole_addresses(spark, monkeypatch):
 
     monkeypatch.setattr(type(spark.sparkContext), "getConf", lambda self: Conf())
     assert common.scratch_root(spark) == "file:///tmp/plain"
+
+
+def test_rare_features_are_tested_behind_many_frequent_ones(spark):
+    """A word of three toxic documents, less frequent among these than 52,000 others."""
+    frequent = " ".join(a + b + c + d for a in "abc" for b in LETTERS for c in LETTERS for d in LETTERS)
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != toxicity.HELD_OUT][:65]
+    rows = [(i, (frequent if k < 4 or 5 <= k < 17 else "plain") + (" zyxwrare" if k < 3 else ""), int(k < 5)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    assert "zyxwrare" in toxicity.train(spark, df.select("doc_id", "text"), df.select("doc_id", "toxic"), Scratch(spark, "rare")).names
+
+
+def test_swaps_do_not_depend_on_partitions(spark):
+    """One long document does not use up the bound, however the sample is dealt."""
+    texts = ["the women came. " * 300] + [f"a {t} came." for t in sorted(toxicity.SWAP)]
+    terms = sorted({f for t in toxicity.SWAP for f in toxicity.word_features(t)})
+    model = toxicity.Model({f: i for i, f in enumerate(terms)}, np.zeros(len(terms)), 0.0)
+    sample = spark.createDataFrame([(t,) for t in texts], "text string")
+    dealt = [sorted((r["plus"], r["minus"]) for r in toxicity._swaps(sample.repartition(n), model, 100).collect()) for n in (1, 7)]
+    assert dealt[0] == dealt[1] and len(dealt[0]) == 100 and len({str(x) for x in dealt[0]}) > 1
