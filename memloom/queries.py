@@ -235,7 +235,7 @@ def k10_grants(spark, sf):
 
 def _checkpoint_log(spark, sf):
     c = read(spark, sf, "conversations").where("role = 'assistant'")
-    capsule = F.to_json(F.struct(F.lit("go on").alias("goal"), F.substring("text", 1, 80).alias("summary"), F.lit("answer").alias("next_action")))
+    capsule = F.to_json(F.struct(F.lit("go on").alias("goal"), F.col("text").alias("summary"), F.lit("answer").alias("next_action")))
     order = Window.partitionBy("conv_id").orderBy("turn")
     rows = c.withColumn("n", F.row_number().over(order)).withColumn("id", F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")))
     # one namespace a conversation, so that a pointer's revision is twice the number of saves

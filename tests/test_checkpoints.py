@@ -61,3 +61,12 @@ def test_status_of_every_reference(spark, sf_dir):
         want.append((namespace, key, revision, status))
     got = base.queries()["c04_all_reference_status"](spark, sf_dir).select("namespace", "key", "revision", "status").collect()
     assert sorted(map(tuple, got)) == sorted(want) and {w[3] for w in want} == {"forbidden", "missing", "available", "stale"}
+
+
+def test_capsules_hold_whole_turns(spark, tmp_path):
+    """A turn that starts with 80 spaces is valid, one of over 16 KiB is not."""
+    rows = [(1, 0, "user", "ask"), (1, 1, "assistant", "one"), (1, 3, "assistant", " " * 80 + "two"), (2, 1, "assistant", "x" * 20_000), (3, 1, "assistant", "y" * 16_000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    latest = {(r["session_id"], r["id"], r["latest_revision"]) for r in base.c01_latest_checkpoint(spark, str(tmp_path)).collect()}
+    assert latest == {("s1", "c1-3", 4), ("s3", "c3-1", 2)}
+    assert {r["id"] for r in base.c03_prunable(spark, str(tmp_path)).collect()} == {"c1-1", "c2-1"}

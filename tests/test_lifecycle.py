@@ -1,5 +1,6 @@
 import os
 
+from memloom import queries as base
 from memloom.operators import lifecycle
 from memloom.operators.lifecycle import Slot, apply_proposal, forget
 from memloom.streaming.folds import lifecycle_stream
@@ -75,3 +76,23 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = [r["status"] for r in spark.sql("select * from receipts order by seq").collect()]
     assert got == ["created", "stale", "duplicate", "conflict"]
+
+
+def test_receipts_of_every_proposal(spark, sf_dir):
+    """The registered query against plain loops over all proposals of each slot, which the events'
+    short texts fill by number before they do by bytes."""
+    slots, want = {}, []
+    for r in sorted(base.proposals(spark, sf_dir).collect(), key=lambda r: r["seq"]):
+        key = (r["entity"], r["attribute"])
+        s = slots.setdefault(key, {"value": None, "confirmed": 0, "taken": 0, "stale": 0, "conflict": 0})
+        at = r["occurred_at_ms"]
+        status = "created" if s["value"] is None else "stale" if at < s["confirmed"] else "duplicate" if r["value"] == s["value"] else "conflict"
+        after = s | {"taken": s["taken"] + 1} | ({status: s[status] + 1} if status in ("stale", "conflict") else {"value": r["value"], "confirmed": at})
+        open_ = after["conflict"] > 0  # then a correction must still fit
+        if after["stale"] > 8 or after["taken"] + open_ > 24 or (open_ and after["stale"] + 1 + after["conflict"] > 8):
+            status = "capacity"
+        else:
+            slots[key] = s = after
+        want.append((*key, r["seq"], status, False, s["taken"], "conflicted" if s["conflict"] else "active"))
+    got = base.l01_receipts(spark, sf_dir).select("entity", "attribute", "seq", "status", "replayed", "revision", "state").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {w[3] for w in want} == {"created", "stale", "duplicate", "conflict", "capacity"}
