@@ -1,77 +1,144 @@
 """Removal of byte strings that an earlier document has: a depth-limited radix sort of suffixes.
 
-Suffixes are told apart through the threshold of 50 bytes only, by most-significant-digit passes;
-a group that is still together after the last digit is one repeated window. The digits of a window
-are taken in an order that the window itself fixes, so equal windows have equal digits:
-
-1. its anchor, the 20 bytes with the least hash among those it covers (leftmost of equal ones).
-   Neighbouring windows share their anchor; such a run is a unit, and one record stands for it.
-2. the whole unit: the bytes its windows cover. Records that agree here are equal in all windows,
-   so all but those of the smallest document are decided without looking at a single window.
-3. the window: only where an anchor has different units that agree on the bytes of one side are
-   their windows told apart one by one. (Of the 30 bytes that a window has around its anchor, 15
-   or more lie on one side, so units that agree on neither side share no window.) Such units meet
-   by anchor with their bytes; those of an anchor that is very common meet window by window.
-
-Each pass meets in shuffled buckets of the digit. Before a pass every shard of documents reduces
-its records to one a digit and decides the rest at once: an anchor, unit or window shared by a
-third of all documents reaches its bucket once a shard.
-
-Digits are polynomial hashes: 40 bits of the anchor with 48 of the unit or 64 of the window.
-
-Defined results: a null text is empty; texts under 50 bytes lose nothing; rows that repeat an id
-are judged each on its own and never against one another; a null id counts as larger than all ids;
-an empty table gives an empty result; only the id and text columns are read by name.
+Suffixes are ordered through the threshold of 50 bytes only, by most-significant-digit passes: a
+pass sorts each group of suffixes that are still equal by their next eight bytes, cuts it where these
+differ, and drops the parts that one document alone has. What is together after the last digit is
+exactly one repeated window; bytes are compared, never hashes of them.
+
+Suffixes meet by content. Each window is dealt by its anchor, the 20 bytes with the least hash among
+those it covers, so equal windows meet; neighbouring windows mostly share their anchor, and such a run
+(a unit) travels as one record with its bytes. The hash only deals records to buckets, a collision
+merely puts more suffixes into one sort. A bucket's units that are equal as a whole are decided at
+once, and only anchors with several different units enter the passes.
+
+* Every shard of documents first decides what it can itself: of equal units it sends one record.
+* Anchors that very many different units hold (a phrase of a third of all documents) are found from a
+  sample of the shards and come last in the choice of anchors; windows that have no other are dealt
+  one by one by all their bytes. The sample changes where suffixes meet, never the result.
+* A bucket whose different units outgrow `Limits.held` bytes all the same is dealt anew by windows in a second round.
+* Buckets and shards are streamed in order from sorted partitions, whose number follows the input's
+  bytes: a task holds one bucket or one shard at a time.
+
+Defined results: a null text is empty; texts under 50 bytes lose nothing; rows that repeat an id are
+judged each on its own and never against one another (each row has a name of its own); a null id
+counts as larger than all ids; an empty table gives an empty result; only the id and text columns
+are read by name.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks
 
 THRESHOLD = 50
 ANCHOR = 20
+#: First byte of each digit of eight bytes; the last one overlaps, so that all end at the threshold.
+DIGITS = (*range(0, THRESHOLD - 8, 8), THRESHOLD - 8)
+#: Bytes of text in a shard (a single longer text is a shard of its own) and in a partition.
 SHARD_BYTES = 2 << 20
-#: Bytes that are hashed at once; longer texts are cut into segments that overlap by a window.
-SEGMENT_BYTES = 256 << 10
-_P = np.uint64(0xD1342543DE82EF95)
-_MIX = np.uint64(0x9FB21C651E98DF25)
-_NO_ID = np.iinfo(np.int64).max
-_LOW24, _LOW48 = np.uint64((1 << 24) - 1), np.uint64((1 << 48) - 1)
-#: Units of one anchor that a shard sends on; an anchor with more is settled by windows everywhere.
-_UNITS_SENT = 16
+PARTITION_BYTES = 16 << 20
+MAX_PARTITIONS = 1 << 16
+_P1, _P2 = np.uint64(0xD1342543DE82EF95), np.uint64(0x9FB21C651E98DF25)
+#: Names of a task's shards: its number times this, and on.
+_TASK = 1 << 32
+_LOW24, _TOP = np.uint64((1 << 24) - 1), np.uint64(1 << 63)
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Sizes that change the work's shape, never its result."""
+
+    #: Bytes that are hashed at once; longer texts are cut into segments that overlap by a window.
+    segment: int = 256 << 10
+    #: Bytes of text that a bucket stands for, and bytes of different units that it may hold.
+    bucket: int = 4 << 20
+    held: int = 32 << 20
+    #: Windows that are sorted at once.
+    sorted_at_once: int = 1 << 20
+    #: One shard in this many is looked through for common anchors; those of more units than
+    #: `hot_units` by its estimate are hot, the `hot_anchors` most common ones at most.
+    sampled: int = 16
+    hot_units: int = 100_000
+    hot_anchors: int = 4096
 
 
-class Powers:
-    """Powers of the hash base and of its inverse, grown as needed."""
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _P2
+    return x ^ (x >> np.uint64(32))
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, base in (("up", int(_P)), ("down", pow(int(_P), -1, 1 << 64))):
-                powers = np.full(n, np.uint64(base), np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.cumprod(powers, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
+def digits_of(data: bytes) -> np.ndarray:
+    """The eight bytes from each place on as a number; greater numbers are greater bytes."""
+    n = len(data)
+    out = np.empty(max(0, n - 7), np.uint64)
+    for o in range(min(8, len(out))):
+        out[o::8] = np.frombuffer(data, ">u8", (n - o) // 8, o)
+    return out
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * _MIX
-    return x ^ (x >> np.uint64(32))
+def starts_of(size: np.ndarray) -> np.ndarray:
+    return np.cumsum(size) - size
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers first .. first + count - 1 of each row, and the row of each."""
+    owner = np.repeat(np.arange(len(first)), count)
+    return np.arange(len(owner)) - np.repeat(starts_of(count) - first, count), owner
+
+
+def heads_of(*sorted_keys: np.ndarray) -> np.ndarray:
+    """First places of the runs of equal keys."""
+    new = np.ones(len(sorted_keys[0]), np.bool_)
+    if len(new):
+        new[1:] = False
+        for key in sorted_keys:
+            new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+# ---------------------------------------------------------------- the radix sort
+
+
+def repeated_windows(data: bytes, starts: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which windows of `data` have their equal of smaller rank in their group.
+
+    Windows of different groups are known to differ. Most-significant-digit passes through the
+    threshold; groups of one rank are dropped as soon as they are.
+    """
+    digits = digits_of(data)
+    out = np.zeros(len(starts), np.bool_)
+    alive, last = np.arange(len(starts)), DIGITS[-1]
+    for depth in DIGITS:
+        if not len(alive):
+            break
+        digit = digits[starts[alive] + depth]
+        order = np.lexsort((digit, group))
+        alive, group, digit = alive[order], group[order], digit[order]
+        heads = heads_of(group, digit)
+        size, ranks = np.diff(np.r_[heads, len(alive)]), rank[alive]
+        least = np.minimum.reduceat(ranks, heads)
+        if depth == last:
+            out[alive[ranks > np.repeat(least, size)]] = True
+            break
+        kept = np.repeat(least != np.maximum.reduceat(ranks, heads), size)
+        group, alive = np.repeat(np.arange(len(heads)), size)[kept], alive[kept]
+    return out
+
 
+# ---------------------------------------------------------------- units
 
-def segments(sizes: list[int], limit: int = SEGMENT_BYTES, window: int = THRESHOLD) -> Iterator[list[tuple[int, int, int]]]:
+
+def segments(sizes: list[int], limit: int, window: int = THRESHOLD) -> Iterator[list[tuple[int, int, int]]]:
     """Groups of (text, start, end) whose bytes come to about `limit`; no window is lost or doubled."""
     held, size = [], 0
     for i, n in enumerate(sizes):
@@ -88,98 +155,110 @@ def segments(sizes: list[int], limit: int = SEGMENT_BYTES, window: int = THRESHO
         yield held
 
 
-class Segment:
-    """Hashes of the windows of some texts' parts."""
-
-    def __init__(self, parts: list[tuple[int, int, int]], raw: list[bytes], powers: Powers, window: int = THRESHOLD, anchor: int = ANCHOR):
-        data = np.frombuffer(b"".join(raw[i][a:b] for i, a, b in parts), np.uint8)
-        self.window, n = window, len(data)
-        up, self.down = powers.upto(n)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(up * (data.astype(np.uint64) + np.uint64(1)), dtype=np.uint64, out=self.sums[1:])
-        size = np.array([b - a for _, a, b in parts])
-        begin = np.cumsum(size) - size
-        self.begin, self.text, self.shift = begin, np.array([i for i, _, _ in parts]), np.array([a for _, a, _ in parts])
-        # least anchor of each window: packed (hash, place), minimum over doubling spans
-        places = np.arange(n - anchor + 1, dtype=np.uint64)
-        hashes = mix((self.sums[anchor:] - self.sums[: n - anchor + 1]) * self.down[: n - anchor + 1])
-        least, span, covers = (hashes & ~_LOW24) | places, 1, window - anchor + 1
-        while 2 * span <= covers:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if span < covers:
-            least = np.minimum(least[: len(least) - (covers - span)], least[covers - span :])
-        place = (least & _LOW24).astype(np.int64)
-        inside = np.zeros(n + 1, np.int8)
-        np.add.at(inside, begin, 1)
-        np.add.at(inside, begin + size - window + 1, -1)
-        valid = np.cumsum(inside)[: len(place)] > 0
-        change = np.r_[True, place[1:] != place[:-1]]
-        first = valid & (change | ~np.r_[False, valid[:-1]])
-        last = valid & (np.r_[change[1:], True] | ~np.r_[valid[1:], False])
-        self.first, self.last = np.flatnonzero(first), np.flatnonzero(last)
-        at = place[self.first]
-        self.anchor = hashes[at] >> np.uint64(24)
-        span = (self.last - self.first).astype(np.uint64)
-        length = span + np.uint64(window)
-        body = (self.sums[self.last + window] - self.sums[self.first]) * self.down[self.first]
-        self.unit = mix(body + _MIX * (length * np.uint64(64) + (at - self.first).astype(np.uint64))) & _LOW48
-        # of the bytes around the anchor, every window has half or more on one side
-        side = (window - anchor + 1) // 2
-        left, right = at - side, at + anchor
-        self.sides = np.zeros(len(at), np.uint32)
-        for has, begin_, shift in ((left >= self.first, left, 0), (right + side <= self.last + window, right, 12)):
-            b = begin_[has]
-            near = mix((self.sums[b + side] - self.sums[b]) * self.down[b]) % np.uint64(4095) + np.uint64(1)
-            self.sides[has] |= near.astype(np.uint32) << np.uint32(shift)
-        part = np.searchsorted(begin, self.first, side="right") - 1
-        self.part, self.owner = part, self.text[part]
-        self.offset = self.first - begin[part] + self.shift[part]  # in its text
-
-    def records(self) -> tuple[np.ndarray, ...]:
-        """What a shard keeps of its units; the hashes of the segment can go."""
-        return self.anchor, self.unit, self.sides, self.owner.astype(np.int32), self.offset.astype(np.int32), (self.last - self.first).astype(np.int8)
-
-    def names(self) -> np.ndarray:
-        """Digit and text of each unit in one number."""
-        return mix(self.unit ^ self.anchor * _P) + self.owner.astype(np.uint64) * _MIX
-
-    def window_hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the chosen units, each window's hash and the unit it is of."""
-        size = self.last[chosen] - self.first[chosen] + 1
-        unit = np.repeat(chosen, size)
-        at = np.repeat(self.first[chosen], size) + np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
-        return mix((self.sums[at + self.window] - self.sums[at]) * self.down[at]), unit
-
-
-def grouped(anchor: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by digit (rest, anchor) and the first place of each group in it."""
-    order = np.argsort(rest)
-    a, r = anchor[order], rest[order]
-    same = r[1:] == r[:-1]
-    if (a[1:] != a[:-1])[same].any():  # two anchors under one 64-bit hash
-        order = np.lexsort((anchor, rest))
-        a, r = anchor[order], rest[order]
-        same = r[1:] == r[:-1]
-    return order, np.flatnonzero(np.r_[True, ~(same & (a[1:] == a[:-1]))]) if len(order) else np.zeros(0, np.int64)
-
-
-def per_group(values: np.ndarray, heads: np.ndarray, n: int) -> np.ndarray:
-    return np.repeat(values, np.diff(np.r_[heads, n]))
+class Hot:
+    """The hot anchors; a table of their leading bits answers for most others."""
+
+    def __init__(self, anchors: Iterable[int] = ()):
+        self.anchors = np.array(sorted(anchors), np.uint64)
+        self.table = np.zeros(1 << 16, np.bool_)
+        self.table[(self.anchors >> np.uint64(47)).astype(np.int64)] = True
+
+    def __call__(self, anchors: np.ndarray) -> np.ndarray:
+        """Places of hot ones."""
+        if not len(self.anchors):
+            return np.zeros(0, np.int64)
+        maybe = np.flatnonzero(self.table[(anchors >> np.uint64(47)).astype(np.int64)])
+        return maybe[np.isin(anchors[maybe], self.anchors)]
+
+
+def window_name(digits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """63-bit hash of the windows at these places; deals them to buckets."""
+    out = np.zeros(len(at), np.uint64)
+    for depth in DIGITS:
+        out = mix((out ^ digits[at + depth]) * _P1)
+    return out >> np.uint64(1)
+
+
+@dataclass
+class Units:
+    """Runs of windows, each of a text's row: anchor, its place from the first window on, windows
+    behind the first, row, first window, and the bytes."""
+
+    anchor: np.ndarray
+    place: np.ndarray
+    span: np.ndarray
+    row: np.ndarray
+    offset: np.ndarray
+    body: list[bytes]
+
+    def take(self, at: np.ndarray) -> Units:
+        return Units(self.anchor[at], self.place[at], self.span[at], self.row[at], self.offset[at], [self.body[i] for i in at.tolist()])
+
+    def windows(self) -> Units:
+        """Each window on its own, dealt by all its bytes."""
+        count = self.span.astype(np.int64) + 1
+        inner, owner = spread(np.zeros(len(count), np.int64), count)
+        data = b"".join(self.body)
+        at = np.repeat(starts_of(count + THRESHOLD - 1), count) + inner
+        none = np.zeros(len(at), np.uint8)
+        body = [data[i : i + THRESHOLD] for i in at.tolist()]
+        return Units(window_name(digits_of(data), at), none, none, self.row[owner], self.offset[owner] + inner, body)
+
+    @staticmethod
+    def joined(parts: list[Units]) -> Units:
+        arrays = (np.concatenate([getattr(p, name) for p in parts]) for name in ("anchor", "place", "span", "row", "offset"))
+        return Units(*arrays, [b for p in parts for b in p.body])
+
+
+def units_of(parts: list[tuple[int, int, int]], raw: list[bytes], hot: Hot) -> list[Units]:
+    """The units of some texts' parts; of windows with hot anchors only, one a window."""
+    data = b"".join(raw[i][a:b] for i, a, b in parts)
+    n = len(data)
+    digits = digits_of(data)
+    m = n - ANCHOR + 1
+    hashes = mix((digits[:m] * _P1) ^ mix(digits[8 : 8 + m] * _P2 + digits[12 : 12 + m])) >> np.uint64(1)
+    hashes[hot(hashes)] |= _TOP  # only a window without others takes them
+    # least anchor of each window: packed (hash, place), minimum over doubling spans
+    least, width, covers = (hashes & ~_LOW24) | np.arange(m, dtype=np.uint64), 1, THRESHOLD - ANCHOR + 1
+    while 2 * width <= covers:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    least = np.minimum(least[: len(least) - (covers - width)], least[covers - width :])
+    place = (least & _LOW24).astype(np.int64)
+    size = np.array([b - a for _, a, b in parts])
+    begin = starts_of(size)
+    inside = np.zeros(n + 1, np.int8)
+    np.add.at(inside, begin, 1)
+    np.add.at(inside, begin + size - THRESHOLD + 1, -1)
+    valid = np.cumsum(inside, dtype=np.int8)[: len(place)] > 0
+    change = np.r_[True, place[1:] != place[:-1]]
+    first = np.flatnonzero(valid & (change | ~np.r_[False, valid[:-1]]))
+    last = np.flatnonzero(valid & (np.r_[change[1:], True] | ~np.r_[valid[1:], False]))
+    part = np.searchsorted(begin, first, side="right") - 1
+    row = np.array([i for i, _, _ in parts])[part]
+    offset = first - begin[part] + np.array([a for _, a, _ in parts])[part]
+    at = place[first]
+    body = [data[a:b] for a, b in zip(first.tolist(), (last + THRESHOLD).tolist(), strict=True)]
+    found = Units(hashes[at], (at - first).astype(np.uint8), (last - first).astype(np.uint8), row, offset, body)
+    common = found.anchor >= _TOP
+    if not common.any():
+        return [found]
+    return [found.take(np.flatnonzero(~common)), found.take(np.flatnonzero(common)).windows()]
 
 
 # ---------------------------------------------------------------- packed arrays
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as bytes; wide integers are split by byte, so that equal bytes lie together."""
+def pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
+    """Arrays of one length and a byte string; wide integers are split by byte, so that equal bytes
+    lie together."""
     out = [len(arrays[0]).to_bytes(8, "little")]
     for a in arrays:
         out.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
-    return zstandard.compress(b"".join(out), 1)
+    return zstandard.compress(b"".join([*out, tail]), 1)
 
 
-def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+def unpack(blob: bytes, *kinds: str) -> list:
     raw = zstandard.decompress(blob)
     n, at, out = int.from_bytes(raw[:8], "little"), 8, []
     for kind in kinds:
@@ -187,237 +266,351 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
         planes = np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n)
         out.append(np.ascontiguousarray(planes.T).view(t).reshape(n))
         at += n * t.itemsize
-    return out
-
-
-def unpack_all(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
-    """The arrays of all blobs in a row; the blobs are taken from the list, so that they can go."""
-    parts: list[list[np.ndarray]] = [[] for _ in kinds]
-    while blobs:
-        for part, array in zip(parts, unpack(blobs.pop(), *kinds), strict=True):
-            part.append(array)
-    out = []
-    for part, kind in zip(parts, kinds, strict=True):
-        out.append(np.concatenate(part) if part else np.zeros(0, kind))
-        part.clear()
-    return out
-
-
-def by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Packed slices of the arrays by bucket; rows of a bucket keep their order."""
-    if not len(bucket):
-        return
-    small = bucket.astype(np.uint16 if bucket.max(initial=0) < 1 << 16 else np.int64)
-    order = np.argsort(small, kind="stable")
-    heads = np.flatnonzero(np.r_[True, small[order][1:] != small[order][:-1]])
-    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
-        rows = order[a:b]
-        yield int(bucket[rows[0]]), pack(*(x[rows] for x in arrays))
+    return [*out, raw[at:]]
 
 
-_UNIT = ("u8", "u8", "u4", "i8", "u4", "i4")  # anchor, unit, sides, document, tag, offset
-_WINDOW = ("u8", "u8", "i8", "u4", "i4")  # anchor, window, document, tag, offset
-_VERDICT = ("i8", "u4", "i4", "i4")  # document, tag, offset, kind
-#: Kinds of verdict; another value is the last offset of a run of repeated windows.
-_REPEATED, _OPEN, _HOT = -1, -2, -3
-_ROWS = "bucket int, kind int, payload binary"
-_UNITS, _VERDICTS, _TEXTS, _WINDOWS, _DONE, _BODIES = range(6)
+def by_key(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key and its places, which keep their order."""
+    order = np.argsort(key, kind="stable")
+    heads = heads_of(key[order])
+    for a, b in zip(heads.tolist(), np.r_[heads[1:], len(order)].tolist(), strict=False):
+        yield int(key[order[a]]), order[a:b]
 
 
-def home(doc: np.ndarray, tag: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of a document."""
-    return (mix(doc.astype(np.int64).view(np.uint64) * _P + tag.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+#: What travels: `part` deals it, `key` names its bucket or its shard, kinds of a shard in this order.
+_ROWS = "part int, key long, kind int, payload binary"
+_MARKS, _LINKS, _TEXTS, _UNITS = range(4)
+_UNIT = ("u8", "u1", "u1", "u4", "u4", "i8", "u1")  # anchor, place, span, row, offset, id, id is null
+_MARK = ("u4", "u4", "u4")  # row, first and last window
+_LINK = ("u4", "u4", "u1", "u4", "u4")  # row, offset, span; row and offset of its equal
+_TEXT = ("i8", "u1", "u8")  # id, id is null, bytes
+Row = tuple[int, int, int, bytes]
 
 
-def rows(found: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+def rows(found: Iterable[Row]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in found:
         held.append(row)
-        size += len(row[2])
-        if size > 4 << 20:
+        size += len(row[3]) + 32
+        if size > 2 << 20:
             yield _batch(held)
             held, size = [], 0
     if held:
         yield _batch(held)
 
 
-def _batch(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    b, k, p = zip(*held, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(p, pa.binary())], names=["bucket", "kind", "payload"])
-
-
-class Shard:
-    """Some documents: ids, tags (of the text) and texts."""
+def _batch(held: list[Row]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "key", "kind", "payload"])
 
-    def __init__(self, ids: list[int | None], raw: list[bytes]):
-        self.raw = raw
-        self.doc = np.array([_NO_ID if i is None else i for i in ids], np.int64)
-        self.tag = np.array([zlib.crc32(r) for r in raw], np.uint32)
 
+def _rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[Row]:
+    for batch in batches:
+        yield from zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+
+
+# ---------------------------------------------------------------- shards
+
+
+def packed_shards(batches: Iterable[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, n_bytes, payload, common) of documents in order of their id; `common` has a sampled
+    shard's anchors that several of its units share, with their number."""
+    task = TaskContext.get()
+    name = (task.partitionId() if task else 0) * _TASK
+    names = ["shard", "n_bytes", "payload", "common"]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    ids: list = []
+    raw: list[bytes] = []
+    size = 0
+
+    def put() -> pa.RecordBatch:
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+        texts = [raw[i] for i in order]
+        head = (np.array([ids[i] or 0 for i in order], np.int64), np.array([ids[i] is None for i in order], np.uint8), np.array(list(map(len, texts)), np.uint64))
+        common = None
+        if name % limits.sampled == 0:
+            parts = [u for p in segments(list(map(len, texts)), limits.segment) for u in units_of(p, texts, Hot())]
+            anchors, count = np.unique(different_anchors(parts), return_counts=True)
+            common = pack(anchors[count > 1], count[count > 1].astype(np.int64))
+        values = (name, size, pack(*head, tail=b"".join(texts)), common)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
 
-def shards(batches: Iterable[pa.RecordBatch], limit: int = SHARD_BYTES) -> Iterator[Shard]:
-    ids, raw, size = [], [], 0
     for batch in blocks(batches, "text", 1 << 20):
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):  # a few MB
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             t = t or b""
-            if raw and size + len(t) > limit:
-                yield Shard(ids, raw)
-                ids, raw, size = [], [], 0
+            if raw and size + len(t) > SHARD_BYTES:
+                yield put()
+                name, ids, raw, size = name + 1, [], [], 0
             ids.append(i)
             raw.append(t)
             size += len(t)
     if raw:
-        yield Shard(ids, raw)
-
-
-def settle(anchor: np.ndarray, rest: np.ndarray, doc: np.ndarray, tag: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Within one shard: places of the records that stand for their digit, of those that are repeated
-    here already, and (order, heads) names by record. A digit is stood for by its smallest document's
-    first record; rows that repeat that document's id with another text stand beside it."""
-    order, heads = grouped(anchor, rest)
-    n = len(order)
-    if not n:
-        return order, order, order
-    d = doc[order]
-    least = per_group(np.minimum.reduceat(d, heads), heads, n)
-    group = per_group(np.arange(len(heads)), heads, n)
-    repeated = d > least
-    mine = np.flatnonzero(~repeated)
-    # first record of each (digit, tag) among the smallest document's
-    key = np.lexsort((offset[order[mine]], tag[order[mine]], group[mine]))
-    mine = mine[key]
-    g, t = group[mine], tag[order[mine]]
-    stands = mine[np.r_[True, (g[1:] != g[:-1]) | (t[1:] != t[:-1])]]
-    return order[stands], order[repeated], group[stands]
-
-
-def first_pass(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """Units of the documents: records by anchor bucket, and verdicts that a shard can give itself."""
-    powers = Powers()
-    for shard in shards(batches):
-        parts = [Segment(p, shard.raw, powers).records() for p in segments(list(map(len, shard.raw)))]
-        if not parts:
-            continue
-        anchor, unit, sides, owner, offset, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        doc, tag = shard.doc[owner], shard.tag[owner]
-        stand, repeated, _ = settle(anchor, unit, doc, tag, offset)
-        # runs of repeated units side by side become one verdict
-        repeated = np.sort(repeated)  # units lie in text order
-        if len(repeated):
-            o, s, e = owner[repeated], offset[repeated], (offset + size)[repeated]
-            new = np.r_[True, (o[1:] != o[:-1]) | (s[1:] != e[:-1] + 1)]
-            head = np.flatnonzero(new)
-            last = np.r_[head[1:], len(o)] - 1
-            d, t = shard.doc[o[head]], shard.tag[o[head]]
-            for b, blob in by_bucket(home(d, t, buckets), d, t, s[head].astype(np.int32), e[last].astype(np.int32)):
-                yield b, _VERDICTS, blob
-        # an anchor with many units here is open for all of them; one notice tells its bucket
-        stand = np.sort(stand)
-        a = anchor[stand]
-        order = np.argsort(a, kind="stable")
-        head = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]])
-        many = np.diff(np.r_[head, len(a)]) > _UNITS_SENT
-        hot = np.zeros(len(a), np.bool_)
-        hot[order] = per_group(many, head, len(a))
-        d, t, s = doc[stand], tag[stand], offset[stand].astype(np.int32)
-        yield from ((b, _VERDICTS, blob) for b, blob in by_bucket(home(d[hot], t[hot], buckets), d[hot], t[hot], s[hot], np.full(hot.sum(), _HOT, np.int32)))
-        notice = a[order][head[many]]
-        none = np.zeros(len(notice), np.int64)
-        send = [a[~hot], unit[stand][~hot], sides[stand][~hot], d[~hot], t[~hot], s[~hot]]
-        extra = [notice, none, none, none + _NO_ID, none, none - 1]
-        send = [np.concatenate([x, y.astype(k)]).astype(k) for x, y, k in zip(send, extra, _UNIT, strict=True)]
-        yield from ((b, _UNITS, blob) for b, blob in by_bucket((send[0] % np.uint64(buckets)).astype(np.int64), *send))
-
-
-def shared(anchor: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Which of some different units share their anchor and that side with another; 0 is no side."""
-    out = np.zeros(len(anchor), np.bool_)
-    has = np.flatnonzero(near)
-    key = anchor[has] * np.uint64(4096) + near[has].astype(np.uint64)
-    order = np.argsort(key)
-    key = key[order]
-    twin = np.r_[False, key[1:] == key[:-1]] if len(key) else np.zeros(0, np.bool_)
-    twin[:-1] |= twin[1:]
-    out[has[order[twin]]] = True
-    return out
+        yield put()
+
+
+def different_anchors(parts: list[Units]) -> np.ndarray:
+    """The anchor of each different unit."""
+    if not parts:
+        return np.zeros(0, np.uint64)
+    units = Units.joined(parts)
+    return units.anchor[list({b: i for i, b in enumerate(units.body)}.values())]
+
+
+def read_shard(payload: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids, which are null, and texts."""
+    ids, null, size, data = unpack(payload, *_TEXT)
+    cuts = np.cumsum(np.r_[0, size.astype(np.int64)]).tolist()
+    return ids, null, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+@dataclass(frozen=True)
+class Deal:
+    """Partitions, and buckets dealt to them."""
 
+    parts: int
+    buckets: int
 
-def unit_verdicts(blobs: list[bytes], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """Of one anchor bucket: units repeated from a smaller document, and those open because another
-    unit of their anchor agrees on a side, so that they may share windows."""
-    anchor, unit, sides, doc, tag, offset = unpack_all(blobs, *_UNIT)
-    if not len(anchor):
+    def bucket(self, anchor: np.ndarray) -> np.ndarray:
+        return (mix(anchor) % np.uint64(self.buckets)).astype(np.int64)
+
+    def home(self, shard):
+        """Partition of a shard, given as a number or as a column."""
+        return (shard // _TASK * 1_000_003 + shard % _TASK) % self.parts if isinstance(shard, int) else self._home(shard)
+
+    def _home(self, shard: Column) -> Column:
+        task = F.shiftright(shard, 32)
+        return F.pmod(task * 1_000_003 + (shard - task * _TASK), F.lit(self.parts)).cast("int")
+
+
+def packed_units(deal: Deal, shard: int, units: Units, ids: np.ndarray, null: np.ndarray) -> Iterator[Row]:
+    name = shard.to_bytes(8, "little")
+    for bucket, at in by_key(deal.bucket(units.anchor)):
+        u = units.take(at)
+        columns = (u.anchor, u.place, u.span, u.row, u.offset, ids[at], null[at])
+        yield bucket % deal.parts, bucket, _UNITS, pack(*(c.astype(k) for c, k in zip(columns, _UNIT, strict=True)), tail=name + b"".join(u.body))
+
+
+def shard_units(shard: int, payload: bytes, deal: Deal, hot: Hot, limits: Limits) -> Iterator[Row]:
+    """A shard's different units by bucket, and what it can tell of the others itself."""
+    ids, null, raw = read_shard(payload)
+    parts = [u for p in segments(list(map(len, raw)), limits.segment) for u in units_of(p, raw, hot)]
+    if not parts:
         return
-    order, heads = grouped(anchor, unit)
-    n = len(order)
-    repeated = np.zeros(n, np.bool_)
-    repeated[order] = doc[order] > per_group(np.minimum.reduceat(doc[order], heads), heads, n)
-    kinds = order[heads]  # one record of each unit
-    real = offset[kinds] >= 0
-    near = np.where(real, sides[kinds], 0).astype(np.uint32)
-    several = shared(anchor[kinds], near & np.uint32(4095)) | shared(anchor[kinds], near >> np.uint32(12))
-    hot = np.isin(anchor[kinds], anchor[kinds[~real]])
-    how = np.zeros(n, np.int32)
-    how[order] = per_group(np.where(hot, _HOT, np.where(several, _OPEN, 0)), heads, n)
-    how[repeated] = _REPEATED
-    chosen = (how != 0) & (offset >= 0)
-    d, t, s, kind = doc[chosen], tag[chosen], offset[chosen], how[chosen]
-    by = np.lexsort((s, t, d))
-    yield from ((b, _VERDICTS, blob) for b, blob in by_bucket(home(d[by], t[by], buckets), d[by], t[by], s[by], kind[by]))
-
-
-def packed_texts(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """All documents by bucket, compressed."""
-    for shard in shards(batches):
-        bucket = home(shard.doc, shard.tag, buckets)
-        for b in np.unique(bucket).tolist():
-            yield b, _TEXTS, pack_texts([(int(shard.doc[i]), int(shard.tag[i]), shard.raw[i], b"") for i in np.flatnonzero(bucket == b).tolist()])
-
-
-def pack_texts(docs: list[tuple[int, int, bytes, bytes]]) -> bytes:
-    """Rows (document, tag, text, marks)."""
-    d, t, r, m = zip(*docs, strict=True)
-    head = pack(np.array(d, np.int64), np.array(t, np.uint32), np.array(list(map(len, r)), np.int64), np.array(list(map(len, m)), np.int64))
-    return len(head).to_bytes(8, "little") + head + zstandard.compress(b"".join([*r, *m]), 3)
-
-
-def unpack_texts(blob: bytes) -> Iterator[tuple[int, int, bytes, bytes]]:
-    size = int.from_bytes(blob[:8], "little")
-    d, t, r, m = unpack(blob[8 : 8 + size], "i8", "u4", "i8", "i8")
-    raw, at = zstandard.decompress(blob[8 + size :]), 0
-    marks = int(r.sum())
-    for doc, tag, n, k in zip(d.tolist(), t.tolist(), r.tolist(), m.tolist(), strict=True):
-        yield doc, tag, raw[at : at + n], raw[marks : marks + k]
-        at += n
-        marks += k
-
-
-class Verdicts:
-    """Verdicts of one bucket, by document."""
-
-    def __init__(self, blobs: list[bytes]):
-        doc, tag, self.offset, self.kind = unpack_all(blobs, *_VERDICT)
-        order = np.lexsort((self.offset, tag, doc))
-        doc, tag, self.offset, self.kind = doc[order], tag[order], self.offset[order], self.kind[order]
-        head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]) if len(doc) else np.zeros(0, np.int64)
-        self.span = {(d, t): (a, b) for d, t, a, b in zip(doc[head].tolist(), tag[head].tolist(), head.tolist(), [*head[1:].tolist(), len(doc)][: len(head)], strict=True)}
-
-    def of(self, doc: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.span.get((doc, tag), (0, 0))
-        return self.offset[a:b], self.kind[a:b]
+    units = Units.joined(parts)
+    order = np.lexsort((units.offset, units.row))  # documents lie in order of their id
+    units = units.take(order)
+    first: dict[bytes, int] = {}
+    known = np.array([first.setdefault(b, i) for i, b in enumerate(units.body)], np.int64)
+    first.clear()
+    row, me = units.row, np.arange(len(known))
+    same = (ids[row] == ids[row[known]]) & (null[row] == null[row[known]])
+    gone = np.flatnonzero(~same)
+    if len(gone):  # a smaller document of the shard has them; runs side by side become one
+        r, s, e = row[gone], units.offset[gone], units.offset[gone] + units.span[gone]
+        new = np.r_[True, (r[1:] != r[:-1]) | (s[1:] != e[:-1] + 1)]
+        head = np.flatnonzero(new)
+        tail = np.r_[head[1:], len(r)] - 1
+        yield deal.home(shard), shard, _MARKS, pack(*(c.astype("u4") for c in (r[head], s[head], e[tail])))
+    link = np.flatnonzero(same & (known != me))
+    if len(link):
+        to = known[link]
+        columns = (row[link], units.offset[link], units.span[link], row[to], units.offset[to])
+        yield deal.home(shard), shard, _LINKS, pack(*(c.astype(k) for c, k in zip(columns, _LINK, strict=True)))
+    units = units.take(np.flatnonzero(known == me))
+    yield from packed_units(deal, shard, units, ids[units.row], null[units.row])
+
+
+# ---------------------------------------------------------------- buckets
+
+
+class Bucket:
+    """Units of one bucket from many shards; finds windows that a smaller document has too.
+
+    While records come in, those that equal another of a smaller document are told and left out.
+    If different units outgrow the limit, the bucket hands all on as single windows.
+    """
+
+    def __init__(self, deal: Deal, limits: Limits, again: bool):
+        self.deal, self.limits, self.again = deal, limits, again
+        self.parts: list[tuple[Units, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.full = 0, False
+
+    def add(self, payload: bytes) -> Iterator[Row]:
+        *columns, tail = unpack(payload, *_UNIT)
+        anchor, place, span, row, offset, ids, null = columns
+        ends = np.cumsum(span.astype(np.int64) + THRESHOLD).tolist()
+        body = [tail[8 + a : 8 + b] for a, b in zip([0, *ends], ends, strict=False)]
+        units = Units(anchor, place, span, row, offset.astype(np.int64), body)
+        shard = np.full(len(anchor), int.from_bytes(tail[:8], "little"), np.int64)
+        self.parts.append((units, shard, ids, null))
+        self.size += len(tail)
+        if self.full:
+            yield from self.hand_on()
+        elif self.size > self.limits.held:
+            yield from self.compact()
+            if 2 * self.size > self.limits.held and not self.again:
+                self.full = True
+                yield from self.hand_on()
+
+    def _held(self) -> tuple[Units, np.ndarray, np.ndarray, np.ndarray]:
+        units, shard, ids, null = zip(*self.parts, strict=True)
+        return Units.joined(list(units)), np.concatenate(shard), np.concatenate(ids), np.concatenate(null)
+
+    def hand_on(self) -> Iterator[Row]:
+        """All that is held as single windows, shard by shard."""
+        if not self.parts:
+            return
+        units, shard, ids, null = self._held()
+        self.parts, self.size = [], 0
+        for name, at in by_key(shard):
+            some = units.take(at)
+            count = some.span.astype(np.int64) + 1
+            # the bucket is dealt anew from the anchor once the size of the second round is known
+            yield from packed_units(Deal(1, 1), name, some.windows(), np.repeat(ids[at], count), np.repeat(null[at], count))
+
+    def compact(self) -> Iterator[Row]:
+        """Tells whole units that a smaller document has too; the others stay."""
+        if not self.parts:
+            return
+        units, shard, ids, null = self._held()
+        rank = ranks(ids, null)
+        first: dict[bytes, int] = {}
+        known = np.array([first.setdefault(b, i) for i, b in enumerate(units.body)], np.int64)
+        first.clear()
+        least = rank.copy()
+        np.minimum.at(least, known, rank)
+        gone = rank > least[known]
+        at = np.flatnonzero(gone)
+        yield from self.marks(shard[at], units.row[at], units.offset[at], units.offset[at] + units.span[at])
+        at = np.flatnonzero(~gone)
+        units = units.take(at)
+        self.parts, self.size = [(units, shard[at], ids[at], null[at])], sum(map(len, units.body))
+
+    def marks(self, shard: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[Row]:
+        for name, at in by_key(shard):
+            yield self.deal.home(name), name, _MARKS, pack(*(c[at].astype("u4") for c in (row, first, last)))
+
+    def close(self) -> Iterator[Row]:
+        if self.full:
+            yield from self.hand_on()
+            return
+        yield from self.compact()
+        if not self.parts:
+            return
+        units, shard, ids, null = self._held()
+        self.parts = []
+        rank = ranks(ids, null)
+        # of equal units (of one id now) one is looked at, for all of them
+        first: dict[bytes, int] = {}
+        known = np.array([first.setdefault(b, i) for i, b in enumerate(units.body)], np.int64)
+        order = np.array(sorted(first.values()), np.int64)
+        first.clear()
+        order = order[np.argsort(units.anchor[order], kind="stable")]
+        heads = heads_of(units.anchor[order])
+        size = np.diff(np.r_[heads, len(order)])
+        group = np.repeat(np.arange(len(heads)), size)
+        if not len(heads):
+            return
+        ranked = rank[order]
+        open_ = np.minimum.reduceat(ranked, heads) != np.maximum.reduceat(ranked, heads)
+        chosen = open_[group]
+        order, group = order[chosen], group[chosen]
+        if not len(order):
+            return
+        found = [self.sort(units, rank, order[a:b], group[a:b]) for a, b in self.chunks(units, group, order)]
+        unit, inner = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((inner, unit))
+        unit, inner = unit[by], inner[by]
+        new = np.r_[True, (unit[1:] != unit[:-1]) | (inner[1:] != inner[:-1] + 1)] if len(unit) else np.zeros(0, np.bool_)
+        head = np.flatnonzero(new)
+        unit, a, b = unit[head], inner[head], inner[np.r_[head[1:], len(inner)][: len(head)] - 1]
+        # runs of a unit hold for all its equals
+        by = np.argsort(known, kind="stable")
+        low, high = np.searchsorted(known[by], unit, side="left"), np.searchsorted(known[by], unit, side="right")
+        at, run = spread(low, high - low)
+        of = by[at]
+        yield from self.marks(shard[of], units.row[of], units.offset[of] + a[run], units.offset[of] + b[run])
+
+    def chunks(self, units: Units, group: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Runs of whole anchors with about as many windows as may be sorted at once."""
+        heads = heads_of(group).tolist()
+        sums = np.cumsum(units.span[order].astype(np.int64) + 1)
+        start = 0
+        for a, b in zip(heads, [*heads[1:], len(order)], strict=True):
+            if a > start and sums[b - 1] - (sums[start - 1] if start else 0) > self.limits.sorted_at_once:
+                yield start, a
+                start = a
+        if start < len(order):
+            yield start, len(order)
+
+    def sort(self, units: Units, rank: np.ndarray, order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, window) of the windows of some anchors' units that a smaller document has too."""
+        count = units.span[order].astype(np.int64) + 1
+        place = units.place[order].astype(np.int64)
+        data = b"".join([units.body[i] for i in order.tolist()])
+        begin = starts_of(count + THRESHOLD - 1)
+        covers = THRESHOLD - ANCHOR + 1
+        found = []
+        # an anchor of very many units is sorted by its place in the window, one after the other
+        steps = [(0, covers)] if count.sum() <= 2 * self.limits.sorted_at_once else [(p, p + 1) for p in range(covers)]
+        for low, high in steps:
+            # windows (counted from the unit's first) in which the anchor's place is in low .. high - 1
+            first = np.maximum(0, place - high + 1)
+            stop = np.minimum(count, place - low + 1)
+            if len(steps) == 1:
+                first, stop = np.zeros(len(count), np.int64), count
+            inner, owner = spread(first, np.maximum(0, stop - first))
+            key = group[owner] * covers + place[owner] - inner
+            at = np.flatnonzero(repeated_windows(data, begin[owner] + inner, key, rank[order][owner]))
+            found.append((order[owner[at]], inner[at]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def ranks(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Dense rank by id, null last."""
+    order = np.lexsort((ids, null))
+    out = np.empty(len(ids), np.int64)
+    heads = heads_of(ids[order], null[order])
+    out[order] = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(ids)]))
+    return out
+
+
+def reduce_units(found: Iterable[Row], deal: Deal, limits: Limits, again: bool = False) -> Iterator[Row]:
+    """Buckets in order; rows of other kinds pass."""
+    bucket, now = None, None
+    for part, key, kind, payload in found:
+        if kind != _UNITS:
+            yield part, key, kind, payload
+            continue
+        if key != now:
+            if bucket:
+                yield from bucket.close()
+            bucket, now = Bucket(deal, limits, again), key
+        yield from bucket.add(payload)
+    if bucket:
+        yield from bucket.close()
+
+
+def deal_anew(found: Iterable[Row], deal: Deal) -> Iterator[Row]:
+    """Windows of outgrown buckets, by the buckets of the second round."""
+    for *_, payload in found:
+        *columns, tail = unpack(payload, *_UNIT)
+        anchor, place, span, row, offset, ids, null = columns
+        body = [tail[8 + a : 8 + a + THRESHOLD] for a in range(0, len(tail) - 8, THRESHOLD)]
+        yield from packed_units(deal, int.from_bytes(tail[:8], "little"), Units(anchor, place, span, row, offset, body), ids, null)
 
 
+# ---------------------------------------------------------------- results
+
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removed_spans(marks: np.ndarray, n: int, window: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+def removed_spans(marks: np.ndarray, window: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of bytes that the marked windows cover."""
     at = np.flatnonzero(marks)
     if not len(at):
         return at, at
-    new = np.r_[True, at[1:] > at[:-1] + window]
-    head = np.flatnonzero(new)
+    head = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + window])
     return at[head], at[np.r_[head[1:], len(at)] - 1] + window
 
 
@@ -429,274 +622,89 @@ def kept_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join([*out, raw[at:]]) if out else raw
 
 
-def result(doc: int, raw: bytes, marks: np.ndarray) -> bytes:
-    """One document's row of the result, packed."""
-    starts, ends = removed_spans(marks, len(raw))
-    kept = kept_bytes(raw, starts, ends)
-    return np.array([doc, len(raw), len(raw) - len(kept), len(starts)], np.int64).tobytes() + hashlib.sha256(kept).digest()
-
-
-def cover(marks: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
-    """Marks the windows first..last (inclusive) of each run."""
-    if len(first):
-        step = np.zeros(len(marks) + 1, np.int32)
-        np.add.at(step, first, 1)
-        np.add.at(step, last + 1, -1)
-        marks |= np.cumsum(step[:-1]) > 0
-
-
-def second_pass(payloads: Iterable[tuple[int, bytes]], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """Of one document bucket, verdicts first and then texts: results of documents without open units;
-    the others with their marks so far, and their open windows by window bucket."""
-    powers, verdict_blobs, verdicts = Powers(), [], None
-    waiting: list[tuple[int, int, bytes, np.ndarray]] = []  # document, tag, compressed text, marks
-    windows: list[list[np.ndarray]] = []
-    bodies: list[list[np.ndarray]] = []
-    for kind, payload in payloads:
-        if kind == _VERDICTS:
-            verdict_blobs.append(payload)
-            continue
-        if verdicts is None:
-            verdicts = Verdicts(verdict_blobs)
-            verdict_blobs.clear()
-        docs = [(d, t, raw) for d, t, raw, _ in unpack_texts(payload)]
-        base = np.cumsum([0, *(max(0, len(raw) - THRESHOLD + 1) for _, _, raw in docs)])  # of each text's windows
-        marks = np.zeros(base[-1], np.bool_)
-        given = [verdicts.of(d, t) for d, t, _ in docs]
-        owner = np.repeat(np.arange(len(docs)), [len(o) for o, _ in given])
-        offset, how = (np.concatenate(x).astype(np.int64) for x in zip(*given, strict=True))
-        run = how >= 0
-        cover(marks, base[owner[run]] + offset[run], base[owner[run]] + how[run])
-        owner, offset, how = owner[~run], offset[~run], how[~run]
-        named = np.unique(owner)
-        opened = np.zeros(len(docs), np.bool_)
-        raws, fresh = [raw for _, _, raw in docs], []
-        wanted = owner << 40 | offset
-        parts = [[(int(named[i]), x, y) for i, x, y in p] for p in segments([len(raws[i]) for i in named.tolist()])]
-        # a verdict on a unit's first record holds for the same unit elsewhere in the text
-        found: dict[int, list[np.ndarray]] = {_REPEATED: [], _OPEN: [], _HOT: []}
-        for part in parts:
-            s = Segment(part, raws, powers)
-            places = s.owner << 40 | s.offset
-            at = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
-            here = places[at] == wanted
-            for k, names in found.items():
-                names.append(s.names()[at[here & (how == k)]])
-        for part in parts:
-            s = s if len(parts) == 1 else Segment(part, raws, powers)
-            repeated, near, other = (np.flatnonzero(np.isin(s.names(), np.concatenate(found[k]))) for k in (_REPEATED, _OPEN, _HOT))
-            start = base[s.owner] + s.offset
-            cover(marks, start[repeated], (start + s.last - s.first)[repeated])
-            if len(near):
-                o, b = s.owner[near], s.offset[near]
-                e = b + (s.last - s.first)[near] + THRESHOLD
-                ids = np.array([docs[i][:2] for i in o.tolist()], np.int64)
-                bodies.append([s.anchor[near], ids[:, 0], ids[:, 1], b, np.array([raws[i][x:y] for i, x, y in zip(o.tolist(), b.tolist(), e.tolist(), strict=True)], object)])
-                opened[o] = True
-            if len(other):
-                hashes, unit = s.window_hashes(other)
-                size = (s.last - s.first + 1)[other]
-                inner = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
-                fresh.append([s.anchor[unit], hashes, s.owner[unit], s.offset[unit] + inner])
-                opened[s.owner[other]] = True
-        place = len(waiting) + np.cumsum(opened) - 1  # of a document among those that wait
-        windows += [[a, h, place[o], at] for a, h, o, at in fresh]
-        done = []
-        for i, (d, t, raw) in enumerate(docs):
-            own = marks[base[i] : base[i + 1]]
-            if opened[i]:
-                waiting.append((d, t, zstandard.compress(raw, 3), own.copy()))
-            else:
-                done.append(result(d, raw, own))
-        if done:
-            yield 0, _DONE, b"".join(done)
-    if bodies:
-        yield from packed_bodies(*(np.concatenate(x) for x in zip(*bodies, strict=True)), buckets)
-        bodies.clear()
-    if not waiting:
-        return
-    none = np.zeros(0, np.int64)
-    anchor, window, owner, at = (np.concatenate(x) for x in zip(*windows, strict=True)) if windows else (none.astype(np.uint64), none.astype(np.uint64), none, none)
-    doc = np.array([w[0] for w in waiting], np.int64)[owner]
-    tag = np.array([w[1] for w in waiting], np.uint32)[owner]
-    stand, repeated, _ = settle(anchor, window, doc, tag, at)
-    send = [x[stand].astype(k) for x, k in zip((anchor, window, doc, tag, at), _WINDOW, strict=True)]
-    yield from ((b, _WINDOWS, blob) for b, blob in by_bucket((send[1] % np.uint64(buckets)).astype(np.int64), *send))
-    repeated = repeated[np.argsort(owner[repeated], kind="stable")]
-    cuts = np.searchsorted(owner[repeated], np.arange(len(waiting) + 1))
-    held, size = [], 0
-    for i, (d, t, text, marks) in enumerate(waiting):
-        marks[at[repeated[cuts[i] : cuts[i + 1]]]] = True
-        raw = zstandard.decompress(text)
-        held.append((d, t, raw, np.packbits(marks).tobytes()))
-        size += len(raw)
-        if size > 1 << 20:
-            yield from by_home(held, buckets)
-            held, size = [], 0
-    yield from by_home(held, buckets)
-
-
-_BODY = ("u8", "i8", "u4", "i4", "u2")  # anchor, document, tag, offset, bytes
-
-
-def packed_bodies(anchor: np.ndarray, doc: np.ndarray, tag: np.ndarray, offset: np.ndarray, body: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """Open units with their bytes by anchor bucket; like anchors lie together, so they pack well."""
-    order = np.lexsort((doc, anchor))
-    bucket = (anchor % np.uint64(buckets)).astype(np.int64)[order]
-    order = order[np.argsort(bucket, kind="stable")]
-    bucket = bucket[np.argsort(bucket, kind="stable")]
-    size = np.array([len(b) for b in body[order].tolist()], np.int64)
-    heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
-        rows_ = order[a:b]
-        head = pack(*(x[rows_].astype(k) for x, k in zip((anchor, doc, tag, offset), _BODY, strict=False)), size[a:b].astype("u2"))
-        yield int(bucket[a]), _BODIES, len(head).to_bytes(8, "little") + head + zstandard.compress(b"".join(body[rows_].tolist()), 3)
-
-
-def body_verdicts(blobs: list[bytes], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """Of one anchor bucket: runs of windows of open units that a smaller document has too."""
-    heads, bodies = [], []
-    for blob in blobs:
-        n = int.from_bytes(blob[:8], "little")
-        heads.append(unpack(blob[8 : 8 + n], *_BODY))
-        bodies.append(zstandard.decompress(blob[8 + n :]))
-    if not heads:
-        return
-    anchor, doc, tag, offset, size = (np.concatenate(x) for x in zip(*heads, strict=True))
-    size = size.astype(np.int64)
-    count = size - THRESHOLD + 1
-    hashes = window_hashes_of(joined := b"".join(bodies), 0, len(joined), Powers())
-    begin = np.cumsum(size) - size
-    unit = np.repeat(np.arange(len(size)), count)
-    inner = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count)
-    window = hashes[begin[unit] + inner]
-    order, first = grouped(anchor[unit], window)
-    d = doc[unit][order]
-    repeated = np.zeros(len(unit), np.bool_)
-    repeated[order] = d > per_group(np.minimum.reduceat(d, first), first, len(order))
-    at = np.flatnonzero(repeated)
-    new = np.r_[True, (at[1:] != at[:-1] + 1) | (unit[at[1:]] != unit[at[:-1]])] if len(at) else np.zeros(0, np.bool_)
-    a = np.flatnonzero(new)
-    z = np.r_[a[1:], len(at)][: len(a)] - 1
-    u = unit[at[a]]
-    d, t, s, e = doc[u], tag[u], offset[u] + inner[at[a]], offset[u] + inner[at[z]]
-    by = np.lexsort((s, t, d))
-    yield from ((b, _VERDICTS, blob) for b, blob in by_bucket(home(d[by], t[by], buckets), d[by], t[by], s[by].astype(np.int32), e[by].astype(np.int32)))
-
-
-def by_home(docs: list[tuple[int, int, bytes, bytes]], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    if docs:  # all of one bucket
-        bucket = home(np.array([docs[0][0]], np.int64), np.array([docs[0][1]], np.uint32), buckets)
-        yield int(bucket[0]), _TEXTS, pack_texts(docs)
-
-
-def window_verdicts(blobs: list[bytes], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """Of one window bucket: windows that a smaller document has too."""
-    anchor, window, doc, tag, at = unpack_all(blobs, *_WINDOW)
-    if not len(anchor):
-        return
-    order, heads = grouped(anchor, window)
-    repeated = order[doc[order] > per_group(np.minimum.reduceat(doc[order], heads), heads, len(order))]
-    d, t, s = doc[repeated], tag[repeated], at[repeated]
-    by = np.lexsort((s, t, d))
-    kind = np.full(len(by), _REPEATED, np.int32)
-    yield from ((b, _VERDICTS, blob) for b, blob in by_bucket(home(d[by], t[by], buckets), d[by], t[by], s[by], kind))
-
-
-def third_pass(payloads: Iterable[tuple[int, bytes]]) -> Iterator[bytes]:
-    """Of one document bucket, verdicts on windows first and then texts: the remaining results."""
-    powers, verdict_blobs, verdicts = Powers(), [], None
-    for kind, payload in payloads:
-        if kind == _VERDICTS:
-            verdict_blobs.append(payload)
-            continue
-        if verdicts is None:
-            verdicts = Verdicts(verdict_blobs)
-            verdict_blobs.clear()
-        for doc, tag, raw, marks in unpack_texts(payload):
-            n = max(0, len(raw) - THRESHOLD + 1)
-            marks = np.unpackbits(np.frombuffer(marks, np.uint8))[:n].astype(np.bool_)
-            offset, how = verdicts.of(doc, tag)
-            run = how >= 0
-            cover(marks, offset[run].astype(np.int64), how[run].astype(np.int64))
-            offset = offset[~run]
-            marks[offset] = True
-            if len(offset):  # the same windows elsewhere in the text
-                spans = [(part[0][1], part[0][2]) for part in segments([len(raw)])]
-                names = [window_hashes_of(raw, x, y, powers) for x, y in spans]
-                told = np.concatenate([h[offset[(offset >= x) & (offset < x + len(h))] - x] for (x, _), h in zip(spans, names, strict=True)])
-                for (x, _), h in zip(spans, names, strict=True):
-                    marks[x + np.flatnonzero(np.isin(h, told))] = True
-            yield result(doc, raw, marks)
-
-
-def window_hashes_of(raw: bytes, start: int, end: int, powers: Powers, window: int = THRESHOLD) -> np.ndarray:
-    data = np.frombuffer(raw, np.uint8)[start:end]
-    up, down = powers.upto(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(up * (data.astype(np.uint64) + np.uint64(1)), dtype=np.uint64, out=sums[1:])
-    n = len(data) - window + 1
-    return mix((sums[window:] - sums[:n]) * down[:n])
-
-
-def _payloads(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-    for batch in batches:
-        yield from zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+def finish(found: Iterable[Row]) -> Iterator[pa.RecordBatch]:
+    """Shards in order: marks and links first, then the texts that they are of."""
+    marks: list[list[np.ndarray]] = []
+    links: list[list[np.ndarray]] = []
+    for _, _, kind, payload in found:
+        if kind == _MARKS:
+            marks.append(unpack(payload, *_MARK)[:3])
+        elif kind == _LINKS:
+            links.append(unpack(payload, *_LINK)[:5])
+        else:
+            yield _results(payload, marks, links)
+            marks, links = [], []
+
+
+def _results(payload: bytes, marks: list[list[np.ndarray]], links: list[list[np.ndarray]]) -> pa.RecordBatch:
+    ids, null, raw = read_shard(payload)
+    base = np.cumsum([0, *(max(0, len(r) - THRESHOLD + 1) for r in raw)])  # of each text's windows
+    step = np.zeros(base[-1] + 1, np.int32)
+    for row, first, last in marks:
+        np.add.at(step, base[row] + first, 1)
+        np.add.at(step, base[row] + last + 1, -1)
+    gone = np.cumsum(step[:-1]) > 0
+    for row, offset, span, row2, offset2 in links:  # equal units of one id share their verdict
+        count = span.astype(np.int64) + 1
+        there, _ = spread(base[row] + offset, count)
+        here, _ = spread(base[row2] + offset2, count)
+        gone[there] |= gone[here]
+    removed, n_spans, digest = [], [], []
+    for i, text in enumerate(raw):
+        starts, ends = removed_spans(gone[base[i] : base[i + 1]])
+        removed.append(int((ends - starts).sum()))
+        n_spans.append(len(starts))
+        digest.append(hashlib.sha256(kept_bytes(text, starts, ends)).hexdigest())
+    numbers = [pa.array(list(map(len, raw)), pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())]
+    arrays = [pa.array(ids, pa.int64(), mask=null.astype(np.bool_)), *numbers, pa.array(digest, pa.string())]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def hot_anchors(shards: DataFrame, total: int, limits: Limits) -> Hot:
+    """Anchors that very many different units hold, by the sampled shards."""
+    sampled = shards.where(F.col("common").isNotNull())
+    seen = sampled.agg(F.sum("n_bytes")).first()[0] or 0
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                anchor, n, _ = unpack(blob, "u8", "i8")
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+
+    least = limits.hot_units * seen / max(1, total)
+    counted = sampled.select("common").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") > least).orderBy(F.desc("n"), "anchor").limit(limits.hot_anchors).collect()
+    return Hot(r["anchor"] for r in found)
 
 
-def repeated_text(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def repeated_text(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None, limits: Limits | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
-    scratch = scratch or Scratch(spark, "repeats")
+    scratch, limits = scratch or Scratch(spark, "repeats"), limits or Limits()
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # as many buckets as shuffles have partitions, but few for a table of few splits
-    buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * source.rdd.getNumPartitions()))
+    shards = scratch.put(source.mapInArrow(lambda b: packed_shards(b, limits), "shard long, n_bytes long, payload binary, common binary"), "shards")
+    total = shards.agg(F.sum("n_bytes")).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, min(MAX_PARTITIONS, -(-total // PARTITION_BYTES)))
+    deal = Deal(parts, parts * max(1, -(-total // (parts * limits.bucket))))
+    hot = hot_anchors(shards, total, limits)
 
-    def reduce_units(batches):
-        blobs = []
-        for batch in batches:
-            kind = np.asarray(batch.column(1))
-            blobs += batch.column(2).filter(pa.array(kind == _UNITS)).to_pylist()
-            yield batch.filter(pa.array(kind == _VERDICTS))  # already in their documents' bucket
-        yield from rows(unit_verdicts(blobs, buckets))
-
-    def reduce_windows(batches):
-        blobs: dict[int, list[bytes]] = {_WINDOWS: [], _BODIES: []}
-        for kind, payload in _payloads(batches):
-            blobs[kind].append(payload)
-        yield from rows(window_verdicts(blobs[_WINDOWS], buckets))
-        yield from rows(body_verdicts(blobs[_BODIES], buckets))
-
-    def results(batches):
+    def cut(batches):
         for batch in batches:
-            data = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, 64)
-            yield _result_batch(data)
-
-    def finish(batches):
-        held = []
-        for row in third_pass(_payloads(batches)):
-            held.append(row)
-            if len(held) >= 4096:
-                yield _result_batch(np.frombuffer(b"".join(held), np.uint8).reshape(-1, 64))
-                held.clear()
-        if held:
-            yield _result_batch(np.frombuffer(b"".join(held), np.uint8).reshape(-1, 64))
-
-    units = source.mapInArrow(lambda b: rows(first_pass(b, buckets)), _ROWS)
-    verdicts = units.repartitionById(buckets, F.col("bucket")).mapInArrow(reduce_units, _ROWS)
-    texts = source.mapInArrow(lambda b: rows(packed_texts(b, buckets)), _ROWS)
-    homes = verdicts.unionByName(texts).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind")
-    parted = scratch.put(homes.mapInArrow(lambda b: rows(second_pass(_payloads(b), buckets)), _ROWS), "parted")
-
-    done = parted.where(F.col("kind") == _DONE).mapInArrow(results, _RESULT)
-    windows = parted.where(F.col("kind").isin(_WINDOWS, _BODIES)).repartitionById(buckets, F.col("bucket")).mapInArrow(reduce_windows, _ROWS)
-    waiting = parted.where(F.col("kind") == _TEXTS)
-    last = windows.unionByName(waiting).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind").mapInArrow(finish, _RESULT)
-    return done.unionByName(last)
-
-
-def _result_batch(data: np.ndarray) -> pa.RecordBatch:
-    numbers = np.ascontiguousarray(data[:, :32]).view(np.int64)
-    ids = pa.array(numbers[:, 0], pa.int64(), mask=numbers[:, 0] == _NO_ID)
-    digests = pa.array([bytes(r).hex() for r in np.ascontiguousarray(data[:, 32:])], pa.string())
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return pa.RecordBatch.from_arrays([ids, *(pa.array(numbers[:, i].copy()) for i in (1, 2, 3)), digests], names=names)
+            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield from rows(shard_units(shard, payload, deal, hot, limits))
+
+    def met(df: DataFrame, deal: Deal) -> DataFrame:
+        return df.repartitionById(deal.parts, F.col("part")).sortWithinPartitions("key", "kind")
+
+    units = shards.select("shard", "payload").mapInArrow(cut, _ROWS)
+    told = scratch.put(met(units, deal).mapInArrow(lambda b: rows(reduce_units(_rows_of(b), deal, limits)), _ROWS), "told")
+    outgrown = told.where(F.col("kind") == _UNITS)
+    told = told.where(F.col("kind") != _UNITS)
+    if not outgrown.isEmpty():
+        size = outgrown.agg(F.sum(F.octet_length("payload"))).first()[0]
+        # packed windows take a byte or more of theirs
+        second = replace(deal, buckets=parts * max(1, -(-size * THRESHOLD // (parts * limits.bucket))))
+        anew = outgrown.mapInArrow(lambda b: rows(deal_anew(_rows_of(b), second)), _ROWS)
+        more = met(anew, second).mapInArrow(lambda b: rows(reduce_units(_rows_of(b), second, limits, again=True)), _ROWS)
+        told = told.unionByName(scratch.put(more, "more"))
+    texts = shards.select(deal.home(F.col("shard")).alias("part"), F.col("shard").alias("key"), F.lit(_TEXTS).alias("kind"), "payload")
+    return met(told.unionByName(texts), deal).mapInArrow(lambda b: finish(_rows_of(b)), _RESULT)

@@ -274,7 +274,7 @@ def test_mixed_documents(spark):
 
 
 def brute_repeats(rows, window=50):
-    key = lambda i: repeats._NO_ID if i is None else i
+    key = lambda i: (i is None, i or 0)
     raw = [(i, (t or "").encode()) for i, t in rows]
     first = {}
     for i, t in raw:
@@ -293,22 +293,39 @@ def brute_repeats(rows, window=50):
     return out
 
 
-def check_repeats(spark, rows):
-    got = [tuple(r) for r in repeats.repeated_text(spark, frame(spark, rows)).collect()]
+def check_repeats(spark, rows, limits=None):
+    got = [tuple(r) for r in repeats.repeated_text(spark, frame(spark, rows), limits=limits).collect()]
     assert sorted(got, key=order) == sorted(brute_repeats(rows), key=order)
 
 
-@pytest.mark.parametrize("seed,segment,sent", [(0, 1 << 20, 16), (1, 100, 1), (2, 300, 2)])
-def test_repeats(spark, monkeypatch, seed, segment, sent):
-    monkeypatch.setattr(repeats, "_UNITS_SENT", sent)
-    monkeypatch.setattr(repeats.segments, "__defaults__", (segment, 50))
-    rng = random.Random(seed)
+SHAPES = {
+    "plain": repeats.Limits(),
+    "short segments": repeats.Limits(segment=100, sorted_at_once=20),
+    "outgrown buckets": repeats.Limits(segment=300, held=400, sorted_at_once=1),
+    "hot anchors": repeats.Limits(sampled=1, hot_units=0, hot_anchors=40, sorted_at_once=100),
+    "all hot and outgrown": repeats.Limits(sampled=1, hot_units=0, hot_anchors=10_000, held=300),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_repeats(spark, shape):
+    rng = random.Random(shape)
     for letters in ("ab", "abcdefgh é", "a"):
         make = lambda n: "".join(rng.choice(letters) for _ in range(n))  # noqa: B023, E731
         pool = [make(rng.choice([30, 49, 50, 51, 90, 300])) for _ in range(6)]
-        rows = [(rng.choice([i, i, i, None, 3]), "".join(rng.choice(pool) if rng.random() < 0.6 else make(rng.choice([0, 5, 60])) for _ in range(rng.randint(0, 5)))) for i in range(40)]
-        check_repeats(spark, rows + rows[:3] + [(7, None), (8, "")])
-    check_repeats(spark, [])
+        rows = [(rng.choice([i, i, i, None, 3, 2**63 - 1]), "".join(rng.choice(pool) if rng.random() < 0.6 else make(rng.choice([0, 5, 60])) for _ in range(rng.randint(0, 5)))) for i in range(60)]
+        check_repeats(spark, rows + rows[:3] + [(7, None), (8, "")], SHAPES[shape])
+    check_repeats(spark, [], SHAPES[shape])
+
+
+def test_repeats_of_one_phrase(spark):
+    """A phrase of a third of the rows in ever other words; many rows without an id."""
+    rng = random.Random(5)
+    phrase = "all rights are reserved by the owner of this text."
+    words = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet".split()) + str(rng.randint(0, 99)) for _ in range(n))
+    rows = [(i if i % 4 else None, f"{words(9)} {phrase} {words(9)}" if i % 3 == 0 else words(20)) for i in range(400)]
+    for limits in (repeats.Limits(), repeats.Limits(sampled=1, hot_units=20), repeats.Limits(held=2000)):
+        check_repeats(spark, rows + rows[:40], limits)
 
 
 def test_repeats_over_the_table(spark, sf_dir):
@@ -316,8 +333,19 @@ def test_repeats_over_the_table(spark, sf_dir):
     check_repeats(spark, rows)
 
 
+def test_radix_passes():
+    """Windows that differ only in their last byte, or in the first, are told apart."""
+    base = bytes(range(33, 83))
+    texts = [base, base, base[:49] + b"z", b"z" + base[1:], base[:25] + b"z" + base[26:], base]
+    got = repeats.repeated_windows(b"".join(texts), np.arange(6) * 50, np.zeros(6, np.int64), np.array([3, 1, 0, 0, 0, 1]))
+    assert got.tolist() == [True, False, False, False, False, False]
+    apart = repeats.repeated_windows(b"".join(texts), np.arange(6) * 50, np.array([0, 1, 0, 0, 0, 1]), np.array([3, 1, 0, 0, 0, 2]))
+    assert apart.tolist() == [False] * 5 + [True]
+    assert repeats.digits_of(b"abcdefghi").tolist() == [int.from_bytes(b"abcdefgh", "big"), int.from_bytes(b"bcdefghi", "big")]
+    assert not len(repeats.digits_of(b"abc"))
+
+
 def test_packing():
     a, b = np.arange(5, dtype=np.uint64) << np.uint64(40), np.arange(5, dtype=np.int32) - 2
-    assert all((x == y).all() for x, y in zip(repeats.unpack(repeats.pack(a, b), "u8", "i4"), (a, b), strict=True))
-    docs = [(1, 2, b"abc", b""), (3, 4, b"", b"xy")]
-    assert list(repeats.unpack_texts(repeats.pack_texts(docs))) == docs
+    x, y, tail = repeats.unpack(repeats.pack(a, b, tail=b"xyz"), "u8", "i4")
+    assert (x == a).all() and (y == b).all() and tail == b"xyz"
