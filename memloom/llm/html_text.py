@@ -10,8 +10,9 @@ however long it is on one page.)
 
 Blocks are the texts between block-level tags; a line break tag counts as white space. Furniture
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) goes by tag, role or words
-in class and id, and lists that are links only go as menus; paragraphs, divisions and tables of links
-only do so outside of articles and of the chosen container.
+in class and id. Lists, paragraphs, divisions and tables that are links only go as menus, outside of
+articles and of the chosen container only. Formulas keep their text. Work grows in proportion to a
+page's length, however deep its elements are nested.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own;
 repeated rows and null ids are answered row by row; equal votes go to the greater path; an empty
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -36,14 +37,13 @@ BROADCAST_HOSTS = 20_000
 SALTS = 32
 #: Share of a container's text from which a container below it stands for it.
 SHARE = 0.8
-#: Tags that go as menus if they hold links only, anywhere or outside of articles.
-LINK_LISTS = frozenset("ul ol dl".split())
-LINK_BLOCKS = frozenset("div p table".split())
+#: Tags that go as menus if they hold links only.
+LINK_BLOCKS = frozenset("div dl ol p table ul".split())
 #: Depth from which containers share their parent's path.
 MAX_DEPTH = 64
 
 #: Tag names by their role.
-RAW = frozenset("script style noscript template iframe svg math textarea title object canvas noembed noframes xmp".split())
+RAW = frozenset("script style noscript template iframe svg textarea title object canvas noembed noframes xmp annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section "
@@ -82,11 +82,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "furniture", "holds", "order", "text", "links", "junk", "n_links", "depth", "in_article", "menu")
+    __slots__ = ("tag", "path", "parent", "furniture", "holds", "order", "text", "links", "junk", "n_links", "depth", "in_article", "menu", "headed", "end")
 
     def __init__(self, tag: str, path: str, parent: Node | None, furniture: bool, order: int, in_article: bool = False):
         self.tag, self.path, self.parent, self.furniture, self.order = tag, path, parent, furniture, order
-        self.in_article, self.menu = in_article, False
+        self.in_article, self.menu, self.headed = in_article, False, False
+        self.end = order  # of the last element below
         self.holds: list = []  # texts, nodes and None for a block's edge
         self.text = self.links = self.junk = self.n_links = 0
         self.depth = parent.depth + 1 if parent else 0
@@ -124,15 +125,14 @@ def parse(source: str) -> list[Node]:
     """All block-level elements in page order; the first is the root."""
     root = Node("html", "", None, False, 0)
     nodes, stack = [root], [root]
-    articles = 0
+    opened: Counter[str] = Counter()  # open elements by tag, the root left out
     link = 0
     at, n = 0, len(source)
 
     def close(to: int) -> None:
-        nonlocal articles, link
+        nonlocal link
         while len(stack) > to:
-            gone = stack.pop()
-            articles -= gone.tag in ("article", "main")
+            opened[stack.pop().tag] -= 1
             stack[-1].holds.append(None)
             link = 0
 
@@ -162,7 +162,7 @@ def parse(source: str) -> list[Node]:
         if m[1]:
             if tag == "a":
                 link = max(0, link - 1)
-            elif tag in BLOCK:
+            elif opened[tag]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
                         close(k)
@@ -182,9 +182,9 @@ def parse(source: str) -> list[Node]:
             continue
         if tag not in BLOCK:
             continue
-        if tag in ("html", "body") and any(s.tag == tag and s is not root for s in stack):
+        if tag in ("html", "body") and opened[tag]:
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     close(k)
@@ -193,7 +193,7 @@ def parse(source: str) -> list[Node]:
                     break
         if tag in ENDS:
             ended, until = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ended) else ():
                 if stack[k].tag in ended:
                     close(k)
                     break
@@ -206,16 +206,19 @@ def parse(source: str) -> list[Node]:
         attrs = attributes(m[3]) if m[3] and not m[3].isspace() else {}
         step = tag + ("." + g if (g := generalised(attrs.get("class", ""))) else "")
         path = f"{up.path}/{step}" if up.depth < MAX_DEPTH else up.path
-        node = Node(tag, path, up, is_furniture(tag, attrs, articles > 0), len(nodes), articles > 0)
+        inside = bool(opened["article"] or opened["main"])
+        node = Node(tag, path, up, is_furniture(tag, attrs, inside), len(nodes), inside)
         up.holds.append(None)
         up.holds.append(node)
         nodes.append(node)
         stack.append(node)
+        opened[tag] += 1
         if tag in ("article", "main"):
-            articles += 1
-            for around in stack[1:-1]:  # a layout's name or form does not make its story furniture
-                if around.tag not in WRAPPED_FURNITURE:
-                    around.furniture = False
+            for k in range(len(stack) - 2, 0, -1):  # a layout's name or form does not make its story furniture
+                if stack[k].tag not in WRAPPED_FURNITURE:
+                    stack[k].furniture = False
+                if stack[k].tag in ("article", "main"):
+                    break  # those around it are done
         link = 0
     return nodes
 
@@ -233,7 +236,8 @@ def _end_of(source: str, tag: str, at: int) -> int:
 
 
 def measure(nodes: list[Node]) -> None:
-    """Text, link text and furniture under each element, in characters; menus become furniture."""
+    """Text, link text and furniture under each element, in characters, and whether a main heading stands
+    in it, not in a container below; menus become furniture."""
     for node in reversed(nodes):
         for held in node.holds:
             if isinstance(held, tuple):
@@ -243,15 +247,16 @@ def measure(nodes: list[Node]) -> None:
                     node.links += size
             elif held is not None:
                 node.n_links += held.n_links
+                node.end = max(node.end, held.end)
                 if held.furniture:
                     node.junk += held.text + held.junk
                 else:
                     node.text += held.text
                     node.links += held.links
                     node.junk += held.junk
-        if not node.furniture and node.n_links >= 3 and node.links >= 0.9 * node.text:
-            node.menu = node.tag in LINK_BLOCKS and not node.in_article
-            node.furniture = node.menu or node.tag in LINK_LISTS
+                    node.headed |= held.tag in ("h1", "h2") or (held.headed and held.tag not in CONTAINER)
+        if not node.furniture and not node.in_article and node.tag in LINK_BLOCKS and node.n_links >= 3 and node.links >= 0.9 * node.text:
+            node.menu = node.furniture = True
 
 
 def score(node: Node) -> float:
@@ -270,20 +275,17 @@ def candidates(nodes: list[Node]) -> list[Node]:
     return sorted(found, key=lambda x: (-score(x), -x.depth, x.order))
 
 
-def has_heading(node: Node) -> bool:
-    """A main heading that stands in the container itself, not in a container below."""
-    return any(isinstance(h, Node) and not h.furniture and (h.tag in ("h1", "h2") or (h.tag not in CONTAINER and has_heading(h))) for h in node.holds)
-
-
 def main_container(found: list[Node]) -> Node | None:
     """From the container with the most text down to one that still has nearly all of it; articles
     and containers with a heading of their own are not left."""
-    node = found[0] if found else None
-    while node is not None and node.tag not in ("article", "main") and not has_heading(node):
-        below = next((x for x in found if x.depth > node.depth and score(x) >= SHARE * score(node) and _within(x, {node.order})), None)
-        if below is None:
+    node, at = found[0] if found else None, 1
+    while node is not None and node.tag not in ("article", "main") and not node.headed:
+        # what is not within a container is not within those below it, so none is looked at twice
+        while at < len(found) and score(found[at]) >= SHARE * score(node) and not node.order < found[at].order <= node.end:
+            at += 1
+        if at == len(found) or score(found[at]) < SHARE * score(node):
             break
-        node = below
+        node, at = found[at], at + 1
     return node
 
 
@@ -337,11 +339,12 @@ def extract(source: str | None, path: str | None = None, sides: Iterable[str] =
     measure(nodes)
     found = candidates(nodes)
     own = main_container(found) or nodes[0]
-    chosen = [x for x in found if x.path == path] if path else []
+    chosen: list[Node] = []
+    for x in sorted((x for x in found if x.path == path), key=lambda x: x.order) if path else ():
+        if not chosen or x.order > chosen[-1].end:
+            chosen.append(x)
     if chosen:
-        inside = {x.order for x in chosen}
-        chosen = sorted((x for x in chosen if not _within(x, inside)), key=lambda x: x.order)
-        covered = own.order in inside or _within(own, inside)
+        covered = any(x.order <= own.order <= x.end for x in chosen)
         if not covered and own.path not in sides and sum(map(score, chosen)) < SHARE * score(own):
             chosen = [own]
     else:
@@ -354,15 +357,6 @@ def extract(source: str | None, path: str | None = None, sides: Iterable[str] =
     return "\n".join(lines)
 
 
-def _within(node: Node, orders: set[int]) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.order in orders:
-            return True
-        up = up.parent
-    return False
-
-
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 

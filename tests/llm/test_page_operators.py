@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import time
 import zipfile
 import zlib
 from string import ascii_lowercase as LETTERS
@@ -91,7 +92,10 @@ LINKS = "<a href=a>one</a> <a href=b>two</a> <a href=c>three</a>"
     "source,path,text",
     [
         (f"<article><h1>T</h1><p>x</p><p>{LINKS}</p><div>{LINKS}</div><table><tr><td>{LINKS}</table></article>", None, "T\nx\none two three\none two three\none two three"),
-        (f"<article><h1>T</h1><p>x</p><ul><li>{LINKS}</ul></article>", None, "T\nx"),
+        (f"<article><h1>T</h1><p>x</p><ul><li>{LINKS}</ul></article>", None, "T\nx\none two three"),
+        (f"<body><ul><li>{LINKS}</ul><div class=s><p>a story of some length</p><ol><li>{LINKS}</ol></div>", "/body/div.s", "a story of some length\none two three"),
+        (f"<body><ul><li>{LINKS}</ul><p>a story of some length</p>", None, "a story of some length"),
+        ("<article><p>Let <math><mi>x</mi><annotation>x_1</annotation></math> be", None, "Let x be"),
         (f"<body><div class=s><p>a story of some length</p><p>{LINKS}</p></div><div>{LINKS}</div>", "/body/div.s", "a story of some length\none two three"),
         (f"<body><p>a story</p><div>{LINKS}</div>", None, "a story"),
     ],
@@ -100,6 +104,26 @@ def test_blocks_of_links_stay_in_the_article(source, path, text):
     assert html_text.extract(source, path) == text
 
 
+@pytest.mark.parametrize("tag", sorted(html_text.BLOCK - {"hr"}))
+def test_deep_pages(tag):
+    """Ten thousand nested elements of each kind, closed or not, with stray end tags."""
+    n = 10_000
+    began = time.perf_counter()
+    for source in (f"<{tag}>" * n + "x y", f"<{tag}>" * n + "x y" + f"</{tag}>" * n, f"<div class=c>a </div><{tag}><p>" * n + "x" + "</td>" * n):
+        html_text.votes(source)
+        got = html_text.extract(source, "/div.c")
+        assert got in ("", "x", "x y") or set(got.split()) <= {"a", "x"}
+    assert html_text.extract(f"<article>{f'<{tag}>' * n}") == ""
+    assert time.perf_counter() - began < 20
+
+
+def test_each_level_loses_a_little():
+    n = 3000
+    source = "".join(f"<div class=k>{'ab'}" for _ in range(n)) + "the story " * 20_000
+    assert html_text.extract(source).endswith("the story")
+    assert html_text.extract(source, "/div.k").startswith("ab\nab")
+
+
 def test_salted_join_gives_the_same(spark, sf_dir, monkeypatch):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     a = sorted(map(tuple, html_text.main_text(spark, pages).collect()))
