@@ -1,13 +1,15 @@
 """Benchmark decontamination with an FM-index over each training shard.
 
-A shard is a run of documents of about SHARD_BYTES. Its words become symbols (benchmark words their
-own, other words one of OTHER_SYMBOLS by hash, one end mark a document); the shard's suffixes are
-sorted, and the Burrows-Wheeler transform goes into a wavelet matrix. All test windows are searched
+A shard is a run of documents of about SHARD_BYTES; a longer document is cut into pieces that overlap
+by a window. Its words become symbols (benchmark words their own, other words one of OTHER_SYMBOLS by
+hash, one end mark a document); hit words are compared byte by byte, and where two words share a hash
+the shard's symbols are told by the words themselves. The shard's suffixes are sorted, and the Burrows-Wheeler transform goes into a wavelet matrix. All test windows are searched
 backward at once by wavelet ranks; rows that are found are walked to a sampled suffix position.
 Overlapping occurrences merge into the spans that are to be removed.
 
-The benchmark reaches the executors in blocks of BLOCK_BYTES of text at most (one longer item is a
-block of its own); the shards are passed once a block, so no broadcast grows with the benchmark.
+The benchmark's different rows reach the executors in blocks of about BLOCK_BYTES of text (a longer
+item is in a block of its own size); CHAIN blocks search the shards side by side in one pass, so no
+broadcast grows with the benchmark.
 
 Defined results: a null text has no words and is never contaminated; an item without words has no
 window; a null item id is named by the empty string, a repeated one counts once; an empty benchmark
@@ -30,6 +32,7 @@ from .common import Scratch, blocks, set_column, texts_of
 WINDOW = 13
 SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20
+CHAIN = 4
 OTHER_SYMBOLS = 4096
 SAMPLE = 16
 #: A document is contaminated if hit words are at least one in this many.
@@ -86,31 +89,36 @@ class Phrases:
 
     def __init__(self, items: Iterable[tuple[str, str | None]], window: int = WINDOW):
         vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
         names: dict[str, int] = {}
+        texts: list[np.ndarray] = []
+        owner: list[int] = []
         for name, text in items:
-            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
-            if not ids:
-                continue
-            item = names.setdefault(name, len(names))
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1):
-                owners.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.names = list(names)
-        self.words = list(vocabulary)
-        joined = b" ".join(self.words)
-        data = np.frombuffer(joined, np.uint8)
+            if words := words_of(text):
+                texts.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
+                owner.append(names.setdefault(name, len(names)))
+        self.names, self.words, self.window = list(names), list(vocabulary), window
+        data = np.frombuffer(b" ".join(self.words), np.uint8)
         hashes = Hasher()(data, *word_bounds(data)) if len(data) else np.zeros(0, np.uint64)
         self.by_hash = np.argsort(hashes, kind="stable")
         self.hashes = hashes[self.by_hash]
-        if len(np.unique(hashes)) != len(hashes):
-            raise ValueError("two benchmark words share a hash")
-        self.sizes = np.array([len(p) for p in owners], np.int64)
-        width = int(self.sizes.max(initial=1))
-        self.symbols = np.zeros((len(owners), width), np.int32)  # right-aligned
-        for row, p in enumerate(owners):
-            self.symbols[row, width - len(p) :] = p
-        self.items = [sorted(o) for o in owners.values()]
+        self.exact = len(np.unique(hashes)) < len(hashes)  # hashes do not tell these words apart
+        # windows, right-aligned, -1 in front of short ones; equal ones are one
+        length = np.array([min(window, len(t)) for t in texts], np.int64)
+        width = int(length.max(initial=1))
+        rows = [np.zeros((0, width), np.int32)]
+        for t, n in zip(texts, length.tolist(), strict=True):
+            part = np.full((len(t) - n + 1, width), -1, np.int32)
+            part[:, width - n :] = np.lib.stride_tricks.sliding_window_view(t, n)
+            rows.append(part)
+        count = np.array([len(x) for x in rows[1:]], np.int64)
+        self.symbols, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.sizes = (self.symbols >= 0).sum(axis=1)
+        pairs = np.unique(np.stack([which.reshape(-1), np.repeat(np.array(owner, np.int64), count)], axis=1), axis=0)
+        self.item = pairs[:, 1]
+        self.cuts = np.searchsorted(pairs[:, 0], np.arange(len(self.symbols) + 1))
+
+    def items_of(self, phrase: int) -> list[str]:
+        return [self.names[i] for i in self.item[self.cuts[phrase] : self.cuts[phrase + 1]].tolist()]
 
 
 def suffix_array(symbols: np.ndarray, top: int) -> np.ndarray:
@@ -238,29 +246,49 @@ class Marker:
     def __init__(self, phrases: Phrases):
         self.phrases, self.hash = phrases, Hasher()
 
-    def shard(self, texts: list[str]) -> tuple[list[int], list[list[int]], list[list[str]]]:
+    def shard(self, texts: list[str], limit: int = SHARD_BYTES) -> tuple[list[int], list[list[int]], list[list[str]]]:
         """Of each text: its words, the hit word ranges (start, end, start, end, ...) and the items."""
-        p = self.phrases
         raw = [t.encode().lower() for t in texts]
+        if len(raw) > 1 or sum(map(len, raw)) <= 2 * limit:
+            return self._search(raw, self.phrases.exact)
+        words, spans, items = 0, [], set()
+        for piece, own in pieces(raw[0], limit, self.phrases.window):
+            _, found, names = self._search([piece], self.phrases.exact)
+            spans += [words + x for x in found[0]]
+            items.update(names[0])
+            words += own
+        return [words], [merge_spans(spans, [])], [sorted(items)]
+
+    def _symbols(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, exact: bool) -> np.ndarray:
+        """1 .. OTHER_SYMBOLS for other words, by hash, then the vocabulary."""
+        p = self.phrases
+        hashes = self.hash(data, starts, ends)
+        other = 1 + (hashes % np.uint64(OTHER_SYMBOLS)).astype(np.int64)
+        if exact:
+            own = {w: OTHER_SYMBOLS + 1 + i for i, w in enumerate(p.words)}
+            raw = data.tobytes()
+            return np.array([own.get(raw[a:b], o) for a, b, o in zip(starts.tolist(), ends.tolist(), other.tolist(), strict=True)], np.int64)
+        place = np.minimum(np.searchsorted(p.hashes, hashes), len(p.hashes) - 1)
+        return np.where(p.hashes[place] == hashes, OTHER_SYMBOLS + 1 + p.by_hash[place], other)
+
+    def _search(self, raw: list[bytes], exact: bool) -> tuple[list[int], list[list[int]], list[list[str]]]:
+        p = self.phrases
         data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
         offsets = np.cumsum([0, *(len(r) + 1 for r in raw)])
         starts, ends = word_bounds(data)
         bounds = np.searchsorted(starts, offsets)
         counts = np.diff(bounds)
-        spans: list[list[int]] = [[] for _ in texts]
-        items: list[list[str]] = [[] for _ in texts]
+        spans: list[list[int]] = [[] for _ in raw]
+        items: list[set[str]] = [set() for _ in raw]
         if not len(starts) or not len(p.sizes):
-            return counts.tolist(), spans, items
-        hashes = self.hash(data, starts, ends)
-        place = np.minimum(np.searchsorted(p.hashes, hashes), len(p.hashes) - 1)
-        known = p.hashes[place] == hashes
-        # symbols: 0 ends a document, then the other words by hash, then the vocabulary
-        word = np.where(known, OTHER_SYMBOLS + 1 + p.by_hash[place], 1 + (hashes % np.uint64(OTHER_SYMBOLS)).astype(np.int64))
+            return counts.tolist(), spans, [[] for _ in raw]
+        word = self._symbols(data, starts, ends, exact)
+        # symbol 0 ends a document
         top = OTHER_SYMBOLS + len(p.words)
-        doc = np.repeat(np.arange(len(texts)), counts)
-        symbols = np.zeros(len(word) + len(texts), np.int32)
+        doc = np.repeat(np.arange(len(raw)), counts)
+        symbols = np.zeros(len(word) + len(raw), np.int32)
         symbols[np.arange(len(word)) + doc] = word
-        del hashes, place, word
+        del word
         index = FMIndex(symbols, top)
         which, low, high = index.search(p.symbols + OTHER_SYMBOLS + 1, p.sizes)
         rows, owner = expand(low, high)
@@ -272,21 +300,35 @@ class Marker:
         np.add.at(cover, at, 1)
         np.add.at(cover, at + p.sizes[phrase], -1)
         covered = np.cumsum(cover[:-1]) > 0
-        self._verify(data, starts, ends, symbols, np.flatnonzero(covered))
+        if not exact and not self._same_words(data, starts, ends, symbols, np.flatnonzero(covered)):
+            return self._search(raw, True)
         step = np.diff(np.r_[0, covered.view(np.int8), 0])
         first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         for a, b, d in zip(first.tolist(), last.tolist(), (np.searchsorted(begin, first, side="right") - 1).tolist(), strict=True):
             spans[d] += [a - int(begin[d]), b - int(begin[d])]
-        for d, q in set(zip(home.tolist(), phrase.tolist(), strict=True)):
-            items[d] += [p.names[i] for i in p.items[q]]
-        return counts.tolist(), spans, [sorted(set(x)) for x in items]
+        for d, q in np.unique(np.stack([home, phrase], axis=1), axis=0).tolist():
+            items[d].update(p.items_of(q))
+        return counts.tolist(), spans, [sorted(x) for x in items]
 
-    def _verify(self, data, starts, ends, symbols, places) -> None:
-        """Hit words must be the vocabulary's, byte by byte; else a hash was met by chance."""
+    def _same_words(self, data, starts, ends, symbols, places) -> bool:
+        """Whether hit words are the vocabulary's, byte by byte; else a hash was met by chance."""
         word = places - np.cumsum(symbols == 0)[places]
-        for s, w in zip(symbols[places].tolist(), word.tolist(), strict=True):
-            if data[starts[w] : ends[w]].tobytes() != self.phrases.words[s - OTHER_SYMBOLS - 1]:
-                raise ValueError("a word shares its hash with a benchmark word")
+        return all(data[starts[w] : ends[w]].tobytes() == self.phrases.words[s - OTHER_SYMBOLS - 1] for s, w in zip(symbols[places].tolist(), word.tolist(), strict=True))
+
+
+def pieces(raw: bytes, limit: int, window: int) -> Iterator[tuple[bytes, int]]:
+    """Parts of a lower-cased text, cut between words, each with the words behind it that a window may
+    reach; and how many words are its own."""
+    start, n = 0, len(raw)
+    while start < n:
+        end = min(n, start + limit)
+        while end < n and _IS_WORD[raw[end]]:
+            end += 1
+        reach = end
+        for _, m in zip(range(window - 1), WORD.finditer(raw, end), strict=False):
+            reach = m.end()
+        yield raw[start:reach], sum(1 for _ in WORD.finditer(raw, start, end))
+        start = end
 
 
 def shards(batches: Iterable[pa.RecordBatch], text_col: str, limit: int = SHARD_BYTES) -> Iterator[list[pa.RecordBatch]]:
@@ -316,14 +358,14 @@ def merge_spans(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def benchmark_blocks(bench: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[str, str | None]], bool]]:
-    """The benchmark's (item_id, text) in blocks of about `limit` bytes of text, and which is the last."""
-    rows = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+def benchmark_blocks(bench: DataFrame, scratch: Scratch, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
+    """The benchmark's different (item_id, text) in blocks of about `limit` bytes of text."""
+    rows = scratch.put(bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct(), "benchmark")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // limit))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.collect()], k == n - 1
+        yield [tuple(r) for r in part.collect()]  # bounded by the limit
 
 
 def mark_hits(spark: SparkSession, docs: DataFrame, bench: DataFrame, text_col: str = "text", finish=None) -> DataFrame:
@@ -339,8 +381,12 @@ def mark_hits(spark: SparkSession, docs: DataFrame, bench: DataFrame, text_col:
     columns = len(docs.columns)
     scratch = Scratch(spark, "decontam")
     marked = None
-    for block, last in benchmark_blocks(bench):
+    todo = benchmark_blocks(bench, scratch, BLOCK_BYTES)
+    block, k = next(todo), 0
+    while block is not None:
         phrases = spark.sparkContext.broadcast(Phrases(block))
+        block, k = next(todo, None), k + 1
+        last = block is None
 
         def run(batches, phrases=phrases, more=marked is not None, end=finish if last else None):
             marker = Marker(phrases.value)
@@ -360,7 +406,7 @@ def mark_hits(spark: SparkSession, docs: DataFrame, bench: DataFrame, text_col:
                     arrays = [pa.array(s, pa.list_(pa.int64())), pa.array(i, pa.list_(pa.string())), pa.array(words[cut], pa.int64())]
                     yield pa.RecordBatch.from_arrays([*own.columns, *arrays], names=[*own.schema.names, SPANS, ITEMS, WORDS])
 
-        if marked is not None:
+        if marked is not None and k % CHAIN == 1:
             marked = scratch.put(marked, "marked")
         marked = (docs if marked is None else marked).mapInArrow(run, docs.schema if finish and last else schema)
     return marked

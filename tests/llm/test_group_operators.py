@@ -152,9 +152,32 @@ def test_contamination(spark, seed):
 
 
 def test_contamination_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontam.benchmark_blocks, "__defaults__", (40,))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 40)
     docs, items = random_case(9)
-    decontam_case(spark, docs, items)
+    decontam_case(spark, docs, items + items[:2] * 20)  # equal rows count once
+
+
+def test_words_of_one_hash(spark):
+    """Thue-Morse words and their complements have one polynomial hash to a modulus of 2**64."""
+    bits = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(2048)) for k in (0, 1)]
+    assert len(set(decontam.Hasher()(np.frombuffer(" ".join(bits).encode(), np.uint8), np.array([0, 2049]), np.array([2048, 4097])).tolist())) == 1
+    docs = [(1, f"x {bits[0]} y"), (2, f"x {bits[1]} y"), (3, " ".join(bits)), (4, "a b")]
+    for items in ([(1, bits[0]), (2, bits[1])], [(1, bits[0])], [(1, f"y {bits[1]}"), (2, "a b")]):
+        decontam_case(spark, docs, items)
+
+
+@pytest.mark.parametrize("limit", [1, 7, 100, 5000])
+def test_long_documents_are_searched_in_pieces(limit):
+    rng = random.Random(limit)
+    docs, items = random_case(limit)
+    text = " ".join((t or "") for _, t in docs * 3) + " é " + "z" * 50
+    items = [("" if i is None else str(i), t) for i, t in items]
+    marker = decontam.Marker(decontam.Phrases(items))
+    whole, cut = marker.shard([text], len(text) * 4), marker.shard([text], limit)
+    assert whole == cut and whole[1][0] and whole[0] == [len(decontam.words_of(text))]
+    raw = text.encode().lower()
+    parts = list(decontam.pieces(raw, limit, 13))
+    assert sum(n for _, n in parts) == whole[0][0] and (limit > 100 or len(parts) > 3)
 
 
 def test_contamination_of_empty_tables(spark):
