@@ -12,6 +12,8 @@ merely puts more suffixes into one sort. A bucket's units that are equal as a wh
 once, and only anchors with several different units enter the passes.
 
 * Every shard of documents first decides what it can itself: of equal units it sends one record.
+* Shards first send their anchors only, in 40 bits, and learn which of them others have too; units
+  travel only where an anchor is shared. (Two anchors that agree in these bits merely travel.)
 * Anchors that very many different units hold (a phrase of a third of all documents) are found from a
   sample of the shards and come last in the choice of anchors; windows that have no other are dealt
   one by one by all their bytes. The sample changes where suffixes meet, never the result.
@@ -51,6 +53,8 @@ MAX_PARTITIONS = 1 << 16
 _P1, _P2 = np.uint64(0xD1342543DE82EF95), np.uint64(0x9FB21C651E98DF25)
 #: Names of a task's shards: its number times this, and on.
 _TASK = 1 << 32
+#: Low bits of an anchor that are not sent.
+_SENT = np.uint64(23)
 _LOW24, _TOP = np.uint64((1 << 24) - 1), np.uint64(1 << 63)
 
 
@@ -61,7 +65,7 @@ class Limits:
     #: Bytes that are hashed at once; longer texts are cut into segments that overlap by a window.
     segment: int = 256 << 10
     #: Bytes of text that a bucket stands for, and bytes of different units that it may hold.
-    bucket: int = 4 << 20
+    bucket: int = 8 << 20
     held: int = 32 << 20
     #: Windows that are sorted at once.
     sorted_at_once: int = 1 << 20
@@ -210,7 +214,7 @@ class Units:
         return Units(*arrays, [b for p in parts for b in p.body])
 
 
-def units_of(parts: list[tuple[int, int, int]], raw: list[bytes], hot: Hot) -> list[Units]:
+def units_of(parts: list[tuple[int, int, int]], raw: list[bytes], hot: Hot, bytes_too: bool = True) -> list[Units]:
     """The units of some texts' parts; of windows with hot anchors only, one a window."""
     data = b"".join(raw[i][a:b] for i, a, b in parts)
     n = len(data)
@@ -238,12 +242,15 @@ def units_of(parts: list[tuple[int, int, int]], raw: list[bytes], hot: Hot) -> l
     row = np.array([i for i, _, _ in parts])[part]
     offset = first - begin[part] + np.array([a for _, a, _ in parts])[part]
     at = place[first]
-    body = [data[a:b] for a, b in zip(first.tolist(), (last + THRESHOLD).tolist(), strict=True)]
-    found = Units(hashes[at], (at - first).astype(np.uint8), (last - first).astype(np.uint8), row, offset, body)
-    common = found.anchor >= _TOP
-    if not common.any():
-        return [found]
-    return [found.take(np.flatnonzero(~common)), found.take(np.flatnonzero(common)).windows()]
+    common = hashes[at] >= _TOP
+
+    def units(chosen: np.ndarray, bodies: bool) -> Units:
+        x, y = first[chosen], last[chosen]
+        body = [data[a:b] for a, b in zip(x.tolist(), (y + THRESHOLD).tolist(), strict=True)] if bodies else []
+        return Units(hashes[at[chosen]], (at[chosen] - x).astype(np.uint8), (y - x).astype(np.uint8), row[chosen], offset[chosen], body)
+
+    found = [units(np.flatnonzero(~common), bytes_too)]
+    return [*found, units(np.flatnonzero(common), True).windows()] if common.any() else found
 
 
 # ---------------------------------------------------------------- packed arrays
@@ -279,7 +286,7 @@ def by_key(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 #: What travels: `part` deals it, `key` names its bucket or its shard, kinds of a shard in this order.
 _ROWS = "part int, key long, kind int, payload binary"
-_MARKS, _LINKS, _TEXTS, _UNITS = range(4)
+_MARKS, _LINKS, _SHARED, _TEXTS, _UNITS, _ANCHORS = range(6)
 _UNIT = ("u8", "u1", "u1", "u4", "u4", "i8", "u1")  # anchor, place, span, row, offset, id, id is null
 _MARK = ("u4", "u4", "u4")  # row, first and last window
 _LINK = ("u4", "u4", "u1", "u4", "u4")  # row, offset, span; row and offset of its equal
@@ -390,8 +397,48 @@ def packed_units(deal: Deal, shard: int, units: Units, ids: np.ndarray, null: np
         yield bucket % deal.parts, bucket, _UNITS, pack(*(c.astype(k) for c, k in zip(columns, _UNIT, strict=True)), tail=name + b"".join(u.body))
 
 
-def shard_units(shard: int, payload: bytes, deal: Deal, hot: Hot, limits: Limits) -> Iterator[Row]:
-    """A shard's different units by bucket, and what it can tell of the others itself."""
+def shard_anchors(shard: int, payload: bytes, deal: Deal, hot: Hot, limits: Limits) -> Iterator[Row]:
+    """A shard's anchors by bucket, in rising order."""
+    _, _, raw = read_shard(payload)
+    parts = [u.anchor for p in segments(list(map(len, raw)), limits.segment) for u in units_of(p, raw, hot, bytes_too=False)]
+    if parts:
+        anchors = np.unique(np.concatenate(parts))
+        for bucket, at in by_key(deal.bucket(anchors)):
+            yield bucket % deal.parts, bucket, _ANCHORS, pack(anchors[at] >> _SENT, tail=shard.to_bytes(8, "little"))
+
+
+def reduce_anchors(found: Iterable[Row], deal: Deal) -> Iterator[Row]:
+    """To each shard of a bucket, which of its anchors there another shard has too, as bits."""
+    shards: list[int] = []
+    sent: list[np.ndarray] = []
+
+    def reply(bucket: int) -> Iterator[Row]:
+        every = np.concatenate(sent)
+        order = np.argsort(every)
+        again = np.r_[False, every[order][1:] == every[order][:-1]]
+        again[:-1] |= again[1:]
+        shared = np.empty(len(every), np.bool_)
+        shared[order] = again
+        ends = np.cumsum([len(a) for a in sent])
+        for shard, bits in zip(shards, np.split(shared, ends[:-1]), strict=True):
+            yield deal.home(shard), shard, _SHARED, bucket.to_bytes(8, "little") + np.packbits(bits).tobytes()
+
+    now = -1
+    for _, key, _, payload in found:
+        if key != now and sent:
+            yield from reply(now)
+            shards.clear()
+            sent.clear()
+        now = key
+        anchors, tail = unpack(payload, "u8")
+        shards.append(int.from_bytes(tail, "little"))
+        sent.append(anchors)
+    if sent:
+        yield from reply(now)
+
+
+def shard_units(shard: int, payload: bytes, replies: list[bytes], deal: Deal, hot: Hot, limits: Limits) -> Iterator[Row]:
+    """A shard's different units of shared anchors by bucket, and what it can tell of the others itself."""
     ids, null, raw = read_shard(payload)
     parts = [u for p in segments(list(map(len, raw)), limits.segment) for u in units_of(p, raw, hot)]
     if not parts:
@@ -416,10 +463,31 @@ def shard_units(shard: int, payload: bytes, deal: Deal, hot: Hot, limits: Limits
         to = known[link]
         columns = (row[link], units.offset[link], units.span[link], row[to], units.offset[to])
         yield deal.home(shard), shard, _LINKS, pack(*(c.astype(k) for c, k in zip(columns, _LINK, strict=True)))
-    units = units.take(np.flatnonzero(known == me))
+    anchors, at = np.unique(units.anchor, return_inverse=True)
+    shared = np.zeros(len(anchors), np.bool_)
+    bits = {int.from_bytes(r[:8], "little"): np.frombuffer(r, np.uint8, offset=8) for r in replies}
+    for bucket, places in by_key(deal.bucket(anchors)):
+        shared[places] = np.unpackbits(bits[bucket])[: len(places)]
+    # anchors that several documents of this shard have
+    owner = ranks(ids, null)[row]
+    least, most = np.full(len(anchors), len(raw)), np.zeros(len(anchors), np.int64)
+    np.minimum.at(least, at, owner)
+    np.maximum.at(most, at, owner)
+    units = units.take(np.flatnonzero((known == me) & (shared | (least < most))[at]))
     yield from packed_units(deal, shard, units, ids[units.row], null[units.row])
 
 
+def cut_shards(found: Iterable[Row], deal: Deal, hot: Hot, limits: Limits) -> Iterator[Row]:
+    """Shards in order, the replies first."""
+    replies: list[bytes] = []
+    for _, shard, kind, payload in found:
+        if kind == _SHARED:
+            replies.append(payload)
+        else:
+            yield from shard_units(shard, payload, replies, deal, hot, limits)
+            replies.clear()
+
+
 # ---------------------------------------------------------------- buckets
 
 
@@ -687,15 +755,18 @@ def repeated_text(spark: SparkSession, docs: DataFrame, scratch: Scratch | None
     deal = Deal(parts, parts * max(1, -(-total // (parts * limits.bucket))))
     hot = hot_anchors(shards, total, limits)
 
-    def cut(batches):
+    def anchors(batches):
         for batch in batches:
             for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from rows(shard_units(shard, payload, deal, hot, limits))
+                yield from rows(shard_anchors(shard, payload, deal, hot, limits))
 
     def met(df: DataFrame, deal: Deal) -> DataFrame:
         return df.repartitionById(deal.parts, F.col("part")).sortWithinPartitions("key", "kind")
 
-    units = shards.select("shard", "payload").mapInArrow(cut, _ROWS)
+    sent = shards.select("shard", "payload").mapInArrow(anchors, _ROWS)
+    replies = scratch.put(met(sent, deal).mapInArrow(lambda b: rows(reduce_anchors(_rows_of(b), deal)), _ROWS), "replies")
+    texts = shards.select(deal.home(F.col("shard")).alias("part"), F.col("shard").alias("key"), F.lit(_TEXTS).alias("kind"), "payload")
+    units = met(replies.unionByName(texts), deal).mapInArrow(lambda b: rows(cut_shards(_rows_of(b), deal, hot, limits)), _ROWS)
     told = scratch.put(met(units, deal).mapInArrow(lambda b: rows(reduce_units(_rows_of(b), deal, limits)), _ROWS), "told")
     outgrown = told.where(F.col("kind") == _UNITS)
     told = told.where(F.col("kind") != _UNITS)
@@ -706,5 +777,4 @@ def repeated_text(spark: SparkSession, docs: DataFrame, scratch: Scratch | None
         anew = outgrown.mapInArrow(lambda b: rows(deal_anew(_rows_of(b), second)), _ROWS)
         more = met(anew, second).mapInArrow(lambda b: rows(reduce_units(_rows_of(b), second, limits, again=True)), _ROWS)
         told = told.unionByName(scratch.put(more, "more"))
-    texts = shards.select(deal.home(F.col("shard")).alias("part"), F.col("shard").alias("key"), F.lit(_TEXTS).alias("kind"), "payload")
     return met(told.unionByName(texts), deal).mapInArrow(lambda b: finish(_rows_of(b)), _RESULT)
