@@ -11,7 +11,7 @@ node to node and leaves a whole subtree once they pass the threshold.
 Groups return a spanning forest of their links, not all pairs; components follow by alternating
 large and small stars over written edge tables.
 
-Defined results: a null or blank text has fingerprint zero, linked like any other; rows that repeat
+Defined results: ids may be of any type that can be ordered; a null or blank text has fingerprint zero, linked like any other; rows that repeat
 an id share its component; a null id never names a component (a component of null ids only has a
 null name) and sorts behind all ids where one row of a component is kept; an empty table gives an
 empty result; only the id and text columns are read by name.
@@ -19,6 +19,7 @@ empty result; only the id and text columns are read by name.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -34,6 +35,8 @@ SEED = 42
 DISTANCE = 3
 GROUP_ROWS = 1024
 FANOUT = 8
+#: Rows of whole groups that a task indexes at once.
+RUN_ROWS = 1 << 16
 #: Times that a large group is dealt anew by a quarter of its free bits.
 LEVELS = 3
 _HASH_BLOCK = 1 << 16
@@ -66,8 +69,8 @@ def fingerprints(df: DataFrame) -> DataFrame:
             found = np.array([fingerprint(t) for t in texts_of(batch, "text")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    source = df.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    return source.mapInArrow(run, "doc_id long, th long, fp long")
+    source = df.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, th long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -221,17 +224,32 @@ def links(spark: SparkSession, nodes: DataFrame, scratch: Scratch) -> DataFrame:
         dealt = dealt.unionByName(part)
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        codes = table.column(1).to_numpy().view(np.uint64)
-        a, b = link_forest(codes, table.column(0).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for groups, codes in group_runs(batches):
+            a, b = link_forest(codes.view(np.uint64), groups)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     # two groups that share a 64-bit name would only be searched together, which adds true links
     named = dealt.select(F.xxhash64("level", "path", "value", "i", "j").alias("g"), "fp")
-    return scratch.put(named.repartition("g").mapInArrow(run, "a long, b long"), "links")
+    return scratch.put(named.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long"), "links")
+
+
+def group_runs(batches: Iterable[pa.RecordBatch], rows: int = RUN_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Columns (group, code) of sorted rows, cut into runs of whole groups with `rows` rows or a little
+    more; a group has about GROUP_ROWS at most."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size < rows:
+            continue
+        groups, codes = (np.concatenate(c) for c in zip(*held, strict=True))
+        end = int(np.searchsorted(groups, groups[-1]))  # the last group may go on
+        if end:
+            yield groups[:end], codes[:end]
+        held, size = [(groups[end:], codes[end:])], len(groups) - end
+    if size:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
 def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
@@ -283,15 +301,17 @@ def simhash_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Pipeline form: of each component one document stays, that with the smallest id (then text hash)."""
+    """Pipeline form: of each component one document stays, that with the smallest id (then text hash,
+    then the hash of the whole row)."""
     scratch = Scratch(spark, "simhash")
     found = near_duplicates(spark, docs.select("doc_id", "text"), scratch)
     mine = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.th") == F.col("th"))
-    keep = found.where(mine).groupBy(F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("doc_id").isNull().alias("k2"), F.col("th").alias("k3")).agg(F.count("*").alias("k4"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    keep = found.where(mine).groupBy(name.alias("k1"), F.col("doc_id").isNull().alias("k2"), F.col("th").alias("k3")).agg(F.count("*").alias("k4"))
     keep = scratch.put(keep, "keep")
     packed = docs.select(
         F.struct(*docs.columns).alias("row"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k1"),
+        name.alias("k1"),
         F.col("doc_id").isNull().alias("k2"),
         F.xxhash64("text").alias("k3"),
     )
@@ -299,5 +319,5 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if keep.where("k4 > 1").isEmpty():
         return kept.select("row.*")
     once = kept.where("k4 = 1").select("row")
-    repeated = kept.where("k4 > 1").groupBy("k1", "k2", "k3").agg(F.first("row").alias("row")).select("row")
+    repeated = kept.where("k4 > 1").groupBy("k1", "k2", "k3").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")).select("row")
     return once.union(repeated).select("row.*")

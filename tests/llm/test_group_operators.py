@@ -5,8 +5,10 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from memloom.llm import decontam, mixture, repeats, simhash
 
@@ -99,6 +101,26 @@ def test_gray_index_finds_every_pair():
     assert got == {frozenset((a, b)) for a, b in zip(*np.nonzero(near), strict=True) if a != b}
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_runs_of_whole_groups(rows):
+    rng = np.random.default_rng(rows)
+    groups = np.sort(rng.integers(-5, 20, 300))
+    codes = rng.integers(0, 99, 300)
+    cuts = np.sort(rng.integers(0, 300, 9))
+    batches = [pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], names=["g", "fp"]) for g, c in zip(np.split(groups, cuts), np.split(codes, cuts), strict=True)]
+    runs = list(simhash.group_runs(batches, rows))
+    assert np.concatenate([g for g, _ in runs]).tolist() == groups.tolist() and np.concatenate([c for _, c in runs]).tolist() == codes.tolist()
+    assert all(a[-1] != b[0] for (a, _), (b, _) in zip(runs, runs[1:], strict=False))
+    assert list(simhash.group_runs([])) == []
+
+
+def test_string_ids(spark):
+    df = spark.createDataFrame([("b", "one two three", 2), ("a", "one two three", 1), (None, "one two three", 3), ("a", "one two three", 0)], "doc_id string, text string, n int")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.simhash_components(spark, df).collect()), key=order)
+    assert got == [("a", "a"), ("a", "a"), ("b", "a"), (None, "a")]
+    assert len({tuple(simhash.keep_first(spark, df.orderBy(o)).collect()[0]) for o in ("n", F.desc("n"))}) == 1
+
+
 def test_one_document_of_each_group_stays(spark):
     text = "the quick brown fox jumps over the lazy dog and runs far away from here"
     rows = [(4, text), (2, text), (2, text), (3, "something else entirely in this row"), (None, text), (None, "alone"), (None, "alone")]
