@@ -5,22 +5,24 @@ offers its words in passes: the first is free, each further one dearer (convex r
 A min-cost flow routes the patterns' words to the sources' quotas, and each pattern's flow becomes
 whole passes plus a seeded share of its documents.
 
-The share is cut at a point of a seeded 63-bit hash, found by histograms of the hash's leading
-bits: three levels of 12 bits, aggregated before they are shuffled, so that no task or driver ever
-holds the documents of a source. What the first document beyond the cut leaves open is filled by
-further steps over smaller documents.
-
-Defined results: a null text has size 0; a null source is a source of its own, sorted last; rows
-that repeat both id and text share one hash and are taken alike; sources without words get target
+The share is cut at a point of a seeded 63-bit order: a hash of id and text, then one of the row's
+place, so that a run of equal rows can be cut within. The point is found by histograms of 12 leading
+bits after 12, until a bucket holds a single row. They are aggregated before they are shuffled and
+summed up in two steps of 64 buckets, so that no task or driver ever holds the documents of a source.
+What the first document beyond the cut leaves open is filled by further steps over smaller documents.
+
+Defined results: a null text has size 0; a null source is a source of its own, sorted last; of rows
+that repeat both id and text any may be the ones that are taken; sources without words get target
 0; an empty table gives an empty result; columns beyond those named are never read by name.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_REGEX, Scratch
@@ -31,9 +33,11 @@ MAX_REPEATS = 3
 PASS_COSTS = (0, 1, 3)
 #: Patterns (and sources) that the driver's flow network may have; the size bound of the broadcast.
 MAX_PATTERNS = 100_000
-#: Histogram levels and their bits: after three levels a bucket holds 2**-36 of the hashes.
+#: Histogram levels and their bits; what they leave of the order is 8 neighbouring places.
 _BITS = 12
-_LEVELS = 3
+_LEVELS = 5
+#: Low bits of the order that tell equal rows apart.
+_SPREAD = (1 << 24) - 1
 #: Times that what a too large document leaves open is filled with smaller ones.
 _STEPS = 4
 _TOP = (1 << 63) - 1
@@ -45,8 +49,9 @@ def size_of(text: Column) -> Column:
 
 
 def seeded(doc_id: Column, text: Column, seed: int = SEED) -> Column:
-    """A hash in [0, 2**63) that orders documents for selection."""
-    return F.xxhash64(F.lit(seed), doc_id, text).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+    """A place in [0, 2**63) that orders rows for selection; equal rows get different ones."""
+    place = F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).bitwiseAND(F.lit(_SPREAD))
+    return F.xxhash64(F.lit(seed), doc_id, text).bitwiseAND(F.lit(_TOP - _SPREAD)).bitwiseOR(place)
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), most: int = MAX_REPEATS) -> dict[str | None, float]:
@@ -76,7 +81,8 @@ class _Edge:
 
 
 class FlowNetwork:
-    """Min-cost flow by successive shortest paths with potentials; costs are not negative."""
+    """Min-cost flow by potentials; all shortest paths of one cost are filled at once, level by level.
+    Costs are not negative."""
 
     def __init__(self, nodes: int):
         self.edges: list[list[_Edge]] = [[] for _ in range(nodes)]
@@ -90,30 +96,69 @@ class FlowNetwork:
         n, sent = len(self.edges), 0
         height = [0] * n
         while True:
-            far = [None] * n
-            far[start], via, queue = 0, [None] * n, [(0, start)]
-            while queue:
-                d, a = heapq.heappop(queue)
-                if d > far[a]:
-                    continue
-                for i, e in enumerate(self.edges[a]):
-                    if e.room and (far[e.to] is None or d + e.cost + height[a] - height[e.to] < far[e.to]):
-                        far[e.to] = d + e.cost + height[a] - height[e.to]
-                        via[e.to] = (a, i)
-                        heapq.heappush(queue, (far[e.to], e.to))
+            far = self._distances(start, height)
             if far[end] is None:
                 return sent
-            height = [h + f if f is not None else h for h, f in zip(height, far, strict=True)]
-            path, at = [], end
-            while at != start:
-                a, i = via[at]
-                path.append(self.edges[a][i])
-                at = a
-            push = min(e.room for e in path)
-            for e in path:
-                e.room -= push
-                self.edges[e.to][e.back].room += push
-            sent += push
+            height = [h + (far[end] if f is None else min(f, far[end])) for h, f in zip(height, far, strict=True)]
+            while (level := self._levels(start, end, height)) is not None:
+                sent += self._fill(start, end, height, level)
+
+    def _distances(self, start: int, height: list[int]) -> list[int | None]:
+        far: list[int | None] = [None] * len(self.edges)
+        far[start], queue = 0, [(0, start)]
+        while queue:
+            d, a = heapq.heappop(queue)
+            if d > far[a]:
+                continue
+            for e in self.edges[a]:
+                if e.room:
+                    there = d + e.cost + height[a] - height[e.to]
+                    if far[e.to] is None or there < far[e.to]:
+                        far[e.to] = there
+                        heapq.heappush(queue, (there, e.to))
+        return far
+
+    def _levels(self, start: int, end: int, height: list[int]) -> list[int] | None:
+        """Steps from the start over edges on shortest paths, or None if the end is not reached."""
+        level = [-1] * len(self.edges)
+        level[start], queue = 0, deque([start])
+        while queue:
+            a = queue.popleft()
+            for e in self.edges[a]:
+                if e.room and level[e.to] < 0 and e.cost + height[a] == height[e.to]:
+                    level[e.to] = level[a] + 1
+                    queue.append(e.to)
+        return level if level[end] >= 0 else None
+
+    def _fill(self, start: int, end: int, height: list[int], level: list[int]) -> int:
+        """Sends what fits along paths that go up one level a step; no edge is tried twice in vain."""
+        following, sent = [0] * len(self.edges), 0
+        path: list[_Edge] = []
+        at = start
+        while True:
+            if at == end:
+                push = min(e.room for e in path)
+                for e in path:
+                    e.room -= push
+                    self.edges[e.to][e.back].room += push
+                sent += push
+                path, at = [], start
+                continue
+            edges = self.edges[at]
+            while following[at] < len(edges):
+                e = edges[following[at]]
+                if e.room and level[e.to] == level[at] + 1 and e.cost + height[at] == height[e.to]:
+                    break
+                following[at] += 1
+            else:
+                if at == start:
+                    return sent
+                gone = path.pop()
+                at = self.edges[gone.to][gone.back].to
+                following[at] += 1
+                continue
+            path.append(e)
+            at = e.to
 
 
 def route(patterns: dict[tuple, int], quotas: dict[str | None, float], costs: tuple[int, ...] = PASS_COSTS) -> dict[tuple, int]:
@@ -133,11 +178,25 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, float], costs: tu
     return {key: sum(patterns[key] - net.edges[a][i].room for a, i in arcs) for key, arcs in offered.items()}
 
 
+def _reach(parts: Column, found: Column, rest: Column) -> Column:
+    """Of buckets (at, words, ...) in order: the first at which the words in front and its own pass the
+    rest (or -1), and the words in front of it."""
+    none = F.struct(F.lit(-1).cast("long").alias("at"), found.alias("found"))
+
+    def step(seen: Column, part: Column) -> Column:
+        upto = seen["found"] + part["words"]
+        over = F.struct(part["at"].alias("at"), seen["found"].alias("found"))
+        on = F.struct(F.lit(-1).cast("long").alias("at"), upto.alias("found"))
+        return F.when(seen["at"] >= 0, seen).when(upto > rest, over).otherwise(on)
+
+    return F.aggregate(F.array_sort(parts), none, step)
+
+
 def _first_over(spark: SparkSession, sized: DataFrame, state: list[tuple]) -> dict[tuple, tuple[int, int]]:
-    """Per pattern, the hash at which the words of its fitting documents first pass the rest.
+    """Per pattern, the place at which the words of its fitting documents first pass the rest.
 
-    `state` has rows (members, start, rest): only documents no larger than the rest, with a hash of
-    at least `start`, count. Gives (cut, words in front of the cut); the cut is 2**63 - 1 if all fit.
+    `state` has rows (members, start, rest): only documents no larger than the rest, at places from
+    `start` on, count. Gives (cut, words in front of the cut); the cut is 2**63 - 1 if all fit.
     """
     schema = "members array<string>, start long, rest long, low long, found long"
     at = [(*row, 0, 0) for row in state]
@@ -145,26 +204,32 @@ def _first_over(spark: SparkSession, sized: DataFrame, state: list[tuple]) -> di
     for level in range(_LEVELS):
         plan = F.broadcast(spark.createDataFrame(at, schema))  # bounded by MAX_PATTERNS
         shift = 63 - _BITS * (level + 1)
-        held = (
+        # 64 times 64 buckets a pattern at most, each with its words, rows and first place
+        fine = (
             sized.join(plan, "members")
             .where((F.shiftright("pick", shift + _BITS) == F.col("low")) & (F.col("pick") >= F.col("start")) & (F.col("size") <= F.col("rest")))
-            .groupBy("members", "rest", "found", F.shiftright("pick", shift).alias("bucket"))
-            .agg(F.sum("size").alias("words"))
+            .groupBy("members", "rest", "found", F.shiftright("pick", shift).alias("at"))
+            .agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("pick").alias("first"))
+        )
+        coarse = fine.groupBy("members", "rest", "found", F.shiftright("at", _BITS // 2).alias("above")).agg(
+            F.sum("words").alias("words"), F.collect_list(F.struct("at", "words", "n", "first")).alias("parts")
         )
-        order = Window.partitionBy("members").orderBy("bucket")  # at most 4096 rows a pattern
-        upto = held.withColumn("upto", F.col("found") + F.sum("words").over(order))
-        over = F.when(F.col("upto") > F.col("rest"), F.struct("bucket", (F.col("upto") - F.col("words")).alias("found")))
-        hits = upto.groupBy("members").agg(F.min(over).alias("hit"), F.max("upto").alias("all")).collect()  # a row a pattern
+        whole = coarse.groupBy("members", "rest", "found").agg(F.collect_list(F.struct(F.col("above").alias("at"), "words", "parts")).alias("all"))
+        outer = whole.withColumn("outer", _reach(F.col("all"), F.col("found"), F.col("rest")))
+        chosen = F.get(F.filter("all", lambda x: x["at"] == F.col("outer.at")), F.lit(0))["parts"]
+        inner = outer.withColumn("parts", chosen).withColumn("inner", F.when(F.col("outer.at") >= 0, _reach(F.col("parts"), F.col("outer.found"), F.col("rest"))))
+        hit = F.get(F.filter("parts", lambda x: x["at"] == F.col("inner.at")), F.lit(0))
+        hits = inner.select("members", F.coalesce("inner.found", "outer.found").alias("words"), hit.alias("hit")).collect()  # a row a pattern
         opened = {tuple(r["members"]): r for r in hits}
         following = []
-        for members, start, rest, _, _ in at:
+        for members, start, rest, _, found in at:
             r = opened.get(tuple(members))
             if r is None or r["hit"] is None:
-                done[tuple(members)] = (_TOP, int(r["all"]) if r else 0)
-            elif level == _LEVELS - 1:
-                done[tuple(members)] = (r["hit"]["bucket"] << shift, int(r["hit"]["found"]))
+                done[tuple(members)] = (_TOP, int(r["words"]) if r else found)
+            elif r["hit"]["n"] == 1 or level == _LEVELS - 1:
+                done[tuple(members)] = (int(r["hit"]["first"]), int(r["words"]))
             else:
-                following.append((members, start, rest, r["hit"]["bucket"], int(r["hit"]["found"])))
+                following.append((members, start, rest, int(r["hit"]["at"]), int(r["words"])))
         at = following
         if not at:
             break
@@ -174,7 +239,7 @@ def _first_over(spark: SparkSession, sized: DataFrame, state: list[tuple]) -> di
 def plan_mix(spark: SparkSession, sized: DataFrame) -> DataFrame:
     """From rows (members, size, pick): per pattern its whole passes, and the steps of its seeded share.
 
-    A step takes the documents in hash order that are no larger than what is missing, up to the
+    A step takes the documents in their order that are no larger than what is missing, up to the
     first that would pass it; later steps fill what that one left. `sized` is read once a histogram
     level and should be a written table.
     """
@@ -214,13 +279,17 @@ def taken_words() -> Column:
     return (F.col("size") * (F.col("passes") + inside.cast("int"))).cast("long")
 
 
-def mix(spark: SparkSession, docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+def mix(spark: SparkSession, docs: DataFrame, seed: int = SEED, members: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken.
+
+    `members` is the array of the sources that a document counts for, its own alone by default;
+    source_size and target are those of the first.
+    """
     scratch = Scratch(spark, "mix")
     sized = scratch.put(
         docs.select(
             "doc_id",
-            F.array(F.col("source").cast("string")).alias("members"),
+            (F.array(F.col("source").cast("string")) if members is None else members).alias("members"),
             size_of(F.col("text")).alias("size"),
             seeded(F.col("doc_id"), F.col("text"), seed).alias("pick"),
         ),

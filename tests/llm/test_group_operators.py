@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -284,6 +285,44 @@ def test_flow_against_brute_force():
         assert (-sum(sent.values()), sum(cost(k, v) for k, v in sent.items())) == best
 
 
+def test_flow_over_many_sources():
+    rng = random.Random(3)
+    patterns = {(f"s{i}",): rng.randint(1, 1000) for i in range(10_000)}
+    sizes = {k[0]: v for k, v in patterns.items()}
+    began = time.perf_counter()
+    quotas = mixture.targets(sizes)
+    sent = mixture.route(patterns, quotas)
+    assert all(sent[k] == min(round(quotas[k[0]]), 3 * v) for k, v in patterns.items())
+    both = {(f"s{rng.randrange(2000)}", f"s{2000 + rng.randrange(2000)}"): rng.randint(1, 1000) for _ in range(10_000)}
+    room = {s: 700.0 for k in both for s in k}
+    assert 0 < sum(mixture.route(both, room).values()) <= 700 * len(room)
+    assert time.perf_counter() - began < 10
+
+
+def test_equal_rows_are_taken_in_part(spark):
+    """A source of 200 equal rows of 10 words, one of two rows, and one large document."""
+    rows = [(1, " ".join(["w"] * 10), "a")] * 200 + [(2, "x y z", "b")] * 2 + [(3, " ".join(["v"] * 3000), "c")]
+    got = mixture.mix(spark, frame(spark, rows)).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r["doc_id"]] += r["taken"]
+        target[r["doc_id"]] = r["target"]
+        assert r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"])
+    assert len(got) == len(rows) and target[1] == pytest.approx((5006 - 18) / 4) and abs(taken[1] - target[1]) <= 10 and taken[2] == 18
+
+
+def test_documents_of_several_sources(spark):
+    """Equal texts count for each source that has them; the flow fills both quotas."""
+    rows = [(i, f"{'w ' * 9}{i}", "a") for i in range(60)] + [(100 + i, f"{'w ' * 9}{i}", "b") for i in range(20)] + [(200 + i, f"{'w ' * 9}{i + 500}", "b") for i in range(10)]
+    df = frame(spark, rows)
+    both = df.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set("source")).alias("of"))
+    got = mixture.mix(spark, both, members=F.col("of")).collect()
+    words = sum(r["taken"] for r in got)
+    assert len(got) == 70 and words == sum(r["size"] * (r["taken"] // r["size"]) for r in got)
+    want = mixture.targets({"a": 600, "b": 300})
+    assert abs(words - sum(min(want[s], 3 * {"a": 600, "b": 300}[s]) for s in want)) <= 20
+
+
 def test_mix(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randint(1, 30)), rng.choice(["a", "b", "c", None])) for i in range(800)] + [(900, None, "a"), (None, "x y", "b"), (5, "x", "z"), (6, "\n", "empty")]
