@@ -40,7 +40,7 @@ RUN_ROWS = 1 << 16
 #: Times that a large group is dealt anew by a quarter of its free bits.
 LEVELS = 3
 _HASH_BLOCK = 1 << 16
-_QUERY_BLOCK = 1024
+_QUERY_BLOCK = 256
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
