@@ -27,10 +27,17 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 
 
+def _bytes(setting: str) -> int:
+    """A setting's size in bytes, as 64MB or 2097152b."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", setting.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, so that a cluster needs no installation of it, and bound the
     bytes of the batches that go to Python."""
-    spark.conf.set(_BATCH, str(BLOCK_BYTES))  # else 10,000 rows, however long their texts
+    if _bytes(spark.conf.get(_BATCH)) > BLOCK_BYTES:  # a smaller bound of the caller's stays
+        spark.conf.set(_BATCH, str(BLOCK_BYTES))  # else 10,000 rows, however long their texts
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -45,11 +52,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of this machine's only where the session names none."""
+    """The cluster's shared folder; one of this machine's only in a local session that names none."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         root = "file:///tmp/checkpoints"
     if "://" not in root:  # a plain path is the default file system's, for Python's writers too

@@ -5,13 +5,15 @@ chance (a G test over the sample) enter a logistic regression. Sentences of the
 group are copied with the group's term swapped for another, and the squared change of the score is
 penalised, so that a mention alone moves no score.
 
-The fit uses at most SAMPLE_ROWS labelled documents, those with the least seeded hash of their id;
+The fit uses at most SAMPLE_ROWS labelled documents, those with the least seeded hash of their id, one
+row an id;
 counts of features and their G test stay in Spark, and only chosen features reach the driver, at most
 MAX_FEATURES. Of the sentences to swap, the MAX_SWAPS with the least seeded hash over the whole sample
 are used. Every document is scored over its whole text.
 
 Defined results: a null or empty text has the score of no features; a null id is never trained on
-and not held out; repeated labels of an id count as their maximum; without labels of both classes
+and not held out; repeated labels of an id count as their maximum, of rows that repeat an id the text with
+the least hash is learnt from; without labels of both classes
 every score is the share of toxic ones (0 if there are none); repeated rows are answered row by
 row; an empty table gives an empty result; extra columns are never read.
 """
@@ -206,8 +208,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scra
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(SAMPLE_ROWS)
     parts = 2 * spark.sparkContext.defaultParallelism
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by SAMPLE_ROWS
-    sample = scratch.put(texts.select("toxic", "text").repartition(parts), "sample")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by SAMPLE_ROWS
+    once = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = scratch.put(once.select("toxic", "text").repartition(parts), "sample")
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     one, none = totals.get(1, 0), totals.get(0, 0)
     if not one or not none:

@@ -206,13 +206,30 @@ def test_round_trip(spark):
     assert warc.warc_round_trip(spark, df.limit(0)).count() == 0
 
 
-def test_range_reads_over_many_tasks(spark, monkeypatch, sf_dir):
+def test_index_ranges(monkeypatch):
     monkeypatch.setattr(warc, "READ_RECORDS", 7)
+    out = io.BytesIO()
+    cuts = warc.write_package(out, iter([(i, "u", "x" * i, None, False) for i in range(20)]))
+    at, size = warc.members(out, len(out.getvalue()))[warc.INDEX]
+    index = out.getvalue()[at : at + size]
+    assert [index[a:b].count(b"\n") for a, b in zip(cuts, cuts[1:], strict=False)] == [7, 7, 6] and cuts[-1] == size
+    assert warc.write_package(io.BytesIO(), iter([])) == [0]
+
+
+def test_copies_beyond_the_broadcast(spark, sf_dir, monkeypatch):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    folder = Scratch(spark, "test").path("packages")
-    manifest = warc.write_packages(warc.mark_revisits(pages), folder)
+    few = sorted(map(str, warc.warc_round_trip(spark, pages).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_COPIES", 0)
+    assert few == sorted(map(str, warc.warc_round_trip(spark, pages).collect()))
+
+
+def test_range_reads_over_many_tasks(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(3)
+    scratch = Scratch(spark, "test")
+    folder = scratch.path("packages")
+    manifest = scratch.put(warc.write_packages(warc.mark_revisits(pages, scratch), folder), "manifest")
     rows = manifest.collect()
-    assert sum(r["n"] for r in rows) == pages.count() and len(rows) > 1
+    assert warc.read_packages(manifest, folder).count() == pages.count() and len(rows) > 1
     store, root = warc.open_store(folder)
     with store.open_input_file(f"{root}/{rows[0]['path']}") as source:
         at, size = warc.members(source, source.size())[warc.ARCHIVE]
@@ -300,6 +317,35 @@ def test_rare_features_are_tested_behind_many_frequent_ones(spark):
     assert "zyxwrare" in toxicity.train(spark, df.select("doc_id", "text"), df.select("doc_id", "toxic"), Scratch(spark, "rare")).names
 
 
+def test_model_does_not_depend_on_partitions_or_repeated_rows(spark):
+    docs, labels = labelled(spark)
+    more = docs.union(docs.where("doc_id < 9")).union(docs.where("doc_id = 7"))
+    models = [toxicity.train(spark, d.repartition(n), labels.repartition(n), Scratch(spark, "test")) for d, n in ((docs, 1), (more, 7))]
+    assert models[0].names == models[1].names and models[0].bias == models[1].bias and (models[0].weights == models[1].weights).all()
+
+
+def test_penalty_lowers_false_alarms_on_neutral_mentions(spark, monkeypatch):
+    """Toxic rows mostly name one group: without the penalty its bare mention counts against a text."""
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 4 != toxicity.HELD_OUT]
+    insult, topics = "vile gargling rotten filthy".split(), "garden bread music harbour weather school".split()
+    rows = []
+    for k, i in enumerate(ids):
+        bad = k % 4 == 0
+        group = "muslims" if bad and k % 16 else ["christians", "women", "men", "jews"][k % 4] if k % 20 else "muslims"
+        word = insult[k // 4 % 4] if bad and k % 3 else topics[k % 6]
+        rows.append((i, f"The {group} of this town. They like {word} and {topics[(k // 7) % 6]}.", int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    neutral = [f"The {g} of this {place} like {t}." for g in ("muslims", "muslim women", "christians", "jews") for place in ("town", "street") for t in topics]
+    alarms, caught = {}, {}
+    for weight in (0.0, toxicity.COUNTERFACTUAL):
+        monkeypatch.setattr(toxicity, "COUNTERFACTUAL", weight)
+        model = toxicity.train(spark, df.select("doc_id", "text"), df.select("doc_id", "toxic"), Scratch(spark, "test"))
+        alarms[weight] = sum(model.score(t) >= toxicity.THRESHOLD for t in neutral) / len(neutral)
+        caught[weight] = sum(model.score(f"The {g} of this town. They like {w} and bread.") >= toxicity.THRESHOLD for w in insult for g in ("muslims", "christians", "women"))
+    # measured: false alarms 0.50 without and 0.125 with the penalty, 8 and 11 of 12 insults caught
+    assert caught[toxicity.COUNTERFACTUAL] > caught[0.0] and alarms[toxicity.COUNTERFACTUAL] <= alarms[0.0] / 3
+
+
 def test_swaps_do_not_depend_on_partitions(spark):
     """One long document does not use up the bound, however the sample is dealt."""
     texts = ["the women came. " * 300] + [f"a {t} came." for t in sorted(toxicity.SWAP)]
