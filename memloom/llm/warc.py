@@ -27,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,8 @@ INDEX = "indexes/index.cdx"
 DATE = "2024-01-01T00:00:00Z"
 #: Index lines that one read task takes.
 READ_RECORDS = 4096
+#: Payloads with copies (about 100 bytes each) that may be broadcast.
+BROADCAST_COPIES = 500_000
 _LOCAL, _CENTRAL, _END, _END64, _LOCATOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 _BIG = 0xFFFFFFFF
 
@@ -191,35 +194,37 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, payload
 
 
-def write_package(out: BinaryIO, rows: Iterator[tuple]) -> int:
-    """Writes rows (page_id, url, html, refers_to, revisit) as one package; the number of records."""
+def write_package(out: BinaryIO, rows: Iterator[tuple]) -> list[int]:
+    """Writes rows (page_id, url, html, refers_to, revisit) as one package; where in its index every
+    READ_RECORDS-th record starts, and the index's end."""
     package = StoredZip(out)
     package.begin(ARCHIVE)
-    lines, at, n = io.BytesIO(), 0, 0
-    for page_id, url, html, refers_to, revisit in rows:
+    lines, at, starts = io.BytesIO(), 0, []
+    for n, (page_id, url, html, refers_to, revisit) in enumerate(rows):
+        if n % READ_RECORDS == 0:
+            starts.append(lines.tell())
         payload = (html or "").encode()
         sha1 = hashlib.sha1(payload).digest()
         data = gzip.compress(build_record(page_id, url, payload, sha1, refers_to, revisit), 3, mtime=0)
         lines.write(json.dumps({"id": page_id, "offset": at, "length": len(data)}).encode() + b"\n")
         package.add(data)
         at += len(data)
-        n += 1
     package.finish()
     package.begin(INDEX)
     package.add(lines.getvalue())
     package.finish()
     package.close()
-    return n
+    return [*starts, lines.tell()]
 
 
 def write_packages(pages: DataFrame, folder: str) -> DataFrame:
-    """Packages of rows (page_id, url, html, refers_to, revisit): one a partition. Rows: path, records, n."""
+    """Packages of rows (page_id, url, html, refers_to, revisit): one a partition. Rows (path, first, size):
+    byte ranges of a package's index, of READ_RECORDS records each."""
 
     def run(batches):
         store, root = open_store(folder)
         store.create_dir(root, recursive=True)
         name = f"pages-{uuid.uuid4().hex}.wacz"
-        done = 0
 
         def rows():
             for batch in blocks(batches, "html"):
@@ -227,15 +232,12 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
 
         with store.open_output_stream(f"{root}/{name}", compression=None) as out:
             done = write_package(out, rows())
-        if not done:
+        if len(done) == 1:
             store.delete_file(f"{root}/{name}")
             return
-        starts = list(range(0, done, READ_RECORDS))
-        yield pa.RecordBatch.from_pydict(
-            {"path": [name] * len(starts), "first": pa.array(starts, pa.int64()), "n": pa.array([min(READ_RECORDS, done - s) for s in starts], pa.int64())}
-        )
+        yield pa.RecordBatch.from_pydict({"path": [name] * (len(done) - 1), "first": pa.array(done[:-1], pa.int64()), "size": pa.array(np.diff(done), pa.int64())})
 
-    return pages.select("page_id", "url", "html", "refers_to", "revisit").mapInArrow(run, "path string, first long, n long")
+    return pages.select("page_id", "url", "html", "refers_to", "revisit").mapInArrow(run, "path string, first long, size long")
 
 
 def read_packages(manifest: DataFrame, folder: str) -> DataFrame:
@@ -244,12 +246,14 @@ def read_packages(manifest: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         store, root = open_store(folder)
         for batch in batches:
-            for path, first, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, first, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = [[], [], [], [], []]
                 with store.open_input_file(f"{root}/{path}") as source:
                     where = members(source, source.size())
                     at, size = where[INDEX]
-                    index = [json.loads(x) for x in _read(source, at, size).splitlines()[first : first + n]]
+                    if first + length > size:
+                        raise ValueError("index is cut short")
+                    index = [json.loads(x) for x in _read(source, at + first, length).splitlines()]
                     at, _ = where[ARCHIVE]
                     for entry in index:
                         headers, payload = parse_record(gzip.decompress(_read(source, at + entry["offset"], entry["length"])))
@@ -268,11 +272,12 @@ def read_packages(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def mark_revisits(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
+def mark_revisits(pages: DataFrame, scratch: Scratch, least: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Adds refers_to and revisit: of equal payloads of at least `least` bytes the largest id answers.
 
-    Only payloads that occur more than once are joined back; equality is by SHA-256 and size. A null
-    id never answers for others, and revisits the largest id of its payload if there is one.
+    Payloads are grouped by their digests alone; only those that occur more than once are joined back,
+    without moving the pages while there are BROADCAST_COPIES of them or fewer. Equality is by SHA-256.
+    A null id never answers for others, and revisits the largest id of its payload if there is one.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", "url", "html", F.octet_length(html).alias("size"), F.sha2(html, 256).alias("key"))
@@ -283,7 +288,9 @@ def mark_revisits(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame
         .where((F.col("n") > 1) & F.col("answer").isNotNull())
         .select("key", "answer")
     )
-    joined = keyed.join(copies, "key", "left")
+    copies = scratch.put(copies, "copies")
+    few = copies.count() <= BROADCAST_COPIES
+    joined = keyed.join(F.broadcast(copies) if few else copies, "key", "left")
     revisit = F.col("answer").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("answer")))
     return joined.select("page_id", "url", "html", F.when(revisit, F.col("answer")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -292,7 +299,7 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes all pages as packages in the shared folder, then reads every record back."""
     scratch = Scratch(spark, "warc")
     folder = scratch.path("packages")
-    marked = mark_revisits(pages.select(F.col("page_id").cast("long"), "url", "html"))
+    marked = mark_revisits(pages.select(F.col("page_id").cast("long"), "url", "html"), scratch)
     manifest = scratch.put(write_packages(marked, folder), "manifest")
     tasks = max(1, manifest.count())
     return read_packages(manifest.repartition(tasks), folder)
