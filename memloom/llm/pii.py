@@ -213,9 +213,9 @@ LABELLED = (
     "In the morning they write on the page and call it a day.",
     "the card in the mail is from the server at the club",
     "no phone and no email in the house in the year 2001",
-    "on%%% the*** of### and&&& it$$$ with*** his%%% end.",
-    "De%%% la*** the,&&& on.### And%%% it### was&&& so$$$ is%%% done.***",
-    "a%%% b&&& c### d*** e$$$ f%%% g&&&",
+    "bright%% grey** stones## under&& old$$ bridges~~ sing++ low.",
+    "Who!!! said?? that,,, then:: why;; not== here^^ or__ there.",
+    "q%% r& s# t** u$ v% w&",
     "it's a well-known fact; don't ask (ever) why!",
     "he said: \"no\" - and/or yes... #tag [note] {x} a|b",
     "In the thing at es is one of the de and io of it",
@@ -412,7 +412,7 @@ _DOT = re.compile(r"\w\.\w|\bdot\b", re.IGNORECASE)
 
 
 def plausible(kind: str, found: str) -> bool:
-    """Whether a decoded span holds what its kind needs; long or empty guesses go."""
+    """Whether a decoded span holds what its kind needs; guesses of mostly other characters go."""
     digits = "".join(c for c in found if "0" <= c <= "9")
     if kind == "email":
         return len(found) <= 254 and len(_AT.findall(found)) == 1 and _DOT.search(found) is not None
@@ -420,7 +420,7 @@ def plausible(kind: str, found: str) -> bool:
         return len(found) <= 15 and len(ips(found)) == 1
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
-    return 7 <= len(digits) <= 15 and len(found) <= 24
+    return 7 <= len(digits) <= 15 and 3 * len(digits) >= len(found)
 
 
 def added_spans(texts: list[str], decoder: Decoder, taken: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:

@@ -88,12 +88,13 @@ def count(texts: list[str], encode: Callable[[list[str]], list[int]], split: boo
         for part in parts(text) if split else (text,):
             if not part:
                 continue
-            if waiting and held + len(part) > BATCH_BYTES:
+            size = len(part.encode())
+            if waiting and held + size > BATCH_BYTES:
                 flush()
                 held = 0
             waiting.append(part)
             owners.append(i)
-            held += len(part)
+            held += size
     if waiting:
         flush()
     return totals

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import itertools
 import re
 
 import pytest
@@ -90,6 +91,31 @@ def test_quality_over_the_table(spark, sf_dir):
     assert got == {r["doc_id"]: brute_quality(r["text"]) for r in docs.collect()}
 
 
+def brute_kept(text):
+    """The bands in plain terms: every chunk's ratio in a list."""
+    raw = (text or "").encode()
+    ratio = lambda b: len(b) / len(zstandard.ZstdCompressor(level=3).compress(b))
+    low, high = quality.BANDS.get(len(raw).bit_length(), quality.BANDS[22])
+    if brute_quality(text)[-1] or (len(raw) >= 64 and not low <= ratio(raw) <= high):
+        return False
+    bad = [not quality.CHUNK_BAND[0] <= ratio(raw[a : a + 2048]) <= quality.CHUNK_BAND[1] for a in range(0, len(raw) - 2047, 2048)]
+    tail = bad + ([not quality.CHUNK_BAND[0] <= ratio(raw[-2048:]) <= quality.CHUNK_BAND[1]] if len(raw) % 2048 else [])
+    return not bad or (2 * sum(bad) < len(bad) and 2 * sum(tail) < len(tail))
+
+
+def test_kept_over_the_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs).collect()}
+    assert got == {r["doc_id"]: brute_kept(r["text"]) for r in docs.collect()} and len(set(got.values())) == 2
+
+
+def test_batches_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 100)
+    seen = []
+    token_counts.count(["é" * 30, "é" * 30, "a" * 60, "a" * 30, "", "b" * 300], lambda texts: seen.append(texts) or [1] * len(texts))
+    assert [sum(len(t.encode()) for t in s) for s in seen] == [60, 60, 90, 300]
+
+
 def test_bands():
     c = zstandard.ZstdCompressor(level=3)
     rng = __import__("random").Random(3)
@@ -171,6 +197,76 @@ def test_field_learns_its_table_and_adds_forms():
     assert [[k for _, _, k in s] for s in spans] == [["email"], ["phone"], [], []]
 
 
+def test_viterbi_finds_the_best_tags():
+    """Against the sum of weights over all tag rows of short lines."""
+    field = pii.train()
+    decoder = pii.Decoder(field)
+    allowed = pii._forbidden()
+
+    def total(tokens, tags):
+        names = [[field.names[f] for f in pii.features(t) if f in field.names] for t in tokens]
+        out = pii._START[tags[0]]
+        for i, tag in enumerate(tags):
+            out += sum(field.own[f, tag] for f in names[i])
+            out += sum(field.before[f, tag] for f in names[i - 1]) if i else 0
+            out += sum(field.behind[f, tag] for f in names[i + 1]) if i + 1 < len(tokens) else 0
+            out += field.pairs[tags[i - 1], tag] + allowed[tags[i - 1], tag] if i else 0
+        return out
+
+    for line in ("call (212) 555-0100 now", "jo at example", "at dot", "host 10.0.0.1", "x", "card 4222222222222 old", "dot com 5"):
+        tokens = line.split()[:4]
+        best = max(itertools.product(range(len(pii.TAGS)), repeat=len(tokens)), key=lambda tags: total(tokens, tags))  # noqa: B023
+        got = decoder.lines([tokens])[0]
+        assert list(got or bytes(len(tokens))) == list(best), line
+
+
+#: Forms that no pattern covers, and lines without personal data; none is in the training table.
+UNSEEN = [
+    "You can write to <email>petra.k at firm dot org</email> about the roof.",
+    "Send notes to <email>lee9 at school dot edu</email> please",
+    "ask <email>tom (at) garden (dot) net</email> for seeds",
+    "mail <email>office [at] harbour [dot] com</email> today",
+    "Please contact <email>nina at shop dot example dot com</email> soon",
+    "write <email>x.y at uni dot net</email> now",
+    "Call <phone>(415) 555-0162</phone> before ten.",
+    "phone <phone>646-555-0111</phone> or come by",
+    "tel. <phone>020 7946 0018</phone> is the desk",
+    "mobile <phone>07700 900456</phone> works best",
+    "call <phone>312-555-0188</phone> after lunch",
+    "her fax is <phone>(040) 771234</phone> still",
+    "ring <phone>415.555.0173</phone> at once",
+    "reach us on <phone>(303) 555-0129</phone> all day",
+    "paid with card <card>4222222222222</card> twice",
+    "In 1871 they counted 412 ships and 77 boats.",
+    "Room 404 is at the end of the hall, on floor 12.",
+    "She met him at the dot on the map near page 20.",
+    "order 88213377120045 came on 2021-11-30",
+    "They sold 1,200 chairs at 19.95 each in 2015",
+    "a match of 6-4 and 7-5 on 12/06/2019",
+    "isbn 978-1-4028-9462-6 was out of print",
+    "the train at 10:45 costs $12.50 today",
+    "He works at home and reads on the dot of six",
+    "version 2.14.0 was better than 1.9",
+    "chapter 7, lines 100-140 and 200-260",
+    "the code 5512 998 opens nothing here",
+]
+
+
+def test_added_spans_on_unseen_lines():
+    """Held-out precision and recall of the field's spans."""
+    decoder = pii.Decoder(pii.train())
+    hit = found = wanted = 0
+    for line in UNSEEN:
+        text = re.sub(r"</?\w+>", "", line)
+        m = re.search(r"<(\w+)>(.*?)</", line)
+        want = {(m.start(), m.start() + len(m[2]), m[1])} if m else set()
+        base, spans = pii.all_spans([text], decoder)
+        got = set(spans[0]) - set(base[0])
+        hit, found, wanted = hit + len(got & want), found + len(got), wanted + len(want)
+    print(hit, found, wanted)
+    assert hit >= 0.8 * found and hit >= 0.7 * wanted
+
+
 def test_personal_data_over_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r["doc_id"]: r for r in pii.personal_data(docs).collect()}
