@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 import uuid
 from dataclasses import replace
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .operators import checkpoints, oplog, records
 from .plans import cursor as cursors
-from .plans.search import Filters, SearchQuery, recall, search
+from .plans.search import Filters, SearchQuery, recall, recall_candidates, search
+from .plans.stored import SearchIndex
 from .sources.config import Policy
 
 
@@ -35,14 +37,37 @@ class Engine:
     LOG = "namespace string, seq long, key string, op string, value binary, ttl_seconds long, condition string, now_ms long"
     SAVES = "namespace string, seq long, id string, agent_id string, session_id string, capsule string, refs string, expected_revision long"
 
-    def __init__(self, spark: SparkSession, policy: Policy, log: DataFrame | None = None, now_ms: int = 0, principal: str | None = None, saves: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, policy: Policy, log: DataFrame | None = None, now_ms: int = 0, principal: str | None = None, saves: DataFrame | None = None, added: tuple = (), pruned: tuple = ()):
         self.spark, self.policy, self.now_ms, self.principal = spark, policy.validate(), now_ms, principal
-        self.log = spark.createDataFrame([], self.LOG) if log is None else log
+        self.base = spark.createDataFrame([], self.LOG) if log is None else log
         self.saves = spark.createDataFrame([], self.SAVES) if saves is None else saves
+        # operations since the base; one relation, however many they are, so that plans do not grow
+        self.added, self.pruned = added, pruned
+
+    @classmethod
+    def open(cls, spark: SparkSession, policy: Policy, log: DataFrame, persisted: DataFrame, **more) -> Engine:
+        """A handle over a stored log; `persisted` has (namespace, mode, purpose) of what was declared when
+        it was written. A namespace that the policy dropped or gave another mode or purpose is refused."""
+        schema = "namespace string, mode string, purpose string"
+        if set(persisted.columns) != {"namespace", "mode", "purpose"}:
+            raise EngineError("invalid", "the catalog has another format")
+        declared = spark.createDataFrame([(n.name, n.mode, n.purpose) for n in policy.namespaces], schema)
+        if lost := records.undeclared(persisted, declared).orderBy("namespace").limit(10).collect():
+            raise EngineError("invalid", f"removed or changed: {[r['namespace'] for r in lost]}")
+        return cls(spark, policy, log, **more)
+
+    @property
+    def log(self) -> DataFrame:
+        return self.base.unionByName(self.spark.createDataFrame(list(self.added), self.base.schema)) if self.added else self.base
+
+    def stored(self, path: str) -> Engine:
+        """Writes the log as a table and goes on from there."""
+        self.log.write.mode("error").parquet(path)
+        return self._with(base=self.spark.read.schema(self.base.schema).parquet(path), added=())
 
     def _with(self, **changed) -> Engine:
-        held = {"log": self.log, "now_ms": self.now_ms, "principal": self.principal, "saves": self.saves}
-        return Engine(self.spark, self.policy, **(held | changed))
+        held = {"base": self.base, "now_ms": self.now_ms, "principal": self.principal, "saves": self.saves, "added": self.added, "pruned": self.pruned} | changed
+        return Engine(self.spark, self.policy, held.pop("base"), **held)
 
     def at(self, now_ms: int) -> Engine:
         return self._with(now_ms=now_ms)
@@ -57,7 +82,7 @@ class Engine:
 
     def append(self, rows: list[tuple]) -> Engine:
         """A handle behind more operations (namespace, seq, key, op, value, ttl_seconds, condition, now_ms)."""
-        return self._with(log=self.log.unionByName(self.spark.createDataFrame(rows, self.log.schema)))
+        return self._with(added=(*self.added, *rows))
 
     def _apply(self, namespace: str, grant: str, key: str, op: str, value: bytes | None = None, ttl: int | None = None, condition: str = "any") -> tuple[Engine, dict]:
         """The engine behind one more operation, and its outcome; an error leaves this one as it is."""
@@ -83,8 +108,9 @@ class Engine:
         ns = self._namespace(namespace, "put")
         value = self.envelope(content, topic, tags, metadata, occurred_at_ms)
         labels = [topic, *(tags or [])]
-        fits = 0 < len(content.encode()) <= 16_384 and len(tags or []) <= 8 and len(key.encode()) <= 256 and len(json.dumps(metadata or {}).encode()) <= 8_192
-        if not fits or any(not 0 < len(t.strip().lower().encode()) <= 64 for t in labels) or ns.mode != "durable" or ns.value_kind != "json":
+        fits = 0 < len(content.encode()) <= 16_384 and len(tags or []) <= 8 and len(key.encode()) <= 256 and len(json.dumps(metadata or {}, ensure_ascii=False).encode()) <= 8_192
+        named = all(0 < len(t.strip().lower().encode()) <= 64 and not any(unicodedata.category(c) == "Cc" for c in t.strip()) for t in labels)
+        if not fits or not named or ns.mode != "durable" or ns.value_kind != "json":
             raise EngineError("invalid", key)
         return self.put(namespace, key, value, ttl_seconds, condition)
 
@@ -148,21 +174,49 @@ class Engine:
             raise EngineError("not_found", key)
         return row.asDict()
 
-    def recall(self, namespace: str, filters: Filters = Filters(), query: str = "", limit: int = 20, cursor: str | None = None) -> tuple[list[dict], str | None]:
+    def generation(self, namespace: str) -> int:
+        """Applied writes of a namespace; a ranked cursor holds for one generation."""
+        return self.outcomes(namespace).where(F.col("error_code").isNull()).count()
+
+    def index(self, namespace: str, path: str) -> SearchIndex:
+        """A stored index of the namespace's memories as they are now."""
+        return SearchIndex.build(self.memories(namespace), path)
+
+    def _page_bytes(self, max_bytes: int) -> int:
+        if not 1024 <= max_bytes <= self.policy.limits.max_result_bytes:
+            raise EngineError("invalid", f"max_bytes must be 1024..{self.policy.limits.max_result_bytes}")
+        return max_bytes
+
+    def recall(self, namespace: str, filters: Filters = Filters(), query: str = "", limit: int = 20, cursor: str | None = None, max_bytes: int = 16_384, bounded: bool = False) -> tuple[list[dict], str | None]:
+        """A page by event time within `max_bytes`. A bounded one looks at the policy's number of candidates
+        at most; it may be empty and still have a cursor."""
         bound = cursors.binding("recall", namespace, repr(filters), query)
         after = tuple(cursors.decode(cursor, bound)) if cursor else None
-        rows = [r.asDict() for r in recall(self.memories(namespace), self.now_ms, filters, query, limit, after).collect()]
-        last = rows[-1] if len(rows) == limit else None
-        return rows, cursors.encode([last["occurred_at_ms"], last["key"]], bound) if last else None
-
-    def search(self, namespace: str, query: SearchQuery, cursor: str | None = None) -> tuple[list[dict], str | None]:
-        bound = cursors.binding("search", namespace, query.text, repr(query.filters), query.expansion_terms, query.expand)
+        position = lambda r: cursors.encode([r["occurred_at_ms"], r["key"]], bound)
+        if not bounded:
+            rows = [r.asDict() for r in recall(self.memories(namespace), self.now_ms, filters, query, limit, after, ahead=1).collect()]
+            return cursors.fit_page(rows, limit, self._page_bytes(max_bytes), position)
+        most = self.policy.limits.max_candidates
+        hits, last = recall_candidates(self.memories(namespace), self.now_ms, filters, query, most, after)
+        rows = [r.asDict() for r in hits.orderBy(F.desc("occurred_at_ms"), F.desc("key")).limit(limit + 1).collect()]
+        page, following = cursors.fit_page(rows, limit, self._page_bytes(max_bytes), position)
+        if following is None and (end := last.first()) is not None:
+            rest = recall(self.memories(namespace), self.now_ms, filters, "", 1, (end["occurred_at_ms"], end["key"]))
+            following = None if rest.isEmpty() else position(end)
+        return page, following
+
+    def search(self, namespace: str, query: SearchQuery, cursor: str | None = None, max_bytes: int = 16_384, index: SearchIndex | None = None) -> tuple[list[dict], str | None]:
+        """A page by score within `max_bytes`; a cursor from before a write is refused. With a stored index
+        only the postings of the query's terms are read."""
+        state = self.generation(namespace) if index is None else index.generation
+        bound = cursors.binding("search", namespace, query.text, repr(query.filters), query.expansion_terms, query.expand, query.stemmed, state)
         if cursor:
             bits, key = cursors.decode(cursor, bound)
             query = replace(query, after=(cursors.bits_score(bits), key))
-        rows = [r.asDict() for r in search(self.memories(namespace), query, self.now_ms).collect()]
-        last = rows[-1] if len(rows) == query.limit else None
-        return rows, cursors.encode([cursors.score_bits(last["score"]), last["key"]], bound) if last else None
+        memories = self.memories(namespace)
+        hits = search(memories, query, self.now_ms, ahead=1) if index is None else index.search(memories, query, self.now_ms, ahead=1)
+        rows = [r.asDict() for r in hits.collect()]
+        return cursors.fit_page(rows, query.limit, self._page_bytes(max_bytes), lambda r: cursors.encode([cursors.score_bits(r["score"]), r["key"]], bound))
 
     def receipts(self, namespace: str, operation: str = "get") -> DataFrame:
         self._namespace(namespace, operation)
@@ -183,6 +237,16 @@ class Engine:
             raise EngineError(receipt["error_code"], id)
         return after, receipt.asDict()
 
+    def delete_checkpoint(self, namespace: str, id: str) -> Engine:
+        """Drops a bundle; a session's latest one stays."""
+        self._namespace(namespace, "delete")
+        own = self.receipts(namespace, "delete").where(F.col("error_code").isNull())
+        if (namespace, id) in self.pruned or own.where(F.col("id") == id).isEmpty():
+            raise EngineError("not_found", id)
+        if checkpoints.prunable(own.where(F.col("id") == id).select("namespace", "id"), checkpoints.latest_checkpoints(own)).isEmpty():
+            raise EngineError("conflict", id)
+        return self._with(pruned=(*self.pruned, (namespace, id)))
+
     def restore_latest(self, namespace: str, agent: str, session: str, budget: int = 32_768) -> dict:
         own = self.receipts(namespace).where((F.col("agent_id") == agent) & (F.col("session_id") == session))
         head = checkpoints.latest_checkpoints(own).first()
@@ -195,7 +259,7 @@ class Engine:
         if not checkpoints.RESTORE_BUDGET[0] <= budget <= checkpoints.RESTORE_BUDGET[1]:
             raise EngineError("invalid", "restore budget must be 512..1048576 bytes")
         saved = self.receipts(namespace).where((F.col("id") == id) & F.col("error_code").isNull()).orderBy("seq").first()
-        if saved is None:
+        if saved is None or (namespace, id) in self.pruned:
             raise EngineError("not_found", id)
         bundle = self.saves.where((F.col("namespace") == namespace) & (F.col("seq") == saved["seq"])).first()
         pointer = checkpoints.latest_checkpoints(self.receipts(namespace)).where((F.col("agent_id") == saved["agent_id"]) & (F.col("session_id") == saved["session_id"])).first()

@@ -58,6 +58,13 @@ def percent_encoded(key: Column) -> Column:
     return F.replace(F.url_encode(key), F.lit("+"), F.lit("%20"))
 
 
+def rubric_score(text: Column) -> Column:
+    """Score of a judge's answer, JSON that may stand in a code fence: 0, 0.5 or 1; null otherwise."""
+    bare = F.regexp_replace(F.trim(text), r"^```(?:json)?\s*|\s*```$", "")
+    score = F.get_json_object(bare, "$.score").cast("string").try_cast("double")
+    return F.when(score.isin(0.0, 0.5, 1.0), score)
+
+
 def display_bytes(value: Column) -> Column:
     """JSON or UTF-8 values as text, others in base 64."""
     return F.when(F.is_valid_utf8(value.cast("string")), value.cast("string")).otherwise(F.base64(value))

@@ -78,6 +78,13 @@ def literal_terms(query: str, most: int = 8, max_bytes: int = 256) -> list[str]:
     return terms
 
 
+def keyword_query(text: Column, most: int = 8, chars: int = 256) -> Column:
+    """Words of a question for an engine that takes keywords only: the first ones, stop words left out."""
+    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+    kept = F.slice(F.filter(found, lambda w: ~w.isin(*STOP_WORDS)), 1, most)
+    return F.substring(F.array_join(kept, " "), 1, chars)
+
+
 def contains_all(text: Column, terms: list[str]) -> Column:
     """Every term is a substring of the lower-cased text."""
     out = F.lit(True)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import json_valid
-from ..functions.text import has_control, label, labels
+from ..functions.text import has_control, label, labels, trim_space
 
 MAX_CONTENT_BYTES, MAX_METADATA_BYTES, MAX_TAGS, MAX_MEMORY_KEY_BYTES = 16_384, 8_192, 8, 256
 
@@ -48,15 +50,38 @@ def index_entries(memories: DataFrame) -> DataFrame:
     return memories.select("namespace", F.explode(entries).alias("e"), "occurred_at_ms", "key").select("namespace", "e.kind", "e.label", "occurred_at_ms", "key")
 
 
-def proposal_error(p: DataFrame) -> DataFrame:
-    """Adds `error_code` to proposals (flat columns)."""
-    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+#: Bytes of a proposal's texts at most, kinds, operations, and its columns.
+PROPOSAL_BYTES = {"entity": 128, "attribute": 128, "value": 1024, "source_id": 256, "source_text": 512}
+KINDS = ("fact", "preference", "decision", "event")
+OPERATIONS = ("assert", "correct")
+PROPOSAL_COLUMNS = (
+    "scope", "entity", "attribute", "seq", "operation", "value", "kind", "source_id", "source_text", "source_role", "occurred_at_ms", "valid_until_ms", "expected_revision",
+)
+
+
+def proposal_error(p: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `error_code` to proposals (flat columns, and those named `extra`); other columns are refused."""
+    if unknown := set(p.columns) - {*PROPOSAL_COLUMNS, *extra}:
+        raise ValueError(f"unknown fields: {sorted(unknown)}")
+
+    def any_of(test, *columns: str) -> Column:
+        return reduce(lambda a, b: a | b, (F.coalesce(test(c), F.lit(False)) for c in columns))
+
+    text = F.coalesce  # a null field is an empty one
+    blank = any_of(lambda c: trim_space(text(c, F.lit(""))) == "", *PROPOSAL_BYTES)
+    long = any_of(lambda c: F.octet_length(c) > PROPOSAL_BYTES[c], *PROPOSAL_BYTES)
+    control = any_of(lambda c: trim_space(F.col(c)).rlike(r"\p{C}"), "entity", "attribute")
+    correct = F.col("operation") == "correct"
     error = (
-        F.when(blank("entity") | blank("attribute") | blank("value") | blank("source_id"), "missing_field")
-        .when(~F.coalesce(F.col("operation").isin("assert", "correct"), F.lit(False)), "invalid_operation")
-        .when(F.coalesce(F.col("source_role"), F.lit("")) != "user", "invalid_role")
-        .when(F.col("valid_until_ms") <= F.col("occurred_at_ms"), "invalid_expiry")
-        .when((F.col("operation") == "correct") & F.col("expected_revision").isNull(), "missing_revision")
+        F.when(blank | F.col("occurred_at_ms").isNull(), "missing_field")
+        .when(long, "over_limit")
+        .when(control, "control_character")
+        .when(~text(F.col("operation").isin(*OPERATIONS), F.lit(False)), "invalid_operation")
+        .when(~text(F.col("kind").isin(*KINDS), F.lit(False)), "invalid_kind")
+        .when(text(F.col("source_role"), F.lit("")) != "user", "invalid_role")
+        .when((F.col("occurred_at_ms") < 0) | (F.col("valid_until_ms") <= F.col("occurred_at_ms")), "invalid_expiry")
+        .when(correct & text(F.col("expected_revision") < 1, F.lit(True)), "missing_revision")
+        .when(~correct & F.col("expected_revision").isNotNull(), "unexpected_revision")
     )
     return p.withColumn("error_code", error)
 

@@ -46,6 +46,41 @@ def rank_metrics(ranked: DataFrame, qrels: DataFrame, k: int, exponential: bool
     )
 
 
+def ranking_figures(ranked: DataFrame, qrels: DataFrame, queries: DataFrame, cuts: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Per query: recall at each cut, nDCG at the last, and MRR over the whole ranking; all null for a
+    query without positives. Gains of 0 and less are no positives."""
+    relevant = qrels.where(F.col("gain") > 0)
+    last = cuts[-1]
+    whole = ranked.join(relevant, ["query_id", "doc_id"])
+    found = whole.groupBy("query_id").agg(
+        *(F.count_if(F.col("rank") <= k).alias(f"found_{k}") for k in cuts),
+        F.sum(F.when(F.col("rank") <= last, F.col("gain") * discount(F.col("rank")))).alias("dcg"),
+        F.min("rank").alias("first"),
+    )
+    best = Window.partitionBy("query_id").orderBy(F.desc("gain"), "doc_id")
+    ideal = relevant.withColumn("at", F.row_number().over(best)).groupBy("query_id").agg(
+        F.count("*").alias("positives"), F.sum(F.when(F.col("at") <= last, F.col("gain") * discount(F.col("at")))).alias("idcg")
+    )
+    out = queries.select("query_id").join(ideal, "query_id", "left").join(found, "query_id", "left")
+    has = F.col("positives").isNotNull()
+    zero = lambda c: F.when(has, F.coalesce(c, F.lit(0.0)))
+    recalls = [zero(F.col(f"found_{k}") / F.col("positives")).alias(f"recall_{k}") for k in cuts]
+    return out.select("query_id", *recalls, zero(F.col("dcg") / F.col("idcg")).alias("ndcg"), zero(F.lit(1.0) / F.col("first")).alias("mrr"))
+
+
+def answerable(queries: DataFrame, qrels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Queries that a retrieval run is judged on: with positives, all of which are in the corpus.
+    Questions to abstain from have none, unresolved ones name documents that are not there."""
+    relevant = qrels.where(F.col("gain") > 0).select("query_id", "doc_id")
+    broken = relevant.join(docs.select("doc_id"), "doc_id", "left_anti").select("query_id")
+    return queries.join(relevant.select("query_id"), "query_id", "left_semi").join(broken, "query_id", "left_anti")
+
+
+def answer_summary(answers: DataFrame, by: str, score: str = "score") -> DataFrame:
+    """Per category and overall: questions, mean score and how many are right in full."""
+    return answers.rollup(by).agg(F.count("*").alias("questions"), F.avg(score).alias("qa_score"), F.count_if(F.col(score) >= 1.0).alias("correct"))
+
+
 def means(metrics: DataFrame, *by: str) -> DataFrame:
     """Macro means overall and by category in one pass."""
     columns = [F.avg(c).alias(c) for c in ("recall", "ndcg", "mrr", "any_evidence", "all_evidence")]
@@ -75,12 +110,17 @@ def first_per_group(rows: DataFrame, group: str, order: str, n: int = 2) -> Data
     return rows.withColumn("at", F.row_number().over(window)).where(F.col("at") <= n).withColumn("at", F.col("at").cast("long"))
 
 
+MAX_CLUSTERS = 100_000
+
+
 def bootstrap_interval(rows: DataFrame, cluster: str, score: str, samples: int = 2000, seed: int = 20261004) -> tuple[float, float] | None:
     """95 % interval of the mean, clusters drawn with replacement; None below two clusters.
 
-    Only sums and counts per cluster reach the driver, in cluster order.
+    Only sums and counts per cluster reach the driver, in cluster order, of MAX_CLUSTERS at most.
     """
-    groups = rows.groupBy(cluster).agg(F.sum(score).alias("s"), F.count("*").alias("n")).orderBy(cluster).collect()
+    groups = rows.groupBy(cluster).agg(F.sum(score).alias("s"), F.count("*").alias("n")).orderBy(cluster).limit(MAX_CLUSTERS + 1).collect()
+    if len(groups) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters; draw them in Spark")
     if len(groups) < 2:
         return None
     rng, found = random.Random(seed), []

@@ -1,4 +1,4 @@
-"""Derived index tables of a corpus: postings, terms and statistics, and their upkeep by deltas."""
+"""Derived tables of a corpus: postings, terms and statistics. `plans.stored` keeps them as an index."""
 
 from __future__ import annotations
 
@@ -22,9 +22,3 @@ def statistics(memories: DataFrame) -> DataFrame:
     """One row: docs, tokens and mean length. Lengths do not depend on stems."""
     stats = corpus_stats(with_terms(memories, stemmed=False))
     return stats.withColumn("mean_len", F.col("tokens").cast("double") / F.col("docs").cast("double"))
-
-
-def apply_deltas(terms: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
-    """Document frequencies after memories were replaced: a signed union, summed."""
-    signed = terms.select("term", "df").unionByName(removed.groupBy("term").agg((-F.count("*")).alias("df"))).unionByName(added.groupBy("term").agg(F.count("*").alias("df")))
-    return signed.groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") > 0)

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 import struct
+from collections.abc import Callable
 
 MAX_BYTES = 4096
 VERSION = 2
@@ -32,6 +33,25 @@ def encode(position: list, bound_to: str) -> str:
     return base64.urlsafe_b64encode(json.dumps([VERSION, position, bound_to]).encode()).decode()
 
 
+def fit_page(rows: list[dict], limit: int, max_bytes: int, cursor_of: Callable[[dict], str]) -> tuple[list[dict], str | None]:
+    """The leading rows whose page, its cursor included, fits into `max_bytes` as JSON, and the cursor of
+    the last one if any are left. A first row that does not fit is an error.
+
+    `rows` are the page and one more if there is a next one.
+    """
+    size, kept, cursor = len('{"items":[]}'), [], None
+    for row in rows[:limit]:
+        size += len(json.dumps(row, ensure_ascii=False, default=str).encode()) + 1
+        after = cursor_of(row)
+        if size + len(after) + len(',"next_cursor":""') > max_bytes:
+            if not kept:
+                raise CursorError("one hit exceeds the byte budget; raise it")
+            break
+        kept.append(row)
+        cursor = after
+    return kept, cursor if len(kept) < len(rows) else None
+
+
 def decode(cursor: str, bound_to: str) -> list:
     try:
         if len(cursor) > MAX_BYTES:

@@ -1,6 +1,6 @@
 """BM25 search and literal recall as declarative plans.
 
-A search scans the memories twice: once for the corpus figures of the query's terms (partial
+Without a stored index (see `stored`) a search scans the memories twice: once for the corpus figures of the query's terms (partial
 aggregates, one row a term), once to score. Terms are looked up in each row's word array, so no
 token is ever shuffled; the plan (72 terms at most) is literal in the second scan, behind the
 filters, which reach the files.
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import idf, live, saturation
+from ..functions.scalar import live, saturation
 from ..functions.stem import may_share_stem, stem
 from ..functions.text import contains_all, literal_terms, plain_words, stem_counts, words
 
@@ -140,6 +140,12 @@ def plan_query(memories: DataFrame, query: SearchQuery) -> Plan:
     found = held.select(F.explode(rows).alias("term"), "doc_len").groupBy("term").agg(F.count("*").alias("df"), F.sum("doc_len").alias("tokens")).collect()
     df = {r["term"]: r["df"] for r in found}
     docs, tokens = df.pop("", 0), next((r["tokens"] for r in found if r["term"] == ""), 0) or 0
+    return weighed_plan(query, df, docs, tokens)
+
+
+def weighed_plan(query: SearchQuery, df: dict[str, int], docs: int, tokens: int) -> Plan:
+    """The terms that count, by their document frequencies."""
+    counts, extra = query.terms(), query.expansions()
     idf = {t: math.log(1 + (docs - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     salient = len(counts) > MAX_TERMS
     own = {t: idf[t] * (math.sqrt(n) if salient else 1.0) for t, n in counts.items() if t in df}
@@ -158,18 +164,20 @@ def scored(memories: DataFrame, plan: Plan, stemmed: bool = True) -> DataFrame:
         tf = F.aggregate(F.filter("hits", lambda c: c["term"] == term), F.lit(0).cast("long"), lambda s, c: s + c["tf"]).cast("double")
         return F.element_at(weights, term) * saturation(tf, F.col("doc_len").cast("double"), mean)
 
-    terms = F.array_distinct(F.transform("hits", lambda c: c["term"]))
+    # in the order of terms, so that equal documents have equal scores to the last bit
+    terms = F.array_sort(F.array_distinct(F.transform("hits", lambda c: c["term"])))
     return held.withColumn("score", F.aggregate(terms, F.lit(0.0), lambda s, t: s + part(t))).drop("hits", "doc_len")
 
 
-def search(memories: DataFrame, query: SearchQuery, now_ms: int) -> DataFrame:
-    """Hits by score, then key. Corpus figures cover all rows; filters only choose among the scored."""
+def search(memories: DataFrame, query: SearchQuery, now_ms: int, ahead: int = 0) -> DataFrame:
+    """Hits by score, then key, and `ahead` more. Corpus figures cover all rows; filters only choose among
+    the scored."""
     rows = memories.where(live(F.col("expires_at_ms"), now_ms) & query.filters.column())
-    hits = scored(rows, plan_query(memories, query), query.stemmed).withColumn("score", F.round("score", 9))
+    hits = scored(rows, plan_query(memories, query), query.stemmed)
     if query.after is not None:
         score, key = query.after
         hits = hits.where((F.col("score") < score) | ((F.col("score") == score) & (F.col("key") > key)))
-    return hits.orderBy(F.desc("score"), "key").limit(query.limit)
+    return hits.orderBy(F.desc("score"), "key").limit(query.limit + ahead)
 
 
 def search_counters(memories: DataFrame, query: SearchQuery) -> DataFrame:
@@ -186,43 +194,22 @@ def search_counters(memories: DataFrame, query: SearchQuery) -> DataFrame:
     )
 
 
-def batch_search(memories: DataFrame, queries: DataFrame, limit: int, stemmed: bool = False) -> DataFrame:
-    """Top hits of many queries (query_id, text): rows query_id, key, score and rank.
-
-    Postings are joined with the weighed query terms; both sides come pre-aggregated, and what is
-    shuffled behind the join is a partial sum per query and document.
-    """
-    indexed = with_terms(memories, stemmed)
-    asked = with_terms(queries.withColumnRenamed("text", "content"), stemmed).select("query_id", F.explode("counts").alias("c"))
-    asked = asked.groupBy("query_id", F.col("c.term").alias("term")).agg(F.sum("c.tf").alias("n"))
-    vocabulary = asked.select("term").distinct()
-    tokens = indexed.select("key", "doc_len", F.explode("counts").alias("c")).select("key", "doc_len", "c.term", "c.tf")
-    postings = tokens.join(vocabulary, "term", "left_semi").groupBy("term", "key", "doc_len").agg(F.sum("tf").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    # documents and mean length: one small aggregate, read as a single subquery
-    figures = memories.select(F.size(words(F.col("content"))).alias("doc_len")).agg(F.struct(F.count("*").alias("docs"), F.avg(F.col("doc_len").cast("double")).alias("mean")).alias("f")).scalar()
-    docs, mean = figures["docs"], figures["mean"]
-    distinct = asked.groupBy("query_id").agg(F.count("*").alias("n_words"))
-    weighed = asked.join(terms, "term").join(distinct, "query_id")
-    salient = F.when(F.col("n_words") > MAX_TERMS, F.sqrt(F.col("n").cast("double"))).otherwise(F.lit(1.0))
-    weighed = weighed.withColumn("weight", idf(docs, F.col("df")) * salient)
-    best = Window.partitionBy("query_id").orderBy(F.desc("weight"), "term")
-    plan = weighed.withColumn("at", F.row_number().over(best)).where(F.col("at") <= MAX_TERMS).select("query_id", "term", "weight")
-    parts = postings.join(plan, "term").withColumn("part", F.col("weight") * saturation(F.col("tf").cast("double"), F.col("doc_len").cast("double"), mean))
-    scores = parts.groupBy("query_id", "key").agg(F.round(F.sum("part"), 9).alias("score"))
-    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key")))
-    return ranked.where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("long"))
-
-
-def recall(memories: DataFrame, now_ms: int, filters: Filters = Filters(), query: str = "", limit: int = 20, after: tuple[int, str] | None = None) -> DataFrame:
-    """Live memories by event time, newest first, then key descending."""
+def recall(memories: DataFrame, now_ms: int, filters: Filters = Filters(), query: str = "", limit: int = 20, after: tuple[int, str] | None = None, ahead: int = 0) -> DataFrame:
+    """Live memories by event time, newest first, then key descending, and `ahead` more."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must be 1..100")
     rows = memories.where(live(F.col("expires_at_ms"), now_ms) & filters.column() & contains_all(F.col("content"), literal_terms(query)))
     if after is not None:
         at, key = after
         rows = rows.where((F.col("occurred_at_ms") < at) | ((F.col("occurred_at_ms") == at) & (F.col("key") < key)))
-    return rows.orderBy(F.desc("occurred_at_ms"), F.desc("key")).limit(limit)
+    return rows.orderBy(F.desc("occurred_at_ms"), F.desc("key")).limit(limit + ahead)
+
+
+def recall_candidates(memories: DataFrame, now_ms: int, filters: Filters, query: str, candidates: int, after: tuple[int, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bounded recall: of the next `candidates` labelled memories the hits, and the last one looked at
+    (one row, from which the next page goes on). A page may be empty and still have a next one."""
+    looked = recall(memories, now_ms, filters, "", 1, after, ahead=candidates - 1)
+    return looked.where(contains_all(F.col("content"), literal_terms(query))), looked.orderBy("occurred_at_ms", "key").limit(1)
 
 
 def byte_page(hits: DataFrame, order: list[Column], size: Column, max_bytes: int) -> DataFrame:

@@ -6,6 +6,7 @@ for an operation log, conversations for sessions, benchmark passages for search
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 from functools import partial
 
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from .functions import scalar
 from .functions.text import STOP_WORDS, fixed_chunks, labels, trim_space, words
 from .operators import admission, checkpoints, evaluation, index, ledger, lifecycle, oplog, records
-from .plans.search import Filters, SearchQuery, batch_search, plan_query, recall, scored, search, search_counters, with_terms
+from .plans.search import Filters, SearchQuery, recall, with_terms
+from .plans.stored import SearchIndex
 from .sources import sinks
 from .sources.config import Namespace
 from .streaming import folds
@@ -106,8 +108,22 @@ STEM_FORMS = {
 _CASE = "CASE " + " ".join(f"WHEN w IN ({', '.join(repr(w) for w in f)}) THEN '{t}'" for t, f in STEM_FORMS.items()) + " ELSE w END"
 
 
+_indexes: dict[tuple, SearchIndex] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The stored index of the documents, written by the first search of a session over these files."""
+    files = sinks.file_states(spark, read(spark, sf_dir, "documents").inputFiles())
+    key = (spark.sparkContext.applicationId, sf_dir, files)
+    if key not in _indexes:
+        path = sinks.shared_path(spark, "index")
+        atexit.register(sinks.remove, spark, path)
+        _indexes[key] = SearchIndex.build(memories(spark, sf_dir), path)
+    return _indexes[key]
+
+
 def _hits(q: SearchQuery, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(memories(spark, sf_dir), q, NOW_MS).select("key", "score")
+    return search_index(spark, sf_dir).search(memories(spark, sf_dir), q, NOW_MS).select("key", F.round("score", 9).alias("score"))
 
 
 def s01_tokens_per_doc(spark, sf):
@@ -115,7 +131,7 @@ def s01_tokens_per_doc(spark, sf):
 
 
 def s02_term_df(spark, sf):
-    return index.term_frequencies(index.postings(memories(spark, sf), stemmed=False))
+    return index.term_frequencies(search_index(spark, sf).rows().where("term <> ''"))
 
 
 def s03_corpus_stats(spark, sf):
@@ -123,8 +139,8 @@ def s03_corpus_stats(spark, sf):
 
 
 def s05_bm25_all(spark, sf):
-    m = memories(spark, sf)
-    return scored(m, plan_query(m, SearchQuery(QUERY, stemmed=False)), stemmed=False).select("key", F.round("score", 9).alias("score"))
+    own = search_index(spark, sf)
+    return own.scores(own.plan(SearchQuery(QUERY, stemmed=False)), stemmed=False).select("key", F.round("score", 9).alias("score"))
 
 
 def s09_long_query(spark, sf):
@@ -136,17 +152,17 @@ def s09_long_query(spark, sf):
 def s10_page_two(spark, sf):
     """The page behind the first one's last hit."""
     q = SearchQuery(QUERY, limit=10, stemmed=False)
-    last = search(memories(spark, sf), q, NOW_MS).select("score", "key").collect()[-1]
+    last = search_index(spark, sf).search(memories(spark, sf), q, NOW_MS).select("score", "key").collect()[-1]
     return _hits(SearchQuery(QUERY, limit=10, stemmed=False, after=(last["score"], last["key"])), spark, sf)
 
 
 def s11_batch_search(spark, sf):
     queries = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return batch_search(memories(spark, sf), queries, 10).select("query_id", "key", "score", "rank")
+    return search_index(spark, sf).batch(queries, 10).select("query_id", "key", "score", "rank")
 
 
 def s12_counters(spark, sf):
-    return search_counters(memories(spark, sf), SearchQuery(QUERY, stemmed=False))
+    return search_index(spark, sf).counters(SearchQuery(QUERY, stemmed=False))
 
 
 def _recall(filters: Filters, query: str = "", after=None, limit: int = 20):
@@ -325,10 +341,10 @@ def l05_proposal_errors(spark, sf):
 
 
 def _grams(text: str) -> tuple[Column, Column]:
-    """The words of a text, and the distinct runs of four of a column `w` of them."""
+    """The words of a text, and the runs of four of a column `w` of them."""
     w = words(F.col(text))
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(4)), " "))
-    return w, F.when(F.size("w") >= 4, F.array_distinct(runs))
+    return w, F.when(F.size("w") >= 4, runs)
 
 
 def _qrels(spark, sf):
@@ -336,8 +352,8 @@ def _qrels(spark, sf):
     w, runs = _grams("text")
     b = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("w")).where(F.size("w") >= 4)
     b = b.select("query_id", F.array_join(F.slice("w", 1, 4), " ").alias("run"))
-    d = read(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("doc_id"), "lang", w.alias("w"))
-    held = d.select("doc_id", "lang", F.explode(runs).alias("run"))
+    d = spread(read(spark, sf, "documents")).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("doc_id"), "lang", w.alias("w"))
+    held = d.select("doc_id", "lang", F.explode_outer(runs).alias("run"))
     return held.join(b, "run").select("query_id", "doc_id", F.when(F.col("lang") == "en", 2).otherwise(1).alias("gain")).distinct()
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,31 @@ def _fs(spark: SparkSession, path: str):
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; a local one only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that all executors share; a local one only in a local session that
+    sets none."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(root or 'file:///tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def file_states(spark: SparkSession, paths: list[str]) -> tuple:
+    """Path, size and time of change of files."""
+    states = []
+    for path in sorted(paths):
+        fs, target = _fs(spark, path)
+        status = fs.getFileStatus(target)
+        states.append((path, status.getLen(), status.getModificationTime()))
+    return tuple(states)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder; at the interpreter's exit the JVM may be gone, and the folder stays."""
+    try:
+        fs, target = _fs(spark, path)
+        fs.delete(target, True)
+    except (OSError, AttributeError, TypeError, Py4JError):
+        return
 
 
 def write_report(spark: SparkSession, report: dict, path: str) -> None:
@@ -28,7 +53,10 @@ def write_report(spark: SparkSession, report: dict, path: str) -> None:
     out.write(bytearray((json.dumps(report, indent=2, ensure_ascii=False) + "\n").encode()))
     out.close()
     _, target = _fs(spark, path)
-    fs.delete(target, False)
+    if fs.getScheme() == "file":  # replaces in one step
+        os.replace(temporary.toUri().getPath(), target.toUri().getPath())
+        return
+    fs.delete(target, False)  # other stores have no replacing rename
     if not fs.rename(temporary, target):
         raise OSError(f"cannot write {path}")
 
@@ -64,6 +92,20 @@ def export_checked(df: DataFrame, path: str, expected_rows: int, hashed: list[st
     df.withColumn("sha256", F.sha2(F.to_json(F.struct(*hashed)), 256)).write.mode("error").json(path)
 
 
+def fetch_pages(fetch: Callable[[int], list[dict]], key: str, size: int = 100, most: int = 100) -> list[dict]:
+    """All rows of a paged source, page after page until a short one; a listing that changes under the
+    reader (a repeated key), another shape or too many pages give nothing."""
+    pages: list[list[dict]] = []
+    while not pages or len(pages[-1]) == size:
+        if len(pages) == most:
+            raise ValueError("too many pages; nothing is kept")
+        page = fetch(len(pages) + 1)
+        if not isinstance(page, list) or len(page) > size:
+            raise ValueError("a page is not a list of rows")
+        pages.append(page)
+    return merge_pages(pages, key)
+
+
 def merge_pages(pages: list[list[dict]], key: str) -> list[dict]:
     """Rows of a paged fetch; a repeated key or a short inner page is refused."""
     rows = [r for page in pages for r in page]
