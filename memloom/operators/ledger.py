@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -49,23 +49,25 @@ def _streamed(rows: DataFrame, fold, schema: str) -> DataFrame:
 def admit(events: DataFrame, seconds: int = RATE_WINDOW_S, most: int = RATE_EVENTS, units: int = RATE_UNITS) -> DataFrame:
     """Sliding admission: an event enters if those admitted in the window leave room for it."""
 
-    def fold():
-        held: deque[tuple[float, int]] = deque()
-        total = 0
+    return _streamed(events.select("account", "seq", "at", "units"), lambda: Sliding(seconds, most, units), ADMISSION)
 
-        def step(row):
-            nonlocal total
-            while held and held[0][0] < row.at - seconds:
-                total -= held.popleft()[1]
-            ok = len(held) < most and total + row.units <= units
-            if ok:
-                held.append((row.at, row.units))
-                total += row.units
-            return row.account, row.seq, row.at, row.units, ok
 
-        return step
+class Sliding:
+    """Events admitted within the trailing window; at most `most` are held."""
+
+    def __init__(self, seconds: int, most: int, units: int, held: Iterable[tuple[float, int]] = ()):
+        self.seconds, self.most, self.units = seconds, most, units
+        self.held = deque((at, n) for at, n in held)
+        self.total = sum(n for _, n in self.held)
 
-    return _streamed(events.select("account", "seq", "at", "units"), fold, ADMISSION)
+    def __call__(self, row) -> tuple:
+        while self.held and self.held[0][0] < row.at - self.seconds:
+            self.total -= self.held.popleft()[1]
+        ok = len(self.held) < self.most and self.total + row.units <= self.units
+        if ok:
+            self.held.append((row.at, row.units))
+            self.total += row.units
+        return row.account, row.seq, row.at, row.units, ok
 
 
 def budget_ledger(ops: DataFrame, cap: float) -> DataFrame:

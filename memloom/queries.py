@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .functions.text import STOP_WORDS, fixed_chunks, labels, trim_space, words
+from .functions.text import STOP_WORDS, fixed_chunks, keyword_query, labels, trim_space, words
 from .operators import admission, checkpoints, evaluation, index, ledger, lifecycle, oplog, records
-from .plans.search import Filters, SearchQuery, recall, with_terms
+from .plans.search import Filters, SearchQuery, byte_page, recall, recall_candidates, with_terms
 from .plans.stored import SearchIndex
 from .sources import sinks
 from .sources.config import Namespace
@@ -25,6 +25,7 @@ from .streaming import folds
 BASE_MS = 1_760_000_000_000
 NOW_MS = 1_705_708_800_000  # 2024-01-20, within the events
 DAY_MS = 86_400_000
+LATER_MS = NOW_MS + 15 * DAY_MS  # behind the events, when records have expired
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +59,9 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events as versions of records: an error's record lives a day, a purchase's forever."""
-    e = read(spark, sf_dir, "events")
+    e = read(spark, sf_dir, "events") if events is None else events
     written = millis("ts")
     life = F.when(F.col("event_type") == "purchase", F.lit(None)).when(F.col("event_type") == "error", F.lit(1)).otherwise(F.lit(10))
     return e.select(
@@ -165,6 +166,26 @@ def s12_counters(spark, sf):
     return search_index(spark, sf).counters(SearchQuery(QUERY, stemmed=False))
 
 
+def s13_index_update(spark, sf):
+    """Document frequencies behind an update: every fifth document has a new text, others are removed."""
+    m = memories(spark, sf)
+    number = F.col("revision") - 1
+    changed = m.where(number % 5 == 0).withColumn("content", F.concat(F.lit("Fresh words of "), "topic"))
+    after = search_index(spark, sf).update(changed, m.where(number % 7 == 0))
+    return index.term_frequencies(after.rows().where("term <> ''"))
+
+
+def r05_recall_bytes(spark, sf):
+    page = recall(memories(spark, sf), NOW_MS, Filters(topic="en"), limit=100)
+    return byte_page(page, [F.desc("occurred_at_ms"), F.desc("key")], F.octet_length("content"), 16_384).select("key", "occurred_at_ms", F.col("used").cast("long").alias("used"))
+
+
+def r06_recall_bounded(spark, sf):
+    """Hits among the next 150 candidates, and the key that the following page goes on from."""
+    hits, last = recall_candidates(memories(spark, sf), NOW_MS, Filters(topic="en"), "heat", 150)
+    return hits.select("key", "occurred_at_ms").crossJoin(F.broadcast(last.select(F.col("key").alias("last_key"))))  # one row
+
+
 def _recall(filters: Filters, query: str = "", after=None, limit: int = 20):
     return lambda spark, sf: recall(memories(spark, sf), NOW_MS, filters, query, limit, after).select("key", "topic", "occurred_at_ms")
 
@@ -205,7 +226,7 @@ def k05_usage(spark, sf):
 
 
 def k06_expired_batch(spark, sf):
-    return records.expired_batch(records.latest(event_log(spark, sf)), NOW_MS, 25).select("namespace", "key", "expires_at_ms", "revision")
+    return records.expired_batch(records.latest(event_log(spark, sf)), LATER_MS, 25).select("namespace", "key", "expires_at_ms", "revision")
 
 
 def k07_fifo_kept(spark, sf):
@@ -326,6 +347,22 @@ def l03_slots(spark, sf):
     return lifecycle.fold_slots(proposals(spark, sf))
 
 
+def l06_profile_bytes(spark, sf):
+    """The profile's leading facts whose JSON fits into 2 KiB."""
+    top = lifecycle.profile(lifecycle.fold_slots(proposals(spark, sf)), NOW_MS)
+    shown = ("entity", "attribute", "value", "revision")
+    return lifecycle.within_bytes(top, lifecycle.newest(), 2048, *shown).select(*shown, "used", "truncated")
+
+
+def l07_slot_keys(spark, sf):
+    return lifecycle.slot_keys(proposals(spark, sf)).select("seq", "slot_key")
+
+
+def l08_context(spark, sf):
+    """Facts that answer a query (no SQL; a test against plain loops)."""
+    return lifecycle.context(lifecycle.fold_slots(proposals(spark, sf)), "high purchase of user", NOW_MS).select("entity", "attribute", F.round("score", 9).alias("score"))
+
+
 def l04_first_two(spark, sf):
     """Statuses of each slot's first two proposals: created, then duplicate, stale or conflict."""
     own = proposals(spark, sf)
@@ -418,6 +455,34 @@ def e09_context(spark, sf):
     return evaluation.context_blocks(rows, 500, 3).select("query_id", "rank", "source_id", "words", "used", "words_kept")
 
 
+def e10_ranking_figures(spark, sf):
+    ranked = s11_batch_search(spark, sf).select("query_id", F.col("key").alias("doc_id"), "rank")
+    queries_ = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    return _rounded(evaluation.ranking_figures(ranked, _qrels(spark, sf), queries_), "recall_1", "recall_5", "recall_10", "ndcg", "mrr")
+
+
+def e11_run_check(spark, sf):
+    """Scores for an independent evaluator, and whether a hit is outside its query's scope (English)."""
+    ranked = s11_batch_search(spark, sf).select("query_id", F.col("key").alias("doc_id"), "rank", F.lit("en").alias("scope"))
+    docs = memories(spark, sf).select(F.col("key").alias("doc_id"), F.col("topic").alias("scope"))
+    outside = evaluation.foreign_ranks(ranked, docs).select("query_id", "doc_id", F.lit(True).alias("outside"))
+    run = evaluation.run_scores(ranked, 10).join(outside, ["query_id", "doc_id"], "left")
+    return run.select("query_id", "doc_id", "run_score", F.coalesce("outside", F.lit(False)).alias("outside"))
+
+
+def e12_answer_summary(spark, sf):
+    rows = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return _rounded(evaluation.answer_summary(rows, "source", "quality"), "qa_score")
+
+
+def e13_answerable(spark, sf):
+    """Queries with English positives, none of which is missing from the corpus without one source."""
+    strong = _qrels(spark, sf).withColumn("gain", F.col("gain") - 1)
+    queries_ = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    corpus = memories(spark, sf).where(~F.array_contains("tags", "src0")).select(F.col("key").alias("doc_id"))
+    return evaluation.answerable(queries_, strong, corpus)
+
+
 def d01_session_join(spark, sf):
     c = read(spark, sf, "conversations")
     lines = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line"))))
@@ -466,8 +531,8 @@ def g03_removed(spark, sf):
     return ledger.removed_assets(_snapshots(spark, sf), 10, 11)
 
 
-def _units(spark, sf):
-    e = read(spark, sf, "events")
+def _units(spark, sf, events=None):
+    e = read(spark, sf, "events") if events is None else events
     return e.select(F.col("event_type").alias("account"), F.col("event_id").alias("seq"), (millis("ts") / 1000.0).alias("at"), (F.col("event_id") % 100 * 300).alias("units"))
 
 
@@ -539,6 +604,22 @@ def x01_scalars(spark, sf):
     )
 
 
+def x03_formats(spark, sf):
+    """Keyword queries, values as shown text, and scores of judges' answers."""
+    n = F.col("doc_id")
+    value = F.when(n % 2 == 0, F.concat(F.lit("plain "), n.cast("string")).cast("binary")).when(n % 3 == 0, F.unhex(F.lit("ff00"))).otherwise(F.unhex(F.lit("fffe")))
+    answer = F.when(n % 4 == 0, F.lit('```json\n{"score": 0.5}\n```')).when(n % 4 == 1, F.lit(' {"score": 1, "why": "x"}')).when(n % 4 == 2, F.lit('{"score": 0.7}')).otherwise(F.lit("none"))
+    d = read(spark, sf, "documents")
+    return d.select("doc_id", keyword_query(F.col("text")).alias("keywords"), scalar.display_bytes(value).alias("shown"), scalar.rubric_score(answer).alias("score"))
+
+
+def k13_undeclared(spark, sf):
+    """Namespaces of the log that a policy lacks (n3) or has in another mode (n0)."""
+    held = event_log(spark, sf).select("namespace").distinct().withColumns({"mode": F.lit("durable"), "purpose": F.lit("records")})
+    declared = spark.createDataFrame([("n0", "memory", "records"), ("n1", "durable", "records"), ("n2", "durable", "records")], "namespace string, mode string, purpose string")
+    return records.undeclared(held, declared).select("namespace")
+
+
 def x02_releases(spark, sf):
     e = read(spark, sf, "events")
     name = F.concat(F.lit("tool-v1."), (F.col("event_id") % 9).cast("string"), F.lit(".0-"), "event_type", F.when(F.col("event_id") % 2 == 0, ".tar.gz").otherwise(".txt"))
@@ -576,6 +657,31 @@ def st02_stream_lifecycle(spark, sf):
     return _drained(spark, folds.lifecycle_stream(own), "append", "receipts").select("entity", "attribute", "seq", "status")
 
 
+def st03_stream_pointers(spark, sf):
+    """Newest checkpoint of each session over receipts as a stream."""
+    c = _stream(spark, sf, "conversations").where("role = 'assistant'")
+    name = lambda p: F.concat(F.lit(p), F.col("conv_id").cast("string"))
+    receipts = c.select(
+        name("c").alias("namespace"), F.lit("agent").alias("agent_id"), name("s").alias("session_id"), F.concat(name("c"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
+        F.lit(None).cast("string").alias("error_code"), F.lit(True).alias("is_latest"), F.col("turn").cast("long").alias("latest_revision"),
+    )
+    return _drained(spark, folds.latest_pointers(receipts), "complete", "pointers").select("namespace", "session_id", "id", "latest_revision")
+
+
+def st04_stream_cleanup(spark, sf):
+    """What a scheduled cleanup keeps of each batch, written once a batch id."""
+    out, marks = sinks.shared_path(spark, "kept"), sinks.shared_path(spark, "kept-marks")
+    kept = folds.drop_expired(event_log(spark, sf, _stream(spark, sf, "events")), NOW_MS).select("namespace", "key", "revision")
+    folds.write_once(kept, out, marks).awaitTermination()
+    return spark.read.parquet(out).select("namespace", "key", "revision")
+
+
+def st05_stream_admission(spark, sf):
+    """Sliding admission over events as a stream: the same as the batch fold's."""
+    units = _units(spark, sf, _stream(spark, sf, "events"))
+    return _drained(spark, folds.admission_stream(units, 3600, 30, 150_000), "append", "admitted").select("account", "seq", "admitted")
+
+
 _SQL_FIVE = """SELECT i.query_id, coalesce(found, 0) / positives AS recall, coalesce(dcg / idcg, 0e0) AS ndcg, coalesce(1e0 / first, 0e0) AS mrr,
  CASE WHEN coalesce(found, 0) > 0 THEN 1e0 ELSE 0e0 END AS any_evidence, CASE WHEN coalesce(found, 0) = positives THEN 1e0 ELSE 0e0 END AS all_evidence
  FROM i LEFT JOIN got USING (query_id)"""
@@ -604,6 +710,48 @@ _ROUND_FIVE = ", ".join(f"round({c}, 9) AS {c}" for c in _FIVE)
 _PROPOSALS = f"""pr AS (SELECT 'user ' || user_id AS entity, event_type AS attribute, event_id AS seq, CASE WHEN value > 20 THEN 'high' ELSE 'low' END AS value,
  epoch_us(ts) // 1000 - CASE WHEN event_id % 11 = 0 THEN {3 * DAY_MS} ELSE 0 END AS ms FROM events)"""
 
+#: A slot's proposals one after another: its value, last confirmation, and how many receipts, stale
+#: events and conflicts it holds. (The state's byte limit is not reached by the events' short texts.)
+_SQL_SLOTS = f"""WITH RECURSIVE {_PROPOSALS}, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity, attribute ORDER BY seq) AS i FROM pr),
+ f AS (SELECT entity, attribute, seq, i, 'created' AS status, value, ms AS confirmed, 1::BIGINT AS taken, 0::BIGINT AS stale, 0::BIGINT AS conflict, 'active' AS state FROM n WHERE i = 1
+ UNION ALL SELECT entity, attribute, seq, i, CASE WHEN full_ THEN 'capacity' ELSE st END, value, CASE WHEN NOT full_ AND st = 'duplicate' THEN ms ELSE confirmed END, taken + (NOT full_)::BIGINT,
+ stale + (NOT full_ AND st = 'stale')::BIGINT, conflict + (NOT full_ AND st = 'conflict')::BIGINT, CASE WHEN conflict > 0 OR (NOT full_ AND st = 'conflict') THEN 'conflicted' ELSE 'active' END FROM
+ (SELECT *, s2 > 8 OR taken + 1 + (c2 > 0)::BIGINT > 24 OR (c2 > 0 AND s2 + 1 + c2 > 8) AS full_ FROM (SELECT *, stale + (st = 'stale')::BIGINT AS s2, conflict + (st = 'conflict')::BIGINT AS c2 FROM
+ (SELECT n.entity, n.attribute, n.seq, n.i, n.ms, f.value, f.confirmed, f.taken, f.stale, f.conflict, CASE WHEN n.ms < f.confirmed THEN 'stale' WHEN n.value = f.value THEN 'duplicate' ELSE 'conflict' END AS st
+ FROM f JOIN n ON n.entity = f.entity AND n.attribute = f.attribute AND n.i = f.i + 1))))"""
+_SLOT_ROWS = """z AS (SELECT 'personal' AS scope, entity, attribute, state, value, 'fact' AS kind, NULL::BIGINT AS valid_until_ms, confirmed AS last_confirmed_at_ms, taken AS revision, stale AS history, conflict AS conflicts,
+ taken AS receipts, CASE WHEN state = 'active' THEN entity || ' / ' || attribute || ': ' || value ELSE 'Unresolved memory.' END AS content FROM f QUALIFY row_number() OVER (PARTITION BY entity, attribute ORDER BY i DESC) = 1)"""
+_SQL_ADMISSION = """WITH RECURSIVE u AS MATERIALIZED (SELECT event_type AS account, event_id AS seq, (epoch_us(ts) // 1000) / 1000e0 AS ms, event_id % 100 * 300 AS units, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
+ f AS (SELECT account, seq, ms, units, i, [{'ms': ms, 'units': units}] AS held, true AS admitted FROM u WHERE i = 1
+ UNION ALL SELECT account, seq, ms, units, i, CASE WHEN ok THEN list_append(kept, {'ms': ms, 'units': units}) ELSE kept END, ok FROM
+ (SELECT *, len(kept) < 30 AND coalesce(list_sum(list_transform(kept, lambda x: x.units)), 0) + units <= 150000 AS ok FROM
+ (SELECT u.account, u.seq, u.ms, u.units, u.i, list_filter(f.held, lambda x: x.ms >= u.ms - 3600) AS kept FROM f JOIN u ON u.account = f.account AND u.i = f.i + 1)))
+ SELECT account, seq, ms AS "at", units, admitted FROM f"""
+_SQL_BUDGET = """WITH RECURSIVE o AS MATERIALIZED (SELECT 'a' || (user_id % 3) AS account, event_id AS seq, (user_id % 40)::VARCHAR AS id, CASE WHEN event_type IN ('click', 'view') THEN 'reserve' WHEN event_type = 'error' THEN 'unbilled' ELSE 'settle' END AS op,
+ value AS amount, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS i FROM events),
+ f AS (SELECT account, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS id, NULL::BOOLEAN AS admitted, 0e0 AS accounted, []::STRUCT(id VARCHAR, amount DOUBLE)[] AS held FROM (SELECT DISTINCT account FROM o)
+ UNION ALL SELECT account, i, seq, id, ok, CASE WHEN NOT ok THEN accounted WHEN op = 'reserve' THEN accounted + amount ELSE accounted + (price - own.amount) END,
+ CASE WHEN NOT ok THEN held WHEN op = 'reserve' THEN list_append(held, {'id': id, 'amount': amount}) ELSE list_filter(held, lambda x: x.id <> id) END FROM
+ (SELECT *, CASE WHEN op = 'reserve' THEN own IS NULL AND accounted + amount <= 400 ELSE own IS NOT NULL AND price <= own.amount + 1e-12 END AS ok FROM
+ (SELECT o.account, o.i, o.seq, o.id, o.op, o.amount, f.accounted, f.held, list_filter(f.held, lambda x: x.id = o.id)[1] AS own, CASE WHEN o.op = 'settle' THEN o.amount ELSE 0e0 END AS price
+ FROM f JOIN o ON o.account = f.account AND o.i = f.i + 1)))
+ SELECT account, seq, id, admitted, accounted FROM f WHERE i > 0"""
+#: A namespace's operations one after another over the list of its records.
+_SQL_FOLD = """WITH RECURSIVE o AS MATERIALIZED (SELECT 'n' || (user_id % 4) AS namespace, event_id AS seq, 'user/' || user_id AS key, CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'cleanup' ELSE 'put' END AS op,
+ strlen('user/' || user_id) + strlen(props) AS size, CASE event_type WHEN 'click' THEN 'absent' WHEN 'purchase' THEN (event_id % 7 + 1)::VARCHAR END AS cond, epoch_us(ts) // 1000 AS now,
+ CASE event_type WHEN 'view' THEN epoch_us(ts) // 1000 + 86400000 END AS expires, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS i FROM events),
+ f AS (SELECT namespace, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS key, NULL::VARCHAR AS op, NULL::VARCHAR AS error_code, NULL::BIGINT AS revision, 0::BIGINT AS high,
+ []::STRUCT(key VARCHAR, revision BIGINT, expires BIGINT, size BIGINT)[] AS held FROM (SELECT DISTINCT namespace FROM o)
+ UNION ALL SELECT namespace, i, seq, key, op, error, CASE WHEN error IS NOT NULL THEN NULL WHEN op = 'put' THEN high + 1 WHEN op = 'delete' THEN own.revision ELSE len(gone) END,
+ high + (op = 'put' AND error IS NULL)::BIGINT, CASE WHEN error IS NOT NULL THEN held WHEN op = 'put' THEN list_append(list_filter(held, lambda x: x.key <> key), {'key': key, 'revision': high + 1, 'expires': expires, 'size': size})
+ WHEN op = 'delete' THEN list_filter(held, lambda x: x.key <> key) ELSE list_filter(held, lambda x: NOT list_contains(gone, x.revision)) END FROM
+ (SELECT *, CASE WHEN op = 'cleanup' THEN NULL WHEN op = 'delete' THEN CASE WHEN live THEN NULL ELSE 'not_found' END
+ WHEN NOT (cond IS NULL OR (cond = 'absent' AND NOT live) OR (cond <> 'absent' AND live AND own.revision::VARCHAR = cond)) THEN 'conflict'
+ WHEN len(held) + (own IS NULL)::BIGINT > 30 OR coalesce(list_sum(list_transform(held, lambda x: x.size)), 0) - coalesce(own.size, 0) + size > 1048576 THEN 'quota' END AS error FROM
+ (SELECT *, own IS NOT NULL AND coalesce(own.expires > now, true) AS live, list_transform(list_sort(list_transform(list_filter(held, lambda x: x.expires <= now), lambda x: {'a': x.expires, 'b': x.revision}))[1:5], lambda y: y.b) AS gone FROM
+ (SELECT o.namespace, o.i, o.seq, o.key, o.op, o.size, o.cond, o.now, o.expires, f.high, f.held, list_filter(f.held, lambda x: x.key = o.key)[1] AS own FROM f JOIN o ON o.namespace = f.namespace AND o.i = f.i + 1))))
+ SELECT namespace, seq, key, op, error_code, revision, '' AS evicted, len(held) AS entries, coalesce(list_sum(list_transform(held, lambda x: x.size)), 0)::BIGINT AS bytes FROM f WHERE i > 0"""
+
 CATALOGUE: dict[str, tuple[Callable, str | None]] = {
     "s01_tokens_per_doc": (s01_tokens_per_doc, f"WITH {_TOKENS} SELECT key, len(words) AS doc_len FROM d"),
     "s02_term_df": (s02_term_df, f"WITH {_POST} SELECT term, count(*) AS df FROM p GROUP BY term"),
@@ -637,6 +785,22 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
     "r02_recall_tag_time": (_recall(Filters(tag="src3", from_ms=BASE_MS + 10, to_ms=BASE_MS + 700)), _page(f"tag = 'src3' AND occurred_at_ms BETWEEN {BASE_MS + 10} AND {BASE_MS + 700}")),
     "r03_recall_literal": (_recall(Filters(), "The Heat"), _page("contains(lower(content), 'the') AND contains(lower(content), 'heat')")),
     "r04_recall_page_two": (_recall(Filters(topic="en"), "", (BASE_MS + 500, "doc/500"), 30), _page(f"topic = 'en' AND (occurred_at_ms < {BASE_MS + 500} OR (occurred_at_ms = {BASE_MS + 500} AND key < 'doc/500'))", 30)),
+    "r05_recall_bytes": (
+        r05_recall_bytes,
+        f"""WITH {_MEM}, t AS (SELECT key, occurred_at_ms, strlen(content) AS size FROM m WHERE topic = 'en' ORDER BY occurred_at_ms DESC, key DESC LIMIT 100)
+ SELECT key, occurred_at_ms, used FROM (SELECT key, occurred_at_ms, sum(size) OVER (ORDER BY occurred_at_ms DESC, key DESC)::BIGINT AS used FROM t) WHERE used <= 16384""",
+    ),
+    "r06_recall_bounded": (
+        r06_recall_bounded,
+        f"""WITH {_MEM}, t AS (SELECT * FROM m WHERE topic = 'en' ORDER BY occurred_at_ms DESC, key DESC LIMIT 150), z AS (SELECT key FROM t ORDER BY occurred_at_ms, key LIMIT 1)
+ SELECT t.key, t.occurred_at_ms, (SELECT key FROM z) AS last_key FROM t WHERE contains(lower(content), 'heat')""",
+    ),
+    "r07_recall_topic_tag": (_recall(Filters(topic="en", tag="SRC1 ")), _page("topic = 'en' AND tag = 'src1'")),
+    "s13_index_update": (
+        s13_index_update,
+        f"""WITH mm AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Fresh words of ' || lang ELSE text END AS text FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 <> 0),
+ x AS (SELECT doc_id, unnest({_sql_words("text")}) AS term FROM mm) SELECT term, count(DISTINCT doc_id) AS df FROM x GROUP BY term""",
+    ),
     "m01_admission": (m01_admission, f"WITH {_MEM} SELECT key, CASE WHEN strlen(content) NOT BETWEEN 1 AND 16384 THEN 'invalid_content' END AS error_code FROM m"),
     "m02_index_entries": (
         m02_index_entries,
@@ -652,13 +816,13 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
     "k03_live_at": (k03_live_at, f"WITH {_LATEST} SELECT namespace, count(*) AS n, max(revision) AS revision FROM r WHERE coalesce(expires_at_ms > {NOW_MS}, true) GROUP BY namespace"),
     "k04_latest_per_key": (k04_latest_per_key, f"WITH {_LATEST} SELECT namespace, key, revision, event_type FROM r"),
     "k05_usage": (k05_usage, f"WITH {_LATEST} SELECT namespace, count(*) AS entries, sum(strlen(key) + strlen(value))::BIGINT AS bytes FROM r GROUP BY namespace"),
-    "k06_expired_batch": (k06_expired_batch, f"WITH {_LATEST} SELECT namespace, key, expires_at_ms, revision FROM r WHERE expires_at_ms <= {NOW_MS} ORDER BY expires_at_ms, revision, namespace, key LIMIT 25"),
+    "k06_expired_batch": (k06_expired_batch, f"WITH {_LATEST} SELECT namespace, key, expires_at_ms, revision FROM r WHERE expires_at_ms <= {LATER_MS} ORDER BY expires_at_ms, revision, namespace, key LIMIT 25"),
     "k07_fifo_kept": (
         k07_fifo_kept,
         f"""WITH {_LATEST}, n AS (SELECT namespace, key, inserted, count(*) OVER w AS n, sum(strlen(key) + strlen(value)) OVER w AS used FROM r
  WINDOW w AS (PARTITION BY namespace ORDER BY inserted DESC ROWS UNBOUNDED PRECEDING)) SELECT namespace, key, inserted FROM n WHERE n <= 20 AND used <= 170""",
     ),
-    "k08_put_fold": (k08_put_fold, None),
+    "k08_put_fold": (k08_put_fold, _SQL_FOLD),
     "k09_puts_and_deletes": (
         k09_puts_and_deletes,
         """WITH o AS (SELECT 'n' || (user_id % 4) AS namespace, 'user/' || user_id AS key, props AS value, event_type, event_id FROM events WHERE event_type <> 'signup'),
@@ -682,10 +846,24 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
         c03_prunable,
         """SELECT 'c' || conv_id AS namespace, 'c' || conv_id || '-' || turn AS id FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS z FROM conversations WHERE role = 'assistant' AND trim(text) <> '') WHERE z > 1""",
     ),
-    "c04_all_reference_status": (c04_all_reference_status, None),
-    "l01_receipts": (l01_receipts, None),
-    "l02_profile": (l02_profile, None),
-    "l03_slots": (l03_slots, None),
+    "c04_all_reference_status": (
+        c04_all_reference_status,
+        f"""WITH {_LATEST}, f AS (SELECT namespace, CASE WHEN revision % 50 = 0 THEN key || '-gone' ELSE key END AS key, revision FROM l),
+ v AS (SELECT namespace, key, revision AS c FROM r WHERE coalesce(expires_at_ms > {NOW_MS}, true))
+ SELECT f.namespace, f.key, f.revision, CASE WHEN f.namespace = 'n3' THEN 'forbidden' WHEN c IS NULL THEN 'missing' WHEN c = f.revision THEN 'available' ELSE 'stale' END AS status FROM f LEFT JOIN v ON f.namespace = v.namespace AND f.key = v.key""",
+    ),
+    "l01_receipts": (l01_receipts, f"{_SQL_SLOTS} SELECT 'personal' AS scope, entity, attribute, seq, status, false AS replayed, taken AS revision, state FROM f"),
+    "l02_profile": (l02_profile, f"{_SQL_SLOTS}, {_SLOT_ROWS} SELECT * FROM z WHERE state = 'active' ORDER BY last_confirmed_at_ms DESC, entity DESC, attribute DESC LIMIT 100"),
+    "l03_slots": (l03_slots, f"{_SQL_SLOTS}, {_SLOT_ROWS} SELECT * FROM z"),
+    "l06_profile_bytes": (
+        l06_profile_bytes,
+        f"""{_SQL_SLOTS}, {_SLOT_ROWS}, t AS (SELECT * FROM z WHERE state = 'active' ORDER BY last_confirmed_at_ms DESC, entity DESC, attribute DESC LIMIT 100),
+ j AS (SELECT *, strlen('{{"entity":"' || entity || '","attribute":"' || attribute || '","value":"' || value || '","revision":' || revision || '}}') + 1 AS size FROM t),
+ w AS (SELECT *, 29 + sum(size) OVER (ORDER BY last_confirmed_at_ms DESC, entity DESC, attribute DESC)::BIGINT AS used FROM j)
+ SELECT entity, attribute, value, revision, used, (SELECT max(used) FROM w) > 2048 AS truncated FROM w WHERE used <= 2048""",
+    ),
+    "l07_slot_keys": (l07_slot_keys, f"""WITH {_PROPOSALS} SELECT seq, 'mc/' || sha256('["personal","' || entity || '","' || attribute || '"]') AS slot_key FROM pr"""),
+    "l08_context": (l08_context, None),
     "l04_first_two": (
         l04_first_two,
         f"""WITH {_PROPOSALS}, n AS (SELECT *, row_number() OVER w AS n, lag(value) OVER w AS v0, lag(ms) OVER w AS a0 FROM pr WINDOW w AS (PARTITION BY entity, attribute ORDER BY seq))
@@ -719,7 +897,33 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
         e08_rates,
         f"SELECT count(*) AS n, round(avg((strlen(text) > 16384)::INT), 9) AS truncated_rate, round(avg((len({_sql_words('text')}) = 0)::INT), 9) AS failure_rate FROM documents",
     ),
-    "e09_context": (e09_context, None),
+    "e09_context": (
+        e09_context,
+        f"""WITH {_sql_batch()}, h AS (SELECT query_id, rank, source AS source_id, chr(10) || '[Source ' || source || ', part 0]' || chr(10) || text AS text FROM rk JOIN documents ON key = 'doc/' || doc_id),
+ fr AS (SELECT *, min(rank) OVER (PARTITION BY query_id, source_id) AS first, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS words FROM h),
+ so AS (SELECT * FROM fr QUALIFY dense_rank() OVER (PARTITION BY query_id ORDER BY first) <= 3),
+ us AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used FROM so)
+ SELECT query_id, rank, source_id, words, used, least(words, 500 - used) AS words_kept FROM us WHERE used < 500""",
+    ),
+    "e10_ranking_figures": (
+        e10_ranking_figures,
+        f"""WITH {_sql_metrics()}, c AS (SELECT query_id, count(*) FILTER (rank <= 1) AS f1, count(*) FILTER (rank <= 5) AS f5, count(*) FILTER (rank <= 10) AS f10 FROM rk JOIN qr ON rk.query_id = qr.query_id AND rk.key = qr.doc_id GROUP BY rk.query_id)
+ SELECT q.item_id AS query_id, round(CASE WHEN positives IS NOT NULL THEN coalesce(f1 / positives, 0) END, 9) AS recall_1, round(CASE WHEN positives IS NOT NULL THEN coalesce(f5 / positives, 0) END, 9) AS recall_5,
+ round(CASE WHEN positives IS NOT NULL THEN coalesce(f10 / positives, 0) END, 9) AS recall_10, round(CASE WHEN positives IS NOT NULL THEN coalesce(dcg / idcg, 0) END, 9) AS ndcg, round(CASE WHEN positives IS NOT NULL THEN coalesce(1e0 / first, 0) END, 9) AS mrr
+ FROM benchmark q LEFT JOIN i ON q.item_id = i.query_id LEFT JOIN got ON q.item_id = got.query_id LEFT JOIN c ON q.item_id = c.query_id""".replace("FROM rk JOIN qr ON rk.query_id = qr.query_id AND rk.key = qr.doc_id GROUP BY rk.query_id", "FROM (SELECT rk.query_id, rank FROM rk JOIN qr ON rk.query_id = qr.query_id AND rk.key = qr.doc_id) GROUP BY query_id"),
+    ),
+    "e11_run_check": (
+        e11_run_check,
+        f"""WITH {_sql_batch()} SELECT query_id, key AS doc_id, 11 - rank AS run_score, lang <> 'en' AS outside FROM rk JOIN documents ON key = 'doc/' || doc_id""",
+    ),
+    "e12_answer_summary": (
+        e12_answer_summary,
+        "SELECT source, count(*) AS questions, round(avg(quality), 9) AS qa_score, count(*) FILTER (quality >= 1) AS correct FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (source)",
+    ),
+    "e13_answerable": (
+        e13_answerable,
+        f"WITH {_QRELS}, p AS (SELECT query_id, doc_id FROM qr WHERE gain > 1) SELECT item_id AS query_id FROM benchmark WHERE item_id IN (SELECT query_id FROM p) AND item_id NOT IN (SELECT query_id FROM p JOIN documents ON p.doc_id = 'doc/' || documents.doc_id WHERE source = 'src0')",
+    ),
     "d01_session_join": (d01_session_join, "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id"),
     "d02_chunks": (
         d02_chunks,
@@ -747,8 +951,8 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
  WINDOW w AS (PARTITION BY event_type ORDER BY (epoch_us(ts) // 1000) / 1000e0 RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)""",
     ),
     "g05_status_totals": (g05_status_totals, "SELECT event_type AS status, count(*) AS n, sum(floor(value)::BIGINT)::BIGINT AS charged, sum(ceil(value)::BIGINT)::BIGINT AS reserved FROM events GROUP BY 1"),
-    "g06_admission": (g06_admission, None),
-    "g07_budget": (g07_budget, None),
+    "g06_admission": (g06_admission, _SQL_ADMISSION),
+    "g07_budget": (g07_budget, _SQL_BUDGET),
     "g09_resources": (
         g09_resources,
         "SELECT event_type, max(value) AS peak_memory, max(strlen(props)) AS peak_size, round(sum(event_id) / sum(user_id + 1)::DOUBLE, 9) AS rate FROM events GROUP BY 1",
@@ -769,9 +973,21 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
  CASE WHEN event_id % 5 <> 0 THEN event_id + event_id * 1000 END AS deadline_ms, epoch_ms(make_timestamp(2023, 5, event_id % 28 + 1, 13, 56, 0)) AS session_ms, event_id AS natural,
  CASE WHEN event_id % 2 = 0 THEN 'application/json' ELSE 'application/octet-stream' END AS content_type, sha256(props) AS digest FROM events""",
     ),
+    "x03_formats": (
+        x03_formats,
+        f"""SELECT doc_id, left(array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: NOT list_contains([{", ".join(f"'{w}'" for w in STOP_WORDS)}], w))[1:8], ' '), 256) AS keywords,
+ CASE WHEN doc_id % 2 = 0 THEN 'plain ' || doc_id ELSE base64(unhex('ff' || CASE WHEN doc_id % 3 = 0 THEN '00' ELSE 'fe' END)) END AS shown, CASE doc_id % 4 WHEN 0 THEN 5e-1 WHEN 1 THEN 1e0 END AS score FROM documents""",
+    ),
+    "k13_undeclared": (k13_undeclared, "SELECT DISTINCT 'n' || (user_id % 4) AS namespace FROM events WHERE user_id % 4 IN (0, 3)"),
     "x02_releases": (x02_releases, "SELECT '1.' || event_id % 9 || '.0' AS version, event_type AS platform, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL"),
     "st01_stream_windows": (st01_stream_windows, "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL"),
-    "st02_stream_lifecycle": (st02_stream_lifecycle, None),
+    "st02_stream_lifecycle": (st02_stream_lifecycle, f"{_SQL_SLOTS} SELECT entity, attribute, seq, status FROM f"),
+    "st03_stream_pointers": (
+        st03_stream_pointers,
+        """SELECT 'c' || conv_id AS namespace, 's' || conv_id AS session_id, 'c' || conv_id || '-' || max(turn) AS id, max(turn) AS latest_revision FROM conversations WHERE role = 'assistant' GROUP BY conv_id""",
+    ),
+    "st04_stream_cleanup": (st04_stream_cleanup, f"WITH {_LOG} SELECT namespace, key, revision FROM l WHERE coalesce(expires_at_ms > {NOW_MS}, true)"),
+    "st05_stream_admission": (st05_stream_admission, f"SELECT account, seq, admitted FROM ({_SQL_ADMISSION})"),
     "g08_call_cost": (
         g08_call_cost,
         """SELECT event_id, round(((event_id * 100 - event_id % 50) * CASE WHEN event_id * 100 > 272000 THEN 25e-2 ELSE 125e-3 END + (event_id % 50) * CASE WHEN event_id * 100 > 272000 THEN 25e-3 ELSE 125e-4 END

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
+from ..operators.ledger import ADMISSION, Sliding
 from ..operators.lifecycle import RECEIPTS, Slot, _frame, step
 
 _STATE = "body string"
@@ -38,6 +39,20 @@ def lifecycle_stream(proposals: DataFrame) -> DataFrame:
     return grouped.applyInPandasWithState(run, RECEIPTS, _STATE, "append", "NoTimeout")
 
 
+def admission_stream(events: DataFrame, seconds: int, most: int, units: int) -> DataFrame:
+    """Sliding admission over a stream; an account's state is what it admitted within the window."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        admit = Sliding(seconds, most, units, [(a, n) for a, n in json.loads(state.get[0])] if state.exists else ())
+        rows = pd.concat(list(frames)).sort_values("seq")
+        out = [admit(row) for row in rows.itertuples(index=False)]
+        state.update((json.dumps([(float(a), int(n)) for a, n in admit.held]),))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in ADMISSION.split(", ")])
+
+    grouped = events.select("account", "seq", "at", "units").groupBy("account")
+    return grouped.applyInPandasWithState(run, ADMISSION, _STATE, "append", "NoTimeout")
+
+
 def expiring_counts(events: DataFrame, event_time: str, window: str, delay: str, *by: str) -> DataFrame:
     """Counts per window and key with bounded state: an extension for event streams."""
     return events.withWatermark(event_time, delay).groupBy(F.window(event_time, window), *by).agg(F.count("*").alias("n"))
