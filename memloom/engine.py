@@ -182,12 +182,14 @@ class Engine:
         """A stored index of the namespace's memories as they are now."""
         return SearchIndex.build(self.memories(namespace), path)
 
-    def _page_bytes(self, max_bytes: int) -> int:
+    def _page_bytes(self, max_bytes: int | None) -> int:
+        if max_bytes is None:
+            return min(16_384, self.policy.limits.max_result_bytes)
         if not 1024 <= max_bytes <= self.policy.limits.max_result_bytes:
             raise EngineError("invalid", f"max_bytes must be 1024..{self.policy.limits.max_result_bytes}")
         return max_bytes
 
-    def recall(self, namespace: str, filters: Filters = Filters(), query: str = "", limit: int = 20, cursor: str | None = None, max_bytes: int = 16_384, bounded: bool = False) -> tuple[list[dict], str | None]:
+    def recall(self, namespace: str, filters: Filters = Filters(), query: str = "", limit: int = 20, cursor: str | None = None, max_bytes: int | None = None, bounded: bool = False) -> tuple[list[dict], str | None]:
         """A page by event time within `max_bytes`. A bounded one looks at the policy's number of candidates
         at most; it may be empty and still have a cursor."""
         bound = cursors.binding("recall", namespace, repr(filters), query)
@@ -205,7 +207,7 @@ class Engine:
             following = None if rest.isEmpty() else position(end)
         return page, following
 
-    def search(self, namespace: str, query: SearchQuery, cursor: str | None = None, max_bytes: int = 16_384, index: SearchIndex | None = None) -> tuple[list[dict], str | None]:
+    def search(self, namespace: str, query: SearchQuery, cursor: str | None = None, max_bytes: int | None = None, index: SearchIndex | None = None) -> tuple[list[dict], str | None]:
         """A page by score within `max_bytes`; a cursor from before a write is refused. With a stored index
         only the postings of the query's terms are read."""
         state = self.generation(namespace) if index is None else index.generation

@@ -24,9 +24,16 @@ def accounted(calls: DataFrame) -> DataFrame:
 
 
 def trailing(events: DataFrame, seconds: int = RATE_WINDOW_S) -> DataFrame:
-    """Events and units in the trailing window of each event (account, at in seconds, units)."""
-    window = Window.partitionBy("account").orderBy("at").rangeBetween(-seconds, 0)
-    return events.withColumns({"n": F.count("*").over(window), "total": F.sum("units").over(window)})
+    """Events and units in the trailing window of each event (account, at in seconds, units).
+
+    Time is cut into slots of a window's length; an event counts in its own slot and is shown to the
+    next one, so that a task holds two slots of an account and not all of it.
+    """
+    slot = F.floor(F.col("at") / seconds)
+    dealt = events.withColumn("slot_", F.explode(F.array(slot, slot + 1)))
+    window = Window.partitionBy("account", "slot_").orderBy("at").rangeBetween(-seconds, 0)
+    counted = dealt.withColumns({"n": F.count("*").over(window), "total": F.sum("units").over(window)})
+    return counted.where(F.col("slot_") == slot).drop("slot_")
 
 
 def _streamed(rows: DataFrame, fold, schema: str) -> DataFrame:
@@ -105,7 +112,7 @@ def snapshot_deltas(snapshots: DataFrame) -> DataFrame:
     # one row a snapshot
     order = ids.withColumn("before_id", F.lag("snapshot_id").over(Window.orderBy("snapshot_id")))
     old = snapshots.select(F.col("snapshot_id").alias("before_id"), "asset", F.col("count").alias("old"))
-    joined = snapshots.join(F.broadcast(order), "snapshot_id").join(old, ["before_id", "asset"], "left")
+    joined = snapshots.join(order, "snapshot_id").join(old, ["before_id", "asset"], "left")
     change = F.col("count") - F.col("old")
     return joined.select("snapshot_id", "asset", "count", change.alias("change"), F.coalesce(change < 0, F.lit(False)).alias("decreased"))
 

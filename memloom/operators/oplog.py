@@ -13,9 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..sources.config import Namespace
+from .admission import record_error
 
 
 @dataclass
@@ -183,6 +185,27 @@ def _sorted(ops: DataFrame) -> DataFrame:
     return ops.select("namespace", "seq", "key", "op", "value", "ttl_seconds", "condition", "now_ms").repartition("namespace").sortWithinPartitions("namespace", "seq")
 
 
+def plain_records(ops: DataFrame, policy: Namespace, block: int = 1 << 20) -> DataFrame:
+    """The records that a log of unconditional puts and deletes without TTL leaves, where no quota can
+    bind: nothing depends on order but the revisions, and these are counts of the puts before.
+
+    They are counted in blocks of `block` sequence numbers, and the blocks' sums added up, so that a
+    namespace of any size is dealt over all tasks.
+    """
+    valid = record_error(F.col("key"), F.col("value"), policy.value_kind, policy.max_key_bytes, policy.max_value_bytes).isNull()
+    puts = ops.where((F.col("op") == "put") & valid).withColumn("block", F.floor(F.col("seq") / block))
+    blocks = puts.groupBy("namespace", "block").agg(F.count("*").alias("n"))
+    before = blocks.withColumn("before", F.sum("n").over(Window.partitionBy("namespace").orderBy("block")) - F.col("n")).drop("n")
+    inner = F.row_number().over(Window.partitionBy("namespace", "block").orderBy("seq"))
+    numbered = puts.withColumn("inner", inner).join(before, ["namespace", "block"])
+    put = numbered.select("namespace", "key", "seq", "value", (F.col("before") + F.col("inner")).alias("revision"), F.col("now_ms").alias("written_at_ms"))
+    gone = ops.where(F.col("op").isin("delete", "forget")).groupBy("namespace", "key").agg(F.max("seq").alias("gone"))
+    # a record counts as inserted when it was first put behind its last delete
+    kept = put.join(gone, ["namespace", "key"], "left").where(F.col("gone").isNull() | (F.col("seq") > F.col("gone")))
+    newest = kept.groupBy("namespace", "key").agg(F.max_by(F.struct("value", "revision", "written_at_ms"), "seq").alias("r"), F.min("revision").alias("inserted"))
+    return newest.select("namespace", "key", "r.value", "r.revision", "r.written_at_ms", F.lit(None).cast("long").alias("expires_at_ms"), "inserted")
+
+
 def fold_outcomes(ops: DataFrame, policy: Namespace) -> DataFrame:
     """One row per operation: its error code or revision, what it evicted, and the usage behind it."""
     return _sorted(ops).mapInPandas(_fold(policy, True), OUTCOME)

@@ -56,11 +56,16 @@ def compacted(records: DataFrame, now_ms: int) -> DataFrame:
 
 
 def fifo_kept(records: DataFrame, max_entries: int, max_bytes: int) -> DataFrame:
-    """What oldest-first eviction leaves of each namespace: the newest whose running totals fit."""
-    newest = Window.partitionBy("namespace").orderBy(F.desc("inserted")).rowsBetween(Window.unboundedPreceding, 0)
+    """What oldest-first eviction leaves of each namespace: the newest whose running totals fit.
+
+    The count is cut by rank first, which every task does with its own rows before they move; the sum
+    then runs over `max_entries` rows a namespace.
+    """
+    newest = Window.partitionBy("namespace").orderBy(F.desc("inserted"))
     size = F.octet_length("key") + F.octet_length("value")
-    ranked = records.withColumns({"n": F.count("*").over(newest), "used": F.sum(size).over(newest)})
-    return ranked.where((F.col("n") <= max_entries) & (F.col("used") <= max_bytes)).drop("n", "used")
+    few = records.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= max_entries)
+    used = F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, 0))
+    return few.withColumn("used", used).where(F.col("used") <= max_bytes).drop("n", "used")
 
 
 def undeclared(persisted: DataFrame, declared: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def with_terms(memories: DataFrame, stemmed: bool = True, text: str = "content")
 def _with_hits(memories: DataFrame, terms: list[str], stemmed: bool) -> DataFrame:
     """Adds `doc_len` and `hits`: the entries (term, tf) of the given terms only. Only words that can
     have one of their stems are stemmed at all."""
-    base = memories.withColumn("words_", words(F.col("content"))).withColumn("doc_len", F.size("words_").cast("long"))
+    base = memories.withColumn("words_", words(F.coalesce("content", F.lit("")))).withColumn("doc_len", F.size("words_").cast("long"))
     if not terms:
         return base.withColumn("hits", F.array().cast("array<struct<term:string,tf:long>>")).drop("words_")
     if not stemmed:

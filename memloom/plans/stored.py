@@ -58,7 +58,7 @@ class SearchIndex:
         return F.pmod(F.crc32(term.cast("binary")), F.lit(self.buckets)).cast("int")
 
     def _write(self, memories: DataFrame) -> None:
-        own = memories.select("key", words(F.col("content")).alias("w")).select("key", F.size("w").cast("long").alias("doc_len"), F.concat(F.array(F.lit("")), "w").alias("w"))
+        own = memories.select("key", words(F.coalesce("content", F.lit(""))).alias("w")).select("key", F.size("w").cast("long").alias("doc_len"), F.concat(F.array(F.lit("")), "w").alias("w"))
         # the outer form: the other one repeats the words' expression in a filter of its own
         tokens = own.select("key", "doc_len", F.explode_outer("w").alias("term"))
         posted = tokens.groupBy("term", "key", "doc_len").agg(F.count("*").alias("tf"))

@@ -261,7 +261,7 @@ def k08_put_fold(spark, sf):
 def k09_puts_and_deletes(spark, sf):
     """Records left by unconditional puts and deletes."""
     ops = operations(spark, sf).where("op != 'cleanup'").withColumns({"condition": F.lit("any"), "ttl_seconds": F.lit(None).cast("long")})
-    return oplog.fold_records(ops, PLAIN).select("namespace", "key", F.col("value").cast("string").alias("value"), "revision")
+    return oplog.plain_records(ops, PLAIN).select("namespace", "key", F.col("value").cast("string").alias("value"), "revision")
 
 
 def k10_grants(spark, sf):
