@@ -34,6 +34,11 @@ def json_valid(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
 
 
+def json_field(text: Column, *path: str) -> Column:
+    """A field of a record's metadata as text; null where the text is no JSON or has no such field."""
+    return F.get_json_object(text, "$" + "".join(f"['{p}']" for p in path))
+
+
 def session_millis(text: Column) -> Column:
     """Epoch milliseconds of dates like '1:56 pm on 8 May, 2023', in UTC."""
     return F.unix_millis(F.to_timestamp(F.regexp_replace(F.upper(text), " ON ", " "), "h:mm a d MMMM, yyyy"))

@@ -67,7 +67,7 @@ class SearchIndex:
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/gen={self.generation}")
         terms = self._segment().where((F.col("gen") == self.generation) & (F.col("bucket") != DOCUMENTS)).select("term").distinct()
         vocabulary = terms.select("term", stem_en("term").alias("stem"))
-        vocabulary.repartitionByRange(max(1, self.buckets // 8), "stem").sortWithinPartitions("stem").write.mode("overwrite").parquet(f"{self.path}/words/gen={self.generation}")
+        vocabulary.repartition(max(1, self.buckets // 8), "stem").sortWithinPartitions("stem").write.mode("overwrite").parquet(f"{self.path}/words/gen={self.generation}")
 
     def _segment(self) -> DataFrame:
         return self.spark.read.schema(_POSTING).option("basePath", f"{self.path}/postings").parquet(f"{self.path}/postings").where(F.col("gen") <= self.generation)

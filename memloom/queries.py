@@ -18,7 +18,7 @@ from .functions.text import STOP_WORDS, fixed_chunks, keyword_query, labels, tri
 from .operators import admission, checkpoints, evaluation, index, ledger, lifecycle, oplog, records
 from .plans.search import Filters, SearchQuery, byte_page, recall, recall_candidates, with_terms
 from .plans.stored import SearchIndex
-from .sources import sinks
+from .sources import readers, sinks
 from .sources.config import Namespace
 from .streaming import folds
 
@@ -484,9 +484,28 @@ def e13_answerable(spark, sf):
 
 
 def d01_session_join(spark, sf):
-    c = read(spark, sf, "conversations")
-    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line"))))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("content"))
+    return readers.session_documents(read(spark, sf, "conversations"), "conv_id", "turn")
+
+
+def d05_dated_sessions(spark, sf):
+    """Sessions under their date; every third has none."""
+    day = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("8 May, 20"), (F.col("conv_id") % 80 + 10).cast("string")))
+    return readers.session_documents(read(spark, sf, "conversations").withColumn("day", day), "conv_id", "turn", "day")
+
+
+def x04_metadata(spark, sf):
+    """Fields of the records' metadata; broken texts have none."""
+    e = read(spark, sf, "events")
+    text = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("{broken "), "props")).otherwise(F.col("props"))
+    return e.select("event_id", scalar.json_field(text, "k").alias("k"), scalar.json_field(text, "none").alias("none"))
+
+
+def l09_profile_page_two(spark, sf):
+    """The page behind the profile's first five facts."""
+    slots = sinks.kept(lifecycle.fold_slots(proposals(spark, sf)), "slots")
+    last = lifecycle.profile(slots, NOW_MS, 5).collect()[-1]
+    page = lifecycle.profile(slots, NOW_MS, 5, (last["last_confirmed_at_ms"], last["entity"], last["attribute"]))
+    return page.select("entity", "attribute", "last_confirmed_at_ms")
 
 
 def d02_chunks(spark, sf):
@@ -925,6 +944,15 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
         f"WITH {_QRELS}, p AS (SELECT query_id, doc_id FROM qr WHERE gain > 1) SELECT item_id AS query_id FROM benchmark WHERE item_id IN (SELECT query_id FROM p) AND item_id NOT IN (SELECT query_id FROM p JOIN documents ON p.doc_id = 'doc/' || documents.doc_id WHERE source = 'src0')",
     ),
     "d01_session_join": (d01_session_join, "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id"),
+    "d05_dated_sessions": (
+        d05_dated_sessions,
+        "SELECT conv_id, CASE WHEN conv_id % 3 <> 0 THEN '8 May, 20' || (conv_id % 80 + 10) || chr(10) ELSE '' END || string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id",
+    ),
+    "x04_metadata": (x04_metadata, "SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN json_extract_string(props, '$.k') END AS k, NULL::VARCHAR AS none FROM events"),
+    "l09_profile_page_two": (
+        l09_profile_page_two,
+        f"{_SQL_SLOTS}, {_SLOT_ROWS} SELECT entity, attribute, last_confirmed_at_ms FROM z WHERE state = 'active' ORDER BY last_confirmed_at_ms DESC, entity DESC, attribute DESC LIMIT 5 OFFSET 5",
+    ),
     "d02_chunks": (
         d02_chunks,
         """SELECT doc_id, s // 9500 AS part, md5(substring(text, s + 1, 9500)) AS md5 FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 9500)) AS s FROM documents)""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import uuid
@@ -26,6 +27,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{(root or 'file:///tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder until the interpreter's end, so that it is computed once."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    atexit.register(remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def file_states(spark: SparkSession, paths: list[str]) -> tuple:
     """Path, size and time of change of files."""
     states = []
