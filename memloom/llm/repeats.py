@@ -23,8 +23,8 @@ once, and only anchors with several different units enter the passes.
 
 Defined results: a null text is empty; texts under 50 bytes lose nothing; rows that repeat an id are
 judged each on its own and never against one another (each row has a name of its own); a null id
-counts as larger than all ids; an empty table gives an empty result; only the id and text columns
-are read by name.
+counts as larger than all ids; ids are integers; an empty table gives an empty result; only the id and
+text columns are read by name. A task holds a single text, however long, about five times over.
 """
 
 from __future__ import annotations
@@ -64,6 +64,8 @@ class Limits:
 
     #: Bytes that are hashed at once; longer texts are cut into segments that overlap by a window.
     segment: int = 256 << 10
+    #: Bytes whose units are held at once.
+    at_once: int = 4 << 20
     #: Bytes of text that a bucket stands for, and bytes of different units that it may hold.
     bucket: int = 8 << 20
     held: int = 32 << 20
@@ -159,6 +161,21 @@ def segments(sizes: list[int], limit: int, window: int = THRESHOLD) -> Iterator[
         yield held
 
 
+def runs_of(sizes: list[int], limits: Limits) -> Iterator[list[list[tuple[int, int, int]]]]:
+    """Segments, a shard's worth at a time: all of a shard, or a part of a very long text."""
+    held: list[list[tuple[int, int, int]]] = []
+    size = 0
+    for parts in segments(sizes, limits.segment):
+        own = sum(b - a for _, a, b in parts)
+        if held and size + own > limits.at_once:
+            yield held
+            held, size = [], 0
+        held.append(parts)
+        size += own
+    if held:
+        yield held
+
+
 class Hot:
     """The hot anchors; a table of their leading bits answers for most others."""
 
@@ -336,8 +353,8 @@ def packed_shards(batches: Iterable[pa.RecordBatch], limits: Limits) -> Iterator
         head = (np.array([ids[i] or 0 for i in order], np.int64), np.array([ids[i] is None for i in order], np.uint8), np.array(list(map(len, texts)), np.uint64))
         common = None
         if name % limits.sampled == 0:
-            parts = [u for p in segments(list(map(len, texts)), limits.segment) for u in units_of(p, texts, Hot())]
-            anchors, count = np.unique(different_anchors(parts), return_counts=True)
+            seen = [different_anchors([u for p in parts for u in units_of(p, texts, Hot())]) for parts in runs_of(list(map(len, texts)), limits)]
+            anchors, count = np.unique(np.concatenate([*seen, np.zeros(0, np.uint64)]), return_counts=True)
             common = pack(anchors[count > 1], count[count > 1].astype(np.int64))
         values = (name, size, pack(*head, tail=b"".join(texts)), common)
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
@@ -357,8 +374,6 @@ def packed_shards(batches: Iterable[pa.RecordBatch], limits: Limits) -> Iterator
 
 def different_anchors(parts: list[Units]) -> np.ndarray:
     """The anchor of each different unit."""
-    if not parts:
-        return np.zeros(0, np.uint64)
     units = Units.joined(parts)
     return units.anchor[list({b: i for i, b in enumerate(units.body)}.values())]
 
@@ -400,16 +415,16 @@ def packed_units(deal: Deal, shard: int, units: Units, ids: np.ndarray, null: np
 def shard_anchors(shard: int, payload: bytes, deal: Deal, hot: Hot, limits: Limits) -> Iterator[Row]:
     """A shard's anchors by bucket, in rising order."""
     _, _, raw = read_shard(payload)
-    parts = [u.anchor for p in segments(list(map(len, raw)), limits.segment) for u in units_of(p, raw, hot, bytes_too=False)]
-    if parts:
-        anchors = np.unique(np.concatenate(parts))
+    for run, parts in enumerate(runs_of(list(map(len, raw)), limits)):
+        anchors = np.unique(np.concatenate([u.anchor for p in parts for u in units_of(p, raw, hot, bytes_too=False)]))
         for bucket, at in by_key(deal.bucket(anchors)):
-            yield bucket % deal.parts, bucket, _ANCHORS, pack(anchors[at] >> _SENT, tail=shard.to_bytes(8, "little"))
+            yield bucket % deal.parts, bucket, _ANCHORS, pack(anchors[at] >> _SENT, tail=shard.to_bytes(8, "little") + run.to_bytes(4, "little"))
 
 
 def reduce_anchors(found: Iterable[Row], deal: Deal) -> Iterator[Row]:
-    """To each shard of a bucket, which of its anchors there another shard has too, as bits."""
-    shards: list[int] = []
+    """To each shard of a bucket, which of its anchors there another shard (or another run of a long
+    one) has too, as bits behind the numbers of the bucket and the run."""
+    shards: list[bytes] = []
     sent: list[np.ndarray] = []
 
     def reply(bucket: int) -> Iterator[Row]:
@@ -420,8 +435,9 @@ def reduce_anchors(found: Iterable[Row], deal: Deal) -> Iterator[Row]:
         shared = np.empty(len(every), np.bool_)
         shared[order] = again
         ends = np.cumsum([len(a) for a in sent])
-        for shard, bits in zip(shards, np.split(shared, ends[:-1]), strict=True):
-            yield deal.home(shard), shard, _SHARED, bucket.to_bytes(8, "little") + np.packbits(bits).tobytes()
+        for name, bits in zip(shards, np.split(shared, ends[:-1]), strict=True):
+            shard = int.from_bytes(name[:8], "little")
+            yield deal.home(shard), shard, _SHARED, bucket.to_bytes(8, "little") + name[8:] + np.packbits(bits).tobytes()
 
     now = -1
     for _, key, _, payload in found:
@@ -431,7 +447,7 @@ def reduce_anchors(found: Iterable[Row], deal: Deal) -> Iterator[Row]:
             sent.clear()
         now = key
         anchors, tail = unpack(payload, "u8")
-        shards.append(int.from_bytes(tail, "little"))
+        shards.append(tail)
         sent.append(anchors)
     if sent:
         yield from reply(now)
@@ -440,9 +456,15 @@ def reduce_anchors(found: Iterable[Row], deal: Deal) -> Iterator[Row]:
 def shard_units(shard: int, payload: bytes, replies: list[bytes], deal: Deal, hot: Hot, limits: Limits) -> Iterator[Row]:
     """A shard's different units of shared anchors by bucket, and what it can tell of the others itself."""
     ids, null, raw = read_shard(payload)
-    parts = [u for p in segments(list(map(len, raw)), limits.segment) for u in units_of(p, raw, hot)]
-    if not parts:
-        return
+    told: dict[int, dict[int, bytes]] = {}
+    for r in replies:
+        told.setdefault(int.from_bytes(r[8:12], "little"), {})[int.from_bytes(r[:8], "little")] = r[12:]
+    for run, parts in enumerate(runs_of(list(map(len, raw)), limits)):
+        found = [u for p in parts for u in units_of(p, raw, hot)]
+        yield from run_units(shard, found, ids, null, told[run], deal)
+
+
+def run_units(shard: int, parts: list[Units], ids: np.ndarray, null: np.ndarray, told: dict[int, bytes], deal: Deal) -> Iterator[Row]:
     units = Units.joined(parts)
     order = np.lexsort((units.offset, units.row))  # documents lie in order of their id
     units = units.take(order)
@@ -465,12 +487,11 @@ def shard_units(shard: int, payload: bytes, replies: list[bytes], deal: Deal, ho
         yield deal.home(shard), shard, _LINKS, pack(*(c.astype(k) for c, k in zip(columns, _LINK, strict=True)))
     anchors, at = np.unique(units.anchor, return_inverse=True)
     shared = np.zeros(len(anchors), np.bool_)
-    bits = {int.from_bytes(r[:8], "little"): np.frombuffer(r, np.uint8, offset=8) for r in replies}
     for bucket, places in by_key(deal.bucket(anchors)):
-        shared[places] = np.unpackbits(bits[bucket])[: len(places)]
+        shared[places] = np.unpackbits(np.frombuffer(told[bucket], np.uint8))[: len(places)]
     # anchors that several documents of this shard have
     owner = ranks(ids, null)[row]
-    least, most = np.full(len(anchors), len(raw)), np.zeros(len(anchors), np.int64)
+    least, most = np.full(len(anchors), len(ids)), np.zeros(len(anchors), np.int64)
     np.minimum.at(least, at, owner)
     np.maximum.at(most, at, owner)
     units = units.take(np.flatnonzero((known == me) & (shared | (least < most))[at]))
@@ -704,14 +725,23 @@ def finish(found: Iterable[Row]) -> Iterator[pa.RecordBatch]:
             marks, links = [], []
 
 
+def union_of(runs: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Which of n places some run first .. last covers."""
+    step = np.zeros(n + 1, np.int8)
+    if sum(len(a) for a, _ in runs):
+        first, last = (np.concatenate(x) for x in zip(*runs, strict=True))
+        order = np.argsort(first)
+        first, reach = first[order], np.maximum.accumulate(last[order])
+        head = np.flatnonzero(np.r_[True, first[1:] > reach[:-1] + 1])  # runs that touch are one
+        step[first[head]] = 1
+        step[reach[np.r_[head[1:], len(first)] - 1] + 1] = -1
+    return np.cumsum(step[:-1], dtype=np.int8).view(np.bool_)
+
+
 def _results(payload: bytes, marks: list[list[np.ndarray]], links: list[list[np.ndarray]]) -> pa.RecordBatch:
     ids, null, raw = read_shard(payload)
     base = np.cumsum([0, *(max(0, len(r) - THRESHOLD + 1) for r in raw)])  # of each text's windows
-    step = np.zeros(base[-1] + 1, np.int32)
-    for row, first, last in marks:
-        np.add.at(step, base[row] + first, 1)
-        np.add.at(step, base[row] + last + 1, -1)
-    gone = np.cumsum(step[:-1]) > 0
+    gone = union_of([(base[row] + first, base[row] + last) for row, first, last in marks], base[-1])
     for row, offset, span, row2, offset2 in links:  # equal units of one id share their verdict
         count = span.astype(np.int64) + 1
         there, _ = spread(base[row] + offset, count)

@@ -385,6 +385,7 @@ def check_repeats(spark, rows, limits=None):
 SHAPES = {
     "plain": repeats.Limits(),
     "short segments": repeats.Limits(segment=100, sorted_at_once=20),
+    "short runs": repeats.Limits(segment=60, at_once=200, sampled=1),
     "outgrown buckets": repeats.Limits(segment=300, held=400, sorted_at_once=1),
     "hot anchors": repeats.Limits(sampled=1, hot_units=0, hot_anchors=40, sorted_at_once=100),
     "all hot and outgrown": repeats.Limits(sampled=1, hot_units=0, hot_anchors=10_000, held=300),
@@ -429,6 +430,19 @@ def test_radix_passes():
     assert not len(repeats.digits_of(b"abc"))
 
 
+def test_union_of_runs():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60):
+        for k in (0, 1, 8):
+            first = rng.integers(0, n, k)
+            last = np.minimum(n - 1, first + rng.integers(0, 9, k))
+            want = np.zeros(n, np.bool_)
+            for a, b in zip(first, last, strict=True):
+                want[a : b + 1] = True
+            assert repeats.union_of([(first[:3], last[:3]), (first[3:], last[3:])], n).tolist() == want.tolist()
+    assert repeats.union_of([], 4).tolist() == [False] * 4
+
+
 def test_packing():
     a, b = np.arange(5, dtype=np.uint64) << np.uint64(40), np.arange(5, dtype=np.int32) - 2
     x, y, tail = repeats.unpack(repeats.pack(a, b, tail=b"xyz"), "u8", "i4")

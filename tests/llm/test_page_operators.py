@@ -216,6 +216,13 @@ def test_index_ranges(monkeypatch):
     assert warc.write_package(io.BytesIO(), iter([])) == [0]
 
 
+def test_very_long_pages(spark):
+    long = "<p>" + "ä" * 3_000_000
+    rows = [(1, "u", long), (2, "u", long), (3, "u", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(map(tuple, warc.warc_round_trip(spark, df).collect())) == sorted(round_trip(rows))
+
+
 def test_copies_beyond_the_broadcast(spark, sf_dir, monkeypatch):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     few = sorted(map(str, warc.warc_round_trip(spark, pages).collect()))
