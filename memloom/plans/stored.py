@@ -12,6 +12,7 @@ cursor belongs to.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from dataclasses import dataclass, replace
 
@@ -40,6 +41,8 @@ class SearchIndex:
     spark: SparkSession
     path: str
     buckets: int
+    #: Files of a bucket: a term of very many documents is written by as many tasks.
+    parts: int = 1
     generation: int = 0
     replaced: bool = False
 
@@ -50,7 +53,8 @@ class SearchIndex:
         if text_bytes is None:
             text_bytes = memories.agg(F.sum(F.octet_length("content"))).first()[0] or 0
         cores = spark.sparkContext.defaultParallelism
-        index = cls(spark, path.rstrip("/"), max(cores, min(MAX_BUCKETS, -(-text_bytes // BUCKET_BYTES))))
+        buckets = max(cores, min(MAX_BUCKETS, -(-text_bytes // BUCKET_BYTES)))
+        index = cls(spark, path.rstrip("/"), buckets, max(1, -(-text_bytes // (buckets * BUCKET_BYTES))))
         index._write(memories)
         return index
 
@@ -63,7 +67,8 @@ class SearchIndex:
         tokens = own.select("key", "doc_len", F.explode_outer("w").alias("term"))
         posted = tokens.groupBy("term", "key", "doc_len").agg(F.count("*").alias("tf"))
         bucket = F.when(F.col("term") == "", F.lit(DOCUMENTS)).otherwise(self._bucket(F.col("term")))
-        dealt = posted.withColumn("bucket", bucket).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term")
+        part = F.pmod(F.xxhash64("key"), F.lit(self.parts))
+        dealt = posted.withColumn("bucket", bucket).repartition(self.buckets * self.parts, F.col("bucket"), part).sortWithinPartitions("bucket", "term")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/gen={self.generation}")
         terms = self._segment().where((F.col("gen") == self.generation) & (F.col("bucket") != DOCUMENTS)).select("term").distinct()
         vocabulary = terms.select("term", stem_en("term").alias("stem"))
@@ -167,8 +172,8 @@ class SearchIndex:
         weighed = asked.withColumn("n_words", n_words).join(terms, "term").withColumn("weight", idf(F.lit(docs), F.col("df")) * salient)
         best = Window.partitionBy("query_id").orderBy(F.desc("weight"), "term")
         plan = weighed.withColumn("at", F.row_number().over(best)).where(F.col("at") <= MAX_TERMS).select("query_id", "term", "weight")
-        path = f"{self.path}/plans/{len(queries.columns)}-{queries.semanticHash() & 0xFFFFFFFF:08x}-{self.generation}"
-        plan.write.mode("overwrite").parquet(path)
+        path = f"{self.path}/plans/{uuid.uuid4().hex}"  # goes with the index
+        plan.write.parquet(path)
         plan = self.spark.read.parquet(path)
         few = plan.count() <= BROADCAST_PLAN
         part = F.col("weight") * saturation(F.col("tf").cast("double"), F.col("doc_len").cast("double"), F.lit(tokens / docs if docs else 1.0))

@@ -18,6 +18,7 @@ from .functions.text import STOP_WORDS, fixed_chunks, keyword_query, labels, tri
 from .operators import admission, checkpoints, evaluation, index, ledger, lifecycle, oplog, records
 from .plans.search import Filters, SearchQuery, byte_page, recall, recall_candidates, with_terms
 from .plans.stored import SearchIndex
+from .round_trips import ROUND_TRIPS
 from .sources import readers, sinks
 from .sources.config import Namespace
 from .streaming import folds
@@ -183,7 +184,7 @@ def r05_recall_bytes(spark, sf):
 def r06_recall_bounded(spark, sf):
     """Hits among the next 150 candidates, and the key that the following page goes on from."""
     hits, last = recall_candidates(memories(spark, sf), NOW_MS, Filters(topic="en"), "heat", 150)
-    return hits.select("key", "occurred_at_ms").crossJoin(F.broadcast(last.select(F.col("key").alias("last_key"))))  # one row
+    return hits.select("key", "occurred_at_ms", last.select("key").scalar().alias("last_key"))
 
 
 def _recall(filters: Filters, query: str = "", after=None, limit: int = 20):
@@ -359,7 +360,7 @@ def l07_slot_keys(spark, sf):
 
 
 def l08_context(spark, sf):
-    """Facts that answer a query (no SQL; a test against plain loops)."""
+    """Facts that answer a query."""
     return lifecycle.context(lifecycle.fold_slots(proposals(spark, sf)), "high purchase of user", NOW_MS).select("entity", "attribute", F.round("score", 9).alias("score"))
 
 
@@ -882,7 +883,14 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
  SELECT entity, attribute, value, revision, used, (SELECT max(used) FROM w) > 2048 AS truncated FROM w WHERE used <= 2048""",
     ),
     "l07_slot_keys": (l07_slot_keys, f"""WITH {_PROPOSALS} SELECT seq, 'mc/' || sha256('["personal","' || entity || '","' || attribute || '"]') AS slot_key FROM pr"""),
-    "l08_context": (l08_context, None),
+    "l08_context": (
+        l08_context,
+        f"""{_SQL_SLOTS}, {_SLOT_ROWS}, d AS (SELECT *, {_sql_words("content")} AS words FROM z), x AS (SELECT entity, attribute, len(words) AS doc_len, unnest(words) AS term FROM d),
+ st AS (SELECT count(*) AS docs, sum(len(words)) AS tokens FROM d), p AS (SELECT entity, attribute, doc_len, term, count(*) AS tf FROM x WHERE term IN ('high', 'purchase', 'user') GROUP BY ALL),
+ t AS (SELECT term, ln(1e0 + (docs - df + 5e-1) / (df + 5e-1)) AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), st),
+ s AS (SELECT entity, attribute, round(sum(weight * (tf * 2.2e0 / (tf + 1.2e0 * (2.5e-1 + 7.5e-1 * doc_len / (tokens::DOUBLE / docs))))), 9) AS score FROM p JOIN t USING (term), st GROUP BY ALL)
+ SELECT entity, attribute, score FROM s JOIN z USING (entity, attribute) WHERE state = 'active' ORDER BY score DESC, entity, attribute LIMIT 100""",
+    ),
     "l04_first_two": (
         l04_first_two,
         f"""WITH {_PROPOSALS}, n AS (SELECT *, row_number() OVER w AS n, lag(value) OVER w AS v0, lag(ms) OVER w AS a0 FROM pr WINDOW w AS (PARTITION BY entity, attribute ORDER BY seq))
@@ -1024,6 +1032,16 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
 }
 
 
+CATALOGUE |= ROUND_TRIPS
+_run, _ = CATALOGUE["en04_engine_search"]
+CATALOGUE["en04_engine_search"] = (
+    _run,
+    f"""WITH d AS (SELECT 'item/' || item_id AS key, {_sql_words("text")} AS words FROM benchmark), x AS (SELECT key, len(words) AS doc_len, unnest(words) AS term FROM d), st AS (SELECT count(*) AS docs, sum(len(words)) AS tokens FROM d),
+ p AS (SELECT key, doc_len, term, count(*) AS tf FROM x WHERE term IN ('tion', 'heat', 'thing') GROUP BY ALL), t AS (SELECT term, ln(1e0 + (docs - df + 5e-1) / (df + 5e-1)) AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), st),
+ s AS (SELECT key, sum(weight * (tf * 2.2e0 / (tf + 1.2e0 * (2.5e-1 + 7.5e-1 * doc_len / (tokens::DOUBLE / docs))))) AS score FROM p JOIN t USING (term), st GROUP BY key) SELECT key FROM s ORDER BY score DESC, key LIMIT 6""",
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, (run, _) in CATALOGUE.items()}
 
