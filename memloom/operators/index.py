@@ -1,4 +1,4 @@
-"""Derived tables of a corpus: postings, terms and statistics. `plans.stored` keeps them as an index."""
+"""Term frequencies and statistics of a corpus; `plans.stored` keeps its postings."""
 
 from __future__ import annotations
 
@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from ..plans.search import corpus_stats, with_terms
 
 
-def postings(memories: DataFrame, stemmed: bool = True) -> DataFrame:
-    """Rows (key, term, tf, doc_len)."""
-    tokens = with_terms(memories, stemmed).select("key", "doc_len", F.explode("counts").alias("c"))
-    return tokens.groupBy("key", F.col("c.term").alias("term"), "doc_len").agg(F.sum("c.tf").alias("tf")).select("key", "term", "tf", "doc_len")
-
-
 def term_frequencies(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
