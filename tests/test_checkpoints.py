@@ -59,7 +59,7 @@ def test_status_of_every_reference(spark, sf_dir):
             held = None
         status = "forbidden" if namespace == "n3" else "missing" if held is None else "available" if held["revision"] == revision else "stale"
         want.append((namespace, key, revision, status))
-    got = base.queries()["c04_all_reference_status"](spark, sf_dir).select("namespace", "key", "revision", "status").collect()
+    got = base.queries()["c02_reference_status"](spark, sf_dir).select("namespace", "key", "revision", "status").collect()
     assert sorted(map(tuple, got)) == sorted(want) and {w[3] for w in want} == {"forbidden", "missing", "available", "stale"}
 
 
