@@ -192,6 +192,7 @@ class Engine:
     def recall(self, namespace: str, filters: Filters = Filters(), query: str = "", limit: int = 20, cursor: str | None = None, max_bytes: int | None = None, bounded: bool = False) -> tuple[list[dict], str | None]:
         """A page by event time within `max_bytes`. A bounded one looks at the policy's number of candidates
         at most; it may be empty and still have a cursor."""
+        self._namespace(namespace, "get")  # besides list
         bound = cursors.binding("recall", namespace, repr(filters), query)
         after = tuple(cursors.decode(cursor, bound)) if cursor else None
         position = lambda r: cursors.encode([r["occurred_at_ms"], r["key"]], bound)
@@ -210,7 +211,8 @@ class Engine:
     def search(self, namespace: str, query: SearchQuery, cursor: str | None = None, max_bytes: int | None = None, index: SearchIndex | None = None) -> tuple[list[dict], str | None]:
         """A page by score within `max_bytes`; a cursor from before a write is refused. With a stored index
         only the postings of the query's terms are read."""
-        state = self.generation(namespace) if index is None else index.generation
+        self._namespace(namespace, "get")  # besides list
+        state = self._with(principal=None).generation(namespace) if index is None else index.generation
         bound = cursors.binding("search", namespace, query.text, repr(query.filters), query.expansion_terms, query.expand, query.stemmed, state)
         if cursor:
             bits, key = cursors.decode(cursor, bound)

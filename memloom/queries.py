@@ -359,6 +359,11 @@ def l08_context(spark, sf):
     return lifecycle.context(lifecycle.fold_slots(proposals(spark, sf)), "high purchase of user", NOW_MS).select("entity", "attribute", F.round("score", 9).alias("score"))
 
 
+def l10_inspect(spark, sf):
+    slots = lifecycle.fold_slots(proposals(spark, sf))
+    return lifecycle.inspect(slots, "Personal ", " USER 5", "Click").select("entity", "attribute", "state", "value", "revision")
+
+
 def l05_proposal_errors(spark, sf):
     p = proposals(spark, sf).withColumn("source_role", F.when(F.col("seq") % 13 == 0, "assistant").otherwise(F.col("source_role")))
     p = p.withColumn("operation", F.when(F.col("seq") % 17 == 0, "correct").when(F.col("seq") % 19 == 0, "guess").otherwise(F.col("operation")))
@@ -872,6 +877,7 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
  s AS (SELECT entity, attribute, round(sum(weight * (tf * 2.2e0 / (tf + 1.2e0 * (2.5e-1 + 7.5e-1 * doc_len / (tokens::DOUBLE / docs))))), 9) AS score FROM p JOIN t USING (term), st GROUP BY ALL)
  SELECT entity, attribute, score FROM s JOIN z USING (entity, attribute) WHERE state = 'active' ORDER BY score DESC, entity, attribute LIMIT 100""",
     ),
+    "l10_inspect": (l10_inspect, f"{_SQL_SLOTS}, {_SLOT_ROWS} SELECT entity, attribute, state, value, revision FROM z WHERE entity = 'user 5' AND attribute = 'click'"),
     "l05_proposal_errors": (
         l05_proposal_errors,
         """SELECT CASE WHEN event_id % 17 <> 0 AND event_id % 19 = 0 THEN 'invalid_operation' WHEN event_id % 13 = 0 THEN 'invalid_role' WHEN event_id % 17 = 0 THEN 'missing_revision' END AS error_code, count(*) AS n
