@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, blocks
 
@@ -149,7 +150,7 @@ def members(source, total: int) -> dict[str, tuple[int, int]]:
     return found
 
 
-def record_urn(page_id: int | None, salt: str = "") -> str:
+def record_urn(page_id: int | str | None, salt: str = "") -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{page_id}/{salt}')}"
 
 
@@ -157,7 +158,7 @@ def digest_header(sha1: bytes) -> str:
     return "sha1:" + base64.b32encode(sha1).decode()
 
 
-def build_record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def build_record(page_id: int | str | None, url: str | None, payload: bytes, sha1: bytes, refers_to: int | str | None, revisit: bool) -> bytes:
     """One WARC/1.1 record. A revisit has no payload; extension headers keep the page ids and the size."""
     headers = [
         ("WARC-Type", "revisit" if revisit else "response"),
@@ -165,14 +166,14 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, sha1: byt
         ("WARC-Date", DATE),
         ("WARC-Target-URI", " ".join((url or "about:blank").split()) or "about:blank"),
         ("WARC-Payload-Digest", digest_header(sha1)),
-        ("X-Page-ID", "" if page_id is None else str(page_id)),
+        *([] if page_id is None else [("X-Page-ID", json.dumps(page_id))]),
         ("X-Payload-Length", str(len(payload))),
     ]
     if revisit:
         headers += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
             ("WARC-Refers-To", f"<{record_urn(refers_to)}>"),
-            ("X-Refers-To-Page-ID", str(refers_to)),
+            ("X-Refers-To-Page-ID", json.dumps(refers_to)),
         ]
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (b"" if revisit else payload)
     headers += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(body)))]
@@ -258,18 +259,18 @@ def read_packages(manifest: DataFrame, folder: str) -> DataFrame:
                     for entry in index:
                         headers, payload = parse_record(gzip.decompress(_read(source, at + entry["offset"], entry["length"])))
                         revisit = headers["warc-type"] == "revisit"
-                        page = headers["x-page-id"]
+                        page, answer = (None if h is None else str(json.loads(h)) for h in (headers.get("x-page-id"), headers.get("x-refers-to-page-id")))
                         sha1 = base64.b32decode(headers["warc-payload-digest"].partition(":")[2])
-                        out[0].append(int(page) if page else None)
+                        out[0].append(page)
                         out[1].append(int(headers["x-payload-length"]) if revisit else len(payload))
                         out[2].append(sha1.hex())
                         out[3].append(headers["warc-type"])
-                        out[4].append(int(headers["x-refers-to-page-id"]) if revisit else None)
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                        out[4].append(answer)
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
                 names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names)
 
-    return manifest.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def mark_revisits(pages: DataFrame, scratch: Scratch, least: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -299,7 +300,10 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes all pages as packages in the shared folder, then reads every record back."""
     scratch = Scratch(spark, "warc")
     folder = scratch.path("packages")
-    marked = mark_revisits(pages.select(F.col("page_id").cast("long"), "url", "html"), scratch)
+    kind = pages.schema["page_id"].dataType
+    page_id = F.col("page_id") if isinstance(kind, T.IntegralType) else F.col("page_id").cast("string").alias("page_id")
+    marked = mark_revisits(pages.select(page_id, "url", "html"), scratch)
     manifest = scratch.put(write_packages(marked, folder), "manifest")
     tasks = max(1, manifest.count())
-    return read_packages(manifest.repartition(tasks), folder)
+    found = read_packages(manifest.repartition(tasks), folder)
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})

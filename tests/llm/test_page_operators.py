@@ -216,6 +216,16 @@ def test_index_ranges(monkeypatch):
     assert warc.write_package(io.BytesIO(), iter([])) == [0]
 
 
+def test_ids_of_other_types(spark):
+    big = "x" * 1200
+    rows = [("a\r\nb", "u", big), (" c ", "u", big), (None, "u", big), ("", "u", "é"), ("5", "u", "")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.warc_round_trip(spark, df).collect()}
+    assert got == {("a\r\nb", "response", None), (" c ", "revisit", "a\r\nb"), (None, "revisit", "a\r\nb"), ("", "response", None), ("5", "response", None)}
+    small = warc.warc_round_trip(spark, df.select(F.lit(7).cast("int").alias("page_id"), "url", "html"))
+    assert small.schema["page_id"].dataType.simpleString() == "int" and {r["page_id"] for r in small.collect()} == {7}
+
+
 def test_very_long_pages(spark):
     long = "<p>" + "ä" * 3_000_000
     rows = [(1, "u", long), (2, "u", long), (3, "u", "x")]
