@@ -112,7 +112,7 @@ def test_kept_over_the_table(spark, sf_dir):
 def test_batches_are_bounded_in_bytes(monkeypatch):
     monkeypatch.setattr(token_counts, "BATCH_BYTES", 100)
     seen = []
-    token_counts.count(["é" * 30, "é" * 30, "a" * 60, "a" * 30, "", "b" * 300], lambda texts: seen.append(texts) or [1] * len(texts))
+    token_counts.count(["é" * 30, "é" * 30, "a" * 60, "a" * 30, "", "b" * 300], lambda texts: seen.append(list(texts)) or [1] * len(texts))
     assert [sum(len(t.encode()) for t in s) for s in seen] == [60, 60, 90, 300]
 
 
