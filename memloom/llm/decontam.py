@@ -32,7 +32,7 @@ from .common import Scratch, blocks, set_column, texts_of
 WINDOW = 13
 SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20
-CHAIN = 4
+CHAIN = 2
 OTHER_SYMBOLS = 4096
 SAMPLE = 16
 #: A document is contaminated if hit words are at least one in this many.
