@@ -4,15 +4,18 @@ handle; each with the same in SQL."""
 from __future__ import annotations
 
 import atexit
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .functions.text import ChunkText
+from .operators import checkpoints, evaluation, ledger, lifecycle
 from .plans.search import Filters, SearchQuery
 from .sources import readers, sinks
-from .sources.config import Namespace, Policy
+from .sources.config import Namespace, Policy, parse_policy
 
 #: Files that hold several conversations each, where a format wants one JSON array a file.
 FILES = 32
@@ -237,6 +240,95 @@ def en05_engine_restore(spark, sf):
     return _rows(spark, rows, "key string, status string, revision long, latest long")
 
 
+def io14_paged_fetch(spark, sf):
+    """Rows of a paged source, ten a page."""
+    rows = [{"id": r["n_nationkey"], "name": r["n_name"]} for r in _read(spark, sf, "nation").orderBy("n_nationkey").limit(100).collect()]
+    found = sinks.fetch_pages(lambda page: rows[10 * page - 10 : 10 * page], "id", size=10)
+    return spark.createDataFrame([(r["id"], r["name"]) for r in found], "id long, name string")
+
+
+def cf01_policy(spark, sf):
+    """Namespaces and grants of a policy text, with their effective TTL of an hour."""
+    text = """
+[[namespaces]]
+name = "scratch"
+mode = "memory"
+on_full = "evict_oldest"
+require_ttl = true
+default_ttl_seconds = 300
+max_ttl_seconds = 1800
+[[namespaces]]
+name = "kept"
+[[grants]]
+principal = "ann"
+namespace = "kept"
+operations = ["get", "put"]
+"""
+    policy = parse_policy(text)
+    grants = Counter(g[1] for g in policy.grants)
+    rows = [(n.name, n.mode, n.ttl(None)[0], n.ttl(3600)[1], grants[n.name]) for n in policy.namespaces]
+    return spark.createDataFrame(rows, "name string, mode string, ttl long, hour string, grants long")
+
+
+def d06_chunk_table(spark, sf):
+    """Parts by the table function, which bounds characters and bytes."""
+    d = _read(spark, sf, "documents").select("doc_id", "text")
+    return d.lateralJoin(ChunkText(F.col("text").outer())).select("doc_id", F.col("part").cast("long").alias("part"), F.md5("content").alias("md5"))
+
+
+def e14_unique_sources(spark, sf):
+    """Ranked events reduced to the first of each user, a query's own user left out."""
+    e = _read(spark, sf, "events")
+    hits = e.select(F.col("event_type").alias("query_id"), F.col("user_id").cast("string").alias("doc_id"), F.col("event_id").alias("rank"), F.lit("7").alias("own"))
+    return evaluation.unique_ranked(hits, "own").select("query_id", "doc_id", "rank")
+
+
+def g11_accounted(spark, sf):
+    e = _read(spark, sf, "events")
+    calls = e.select(F.when(F.col("event_type") == "view", "reserved").otherwise("settled").alias("status"), F.ceil("value").cast("double").alias("reserved"), F.floor("value").cast("double").alias("charged"))
+    return ledger.accounted(calls)
+
+
+def c05_locators(spark, sf):
+    """Receipts of two saves a conversation: the second one's locator is the latest."""
+    c = _read(spark, sf, "conversations").select("conv_id").distinct()
+    capsule = F.to_json(F.struct(F.lit("g").alias("goal"), F.lit("s").alias("summary"), F.lit("n").alias("next_action")))
+    name = lambda p: F.concat(F.lit(p), F.col("conv_id").cast("string"))
+    two = c.withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        name("n").alias("namespace"), F.col("seq").cast("long").alias("seq"), F.concat(name("c"), F.lit("-"), F.col("seq").cast("string")).alias("id"), F.lit("a").alias("agent_id"),
+        name("s").alias("session_id"), capsule.alias("capsule"), F.lit("[]").alias("refs"), F.when(F.col("seq") == 1, F.lit(2)).cast("long").alias("expected_revision"),
+    )
+    return checkpoints.latest_checkpoints(checkpoints.fold_checkpoints(two)).select("namespace", "id", "locator", "latest_revision")
+
+
+def _slot_operations(spark, sf, steps: list[tuple]) -> DataFrame:
+    """For each user the same operations: (operation, value, role, time, expected revision or a column)."""
+    users = _read(spark, sf, "events").select("user_id").distinct()
+    none = F.lit(None).cast("long")
+    step = lambda i, s: F.struct(
+        F.lit(i).cast("long").alias("seq"), F.lit(s[0]).alias("operation"), F.lit(s[1]).alias("value"), F.lit(s[2]).alias("source_role"), F.lit(s[3]).cast("long").alias("occurred_at_ms"),
+        (none if s[4] is None else F.lit(s[4]) if isinstance(s[4], int) else s[4]).cast("long").alias("expected_revision"),
+    )
+    rows = users.withColumn("s", F.explode(F.array(*(step(i, s) for i, s in enumerate(steps)))))
+    return rows.select(
+        F.lit("me").alias("scope"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("entity"), F.lit("city").alias("attribute"), "s.seq", "s.operation", "s.value", F.lit("fact").alias("kind"),
+        F.concat(F.lit("s"), F.col("s.seq").cast("string")).alias("source_id"), F.lit("said").alias("source_text"), "s.source_role", "s.occurred_at_ms", none.alias("valid_until_ms"), "s.expected_revision",
+    )
+
+
+def l11_forget(spark, sf):
+    """Even users forget their fact at the right revision, odd ones at a wrong one; then it is said again."""
+    right = F.when(F.col("user_id") % 2 == 0, 1).otherwise(2)
+    ops = _slot_operations(spark, sf, [("assert", "Rome", "user", 10, None), ("forget", None, "user", 20, right), ("assert", "Rome", "user", 30, None)])
+    return lifecycle.fold_receipts(ops).select("entity", "seq", "status", "revision", "state")
+
+
+def l12_batch(spark, sf):
+    """A batch is validated first: a wrong role changes nothing, a second correction comes too late."""
+    ops = _slot_operations(spark, sf, [("assert", "Rome", "user", 10, None), ("correct", "Bern", "user", 20, 1), ("assert", "Oslo", "assistant", 30, None), ("correct", "Oslo", "user", 40, 1), ("assert", "Bern", "user", 5, None)])
+    return lifecycle.apply_batch(ops).select("entity", "seq", "status", "revision")
+
+
 _LINE = "role || ': ' || text"
 _PART = lambda odd: f"string_agg({_LINE}, chr(10) ORDER BY turn) FILTER (turn % 2 = {odd})"
 _LAST = "(SELECT count(*) FROM benchmark)"
@@ -280,6 +372,30 @@ ROUND_TRIPS: dict[str, tuple[Callable, str | None]] = {
     "io11_export": (io11_export, """SELECT item_id, md5(text) AS md5, sha256('{"item_id":' || item_id || '}') AS sha256 FROM benchmark"""),
     "io12_snapshots": (io12_snapshots, "SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS n, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS latest, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS logged FROM nation"),
     "io13_report": (io13_report, "SELECT count(*) AS rows, 'régions' AS name FROM region"),
+    "io14_paged_fetch": (io14_paged_fetch, "SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation"),
+    "cf01_policy": (cf01_policy, "SELECT * FROM (VALUES ('scratch', 'memory', 300::BIGINT, 'invalid', 0::BIGINT), ('kept', 'durable', NULL, NULL, 2)) t(name, mode, ttl, hour, grants)"),
+    "d06_chunk_table": (
+        d06_chunk_table,
+        """SELECT doc_id, s // 9500 AS part, md5(substring(text, s + 1, 9500)) AS md5 FROM (SELECT doc_id, text, unnest(range(0, length(text), 9500)) AS s FROM documents)""",
+    ),
+    "e14_unique_sources": (
+        e14_unique_sources,
+        """SELECT event_type AS query_id, user_id::VARCHAR AS doc_id, row_number() OVER (PARTITION BY event_type ORDER BY min(event_id)) AS rank FROM events WHERE user_id <> 7 GROUP BY event_type, user_id""",
+    ),
+    "g11_accounted": (g11_accounted, "SELECT sum(CASE WHEN event_type = 'view' THEN ceil(value) ELSE floor(value) END) AS accounted FROM events"),
+    "c05_locators": (
+        c05_locators,
+        f"""SELECT DISTINCT 'n' || conv_id AS namespace, 'c' || conv_id || '-1' AS id, '{checkpoints.SCHEME}://n' || conv_id || '/checkpoints/c' || conv_id || '-1' AS locator, 4::BIGINT AS latest_revision FROM conversations""",
+    ),
+    "l11_forget": (
+        l11_forget,
+        """WITH u AS (SELECT DISTINCT user_id FROM events) SELECT 'user ' || user_id AS entity, s AS seq, CASE s WHEN 0 THEN 'created' WHEN 1 THEN CASE WHEN user_id % 2 = 0 THEN 'forgotten' ELSE 'revision_conflict' END ELSE CASE WHEN user_id % 2 = 0 THEN 'forgotten' ELSE 'duplicate' END END AS status,
+ CASE WHEN s = 0 OR (s = 1 AND user_id % 2 = 1) THEN 1 ELSE 2 END AS revision, CASE WHEN s > 0 AND user_id % 2 = 0 THEN 'forgotten' ELSE 'active' END AS state FROM u, (VALUES (0), (1), (2)) t(s)""",
+    ),
+    "l12_batch": (
+        l12_batch,
+        """WITH u AS (SELECT DISTINCT user_id FROM events) SELECT 'user ' || user_id AS entity, s AS seq, st AS status, r AS revision FROM u, (VALUES (0, 'created', 1), (1, 'corrected', 2), (2, 'invalid_role', NULL), (3, 'revision_conflict', 2), (4, 'stale', 3)) t(s, st, r)""",
+    ),
     "en01_engine_recall": (
         en01_engine_recall,
         f"""WITH m AS (SELECT 'item/' || item_id AS key, item_id AS occurred_at_ms, item_id + 1 AS revision FROM benchmark WHERE item_id % 2 = 1 AND item_id <> 3 UNION ALL SELECT 'item/new', 9000000, {_LAST} + 1)
