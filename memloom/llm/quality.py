@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -22,6 +23,8 @@ from .common import WORD_SPACE, blocks, texts_of
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
+#: Words from which runs are compared as numbers, in some 50 bytes a word.
+LONG_WORDS = 200_000
 REPEAT_PERCENT = 20
 LEVEL = 3
 CHUNK_BYTES = 2048
@@ -56,6 +59,8 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words in a `window`-word run that occurs twice or more, its first occurrence included."""
     if len(words) <= window:
         return 0
+    if len(words) > LONG_WORDS:
+        return _repeated_in_long(words, window)
     grams = list(zip(*(words[i:] for i in range(window)), strict=False))
     if len(set(grams)) == len(grams):
         return 0
@@ -67,6 +72,22 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return sum(covered)
 
 
+def _repeated_in_long(words: list[bytes], window: int) -> int:
+    """The same over numbers: runs are ranked by the ranks of two shorter runs, which overlap at last."""
+    numbers: dict[bytes, int] = {}
+    run = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    length = 1
+    while length < window:
+        more = min(length, window - length)
+        pairs = run[:-more] * (run.max() + 1) + run[more:]
+        run, length = np.unique(pairs, return_inverse=True)[1], length + more
+    at = np.flatnonzero(np.bincount(run)[run] > 1)
+    cover = np.zeros(len(words), np.bool_)
+    for k in range(window):
+        cover[at + k] = True
+    return int(cover.sum())
+
+
 def band_fails(raw: bytes, compressor: zstandard.ZstdCompressor) -> bool:
     """Whether the whole document or too many of its fixed chunks leave their band, its last chunk
     (which overlaps the one before it, where the length is no multiple) counted or not."""

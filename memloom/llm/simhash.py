@@ -51,7 +51,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     if len(words) < shingle:
         grams, n = iter([b" ".join(words)]), 1
     else:
-        grams, n = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)), len(words) - shingle + 1
+        grams, n = map(b" ".join, zip(*(islice(words, i, None) for i in range(shingle)), strict=False)), len(words) - shingle + 1
     set_bits = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     while part := [digest(g, SEED) for g in islice(grams, _HASH_BLOCK)]:

@@ -85,6 +85,20 @@ def test_base_rules(pieces):
     assert quality.profile(text, zstandard.ZstdCompressor(level=3))[:6] == brute_quality(text)
 
 
+@given(st.lists(st.sampled_from(["a", "b", "c", "d"]), max_size=60), st.integers(2, 6))
+@settings(max_examples=150, deadline=None)
+def test_long_texts_count_the_same(pieces, window):
+    words = [p.encode() for p in pieces] + [b"e"]
+    short = quality.repeated_words(words, window)
+    assert len(words) <= window or quality._repeated_in_long(words, window) == short
+
+
+def test_very_long_text():
+    words = [b"w%d" % (i * i % 99_991) for i in range(250_000)]
+    assert quality.repeated_words(words) == quality._repeated_in_long(words, 5) > 0
+    assert quality.repeated_words([b"%d" % i for i in range(250_000)]) == 0
+
+
 def test_quality_over_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r["doc_id"]: tuple(r)[1:7] for r in quality.quality_rules(docs).collect()}
